@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.llm import dialogue as D
 from skein.llm import visual as V
 from skein.session import read
 
@@ -30,3 +31,44 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row's text in one consistent form."""
     return V.repair(read(spark, sf_dir, "b02_fresh_labelled").select("annotation_id", "text_display"), "text_display")
+
+
+# -- 4: conversations ----------------------------------------------------------------
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, verdicts = D.rebuild(read(spark, sf_dir, "turns"))
+    return verdicts.where(F.size("reasons") > 0).select("conversation_id")
+
+
+@query
+def p4_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, verdicts = D.rebuild(read(spark, sf_dir, "turns"))
+    return verdicts.select("conversation_id", "n_turns", F.concat_ws("+", "reasons").alias("reasons"), "clock_conflicts")
+
+
+@query
+def p4_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted conversations as ordered turns."""
+    turns, verdicts = D.rebuild(read(spark, sf_dir, "turns"), with_text=True)
+    return D.kept_turns(turns, verdicts).select("conversation_id", "position", "role", "tweet_id", "text")
+
+
+_BLANK = r"[\s\p{Z}\p{Cf}\p{Cc}\x{034F}\x{115F}\x{1160}\x{180B}-\x{180F}\x{3164}\x{FE00}-\x{FE0F}\x{FFA0}]+"
+_OUTER = r"^[\s\p{Z}\p{Cf}\p{Cc}]+|[\s\p{Z}\p{Cf}\p{Cc}]+$"
+_TURNS = f"""
+rows0 AS (SELECT *, nullif(regexp_replace(author_id, '{_OUTER}', '', 'g'), '') AS au, lower(regexp_replace(speaker, '{_OUTER}', '', 'g')) AS sp,
+    length(regexp_replace(coalesce(text, ''), '{_BLANK}', '', 'g')) > 0 AS seen
+  FROM turns WHERE nullif(regexp_replace(conversation_id, '{_OUTER}', '', 'g'), '') IS NOT NULL),
+t0 AS (SELECT conversation_id, tweet_id, min(au) AS au, min(CASE WHEN sp IN ('customer', 'brand') THEN sp END) AS sp, min(turn_index) AS i, bool_or(seen) AS seen,
+    arg_max(text, (seen, text)) AS text FROM rows0 GROUP BY ALL),
+t AS (SELECT *, CASE WHEN regexp_full_match(au, '[0-9]+') THEN 'customer' WHEN au IS NOT NULL THEN 'brand' ELSE sp END AS role FROM t0),
+v AS (SELECT conversation_id, count(*) AS n_turns,
+    coalesce(count(DISTINCT i) = count(*) AND min(i) = 0 AND max(i) = count(*) - 1, false) AS ordered,
+    count(*) FILTER (role IS NULL) = 0 AS roles,
+    coalesce(bool_or(i = 0 AND role = 'customer'), false) AS opens,
+    coalesce(min(i) FILTER (seen AND role = 'customer') < max(i) FILTER (seen AND role = 'brand'), false) AS answered
+  FROM t GROUP BY conversation_id)"""
+ORACLE["p4_found"] = f"WITH {_TURNS} SELECT conversation_id FROM v WHERE NOT (ordered AND roles AND opens AND answered)"
+ORACLE["p4_conversations"] = f"WITH {_TURNS} SELECT t.conversation_id, CAST(t.i AS INTEGER) AS position, t.role, t.tweet_id, t.text FROM t JOIN v USING (conversation_id) WHERE ordered AND roles AND opens AND answered"
