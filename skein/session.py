@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +47,21 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_skein_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="skein-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    home = Path(__file__).parent
+    with zipfile.ZipFile(f"{folder}/skein.zip", "w") as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, f"skein/{p.relative_to(home)}")
+    sc.addPyFile(f"{folder}/skein.zip")
+    sc._skein_shipped = True
+
+
 class Scratch:
     """Intermediate tables of one operator, written to the shared folder.
 
@@ -54,6 +71,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.base = f"{shared_dir(spark)}/skein/{name}-{uuid.uuid4().hex[:12]}"
         self._paths: dict[int, str] = {}
@@ -84,4 +102,5 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
