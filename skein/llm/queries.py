@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.llm import dialogue as D
+from skein.llm import overlap as O
+from skein.llm import splits as S
 from skein.llm import visual as V
 from skein.session import read
 
@@ -72,3 +75,58 @@ v AS (SELECT conversation_id, count(*) AS n_turns,
   FROM t GROUP BY conversation_id)"""
 ORACLE["p4_found"] = f"WITH {_TURNS} SELECT conversation_id FROM v WHERE NOT (ordered AND roles AND opens AND answered)"
 ORACLE["p4_conversations"] = f"WITH {_TURNS} SELECT t.conversation_id, CAST(t.i AS INTEGER) AS position, t.role, t.tweet_id, t.text FROM t JOIN v USING (conversation_id) WHERE ordered AND roles AND opens AND answered"
+
+
+# -- 1: splits -----------------------------------------------------------------------
+
+#: Wanted proportions of the splits.
+SPLIT_WEIGHTS = {"train": 0.8, "validation": 0.1, "test": 0.1}
+
+
+@query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = S.record_groups(read(spark, sf_dir, "golden"), "annotation_id", S.golden_keys())
+    return S.joined_groups(groups, "annotation_id")
+
+
+@query
+def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every annotation with its split."""
+    groups = S.record_groups(read(spark, sf_dir, "golden"), "annotation_id", S.golden_keys())
+    return S.assign_splits(groups, "annotation_id", SPLIT_WEIGHTS).select("annotation_id", "split")
+
+
+@query
+def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotations, components and share reached by split."""
+    groups = S.record_groups(read(spark, sf_dir, "golden"), "annotation_id", S.golden_keys())
+    by = S.assign_splits(groups, "annotation_id", SPLIT_WEIGHTS).groupBy("split", "component").agg(F.count("*").alias("n"))
+    by = by.groupBy("split").agg(F.sum("n").alias("annotations"), F.count("*").alias("components"))
+    total = F.sum("annotations").over(W.partitionBy())  # over one row per split
+    return by.select("split", "annotations", "components", F.round(F.col("annotations") / total, 4).alias("share"))
+
+
+ORACLE["p1_found"] = r"""WITH RECURSIVE
+k0 AS (SELECT annotation_id AS r, try_cast(CASE WHEN regexp_full_match(regexp_replace(customer_author_id, '^[\s\p{Z}\p{Cf}]+|[\s\p{Z}\p{Cf}]+$', '', 'g'), '[+-]?[0-9]+(\.[0-9]*)?') THEN regexp_replace(customer_author_id, '^[\s\p{Z}\p{Cf}]+|[\s\p{Z}\p{Cf}]+$', '', 'g') END AS DECIMAL(38,6)) AS c,
+   nullif(lower(regexp_replace(conversation_id, '^[\s\p{Z}\p{Cf}]+|[\s\p{Z}\p{Cf}]+$', '', 'g')), '') AS v FROM golden WHERE annotation_id IS NOT NULL),
+k AS (SELECT DISTINCT r, 'c' || c AS k FROM k0 WHERE c IS NOT NULL UNION SELECT r, 'v' || v FROM k0 WHERE v IS NOT NULL),
+reach(r, s) AS (SELECT DISTINCT r, r FROM k UNION SELECT reach.r, b.r FROM reach JOIN k a ON a.r = reach.s JOIN k b ON a.k = b.k)
+SELECT r AS annotation_id, min(s) AS group_id FROM reach GROUP BY r HAVING count(*) > 1"""
+
+
+# -- 3: overlap across splits --------------------------------------------------------
+
+
+def _overlap(spark: SparkSession, sf_dir: str) -> O.CrossSplit:
+    return O.CrossSplit(read(spark, sf_dir, "b02_fresh_labelled"), "annotation_id", "text_display")
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _overlap(spark, sf_dir).pairs().select(F.col("a").alias("annotation_id_a"), F.col("b").alias("annotation_id_b"))
+
+
+@query
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps per split and source."""
+    return _overlap(spark, sf_dir).report()
