@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from skein.llm import dialogue as D
 from skein.llm import overlap as O
+from skein.llm import pii as P
 from skein.llm import splits as S
 from skein.llm import visual as V
 from skein.session import read
@@ -130,3 +131,26 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps per split and source."""
     return _overlap(spark, sf_dir).report()
+
+
+# -- 2: personal information ---------------------------------------------------------
+
+#: A key for tests and reports; production brings its own.
+PII_KEY = b"skein-demo-key"
+
+
+def _pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = read(spark, sf_dir, "b02_fresh_labelled").select(F.lit("text_display").alias("field"), F.col("annotation_id").alias("record_id"), F.col("text_display").alias("text"))
+    b = read(spark, sf_dir, "evidence").select(F.lit("historical_brand_reply").alias("field"), F.concat("query_id", F.lit(":"), F.col("rank").cast("string")).alias("record_id"), F.col("historical_brand_reply").alias("text"))
+    return P.with_pii(a.unionByName(b).where(F.col("record_id").isNotNull()), "text", PII_KEY)
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pii(spark, sf_dir).select("field", "record_id", F.explode("kinds").alias("kind")).distinct()
+
+
+@query
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both text columns with typed placeholders."""
+    return _pii(spark, sf_dir).select("field", "record_id", F.col("redacted").alias("text"))
