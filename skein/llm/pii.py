@@ -72,9 +72,9 @@ def feistel(values: list[int], base: int, key: bytes, tweak: str, rounds: int =
     return out
 
 
-def pseudonym(value: str, key: bytes, tweak: str, keep: int = 0, back: bool = False) -> str:
-    """Digits and letters permuted in place, all else (and the first `keep` digits) as it was."""
-    digits = [i for i, c in enumerate(value) if c in "0123456789"][keep:]
+def pseudonym(value: str, key: bytes, tweak: str, back: bool = False) -> str:
+    """Digits and letters permuted in place, all else as it was."""
+    digits = [i for i, c in enumerate(value) if c in "0123456789"]
     letters = [i for i, c in enumerate(value) if c.isascii() and c.isalpha()]
     out = list(value)
     for i, d in zip(digits, feistel([int(value[i]) for i in digits], 10, key, f"{tweak}/d", back=back), strict=True):
@@ -173,7 +173,7 @@ SSN = re.compile(r"(?<![\w#$.,/+-])\d{3}-\d{2}-\d{4}(?![\w-])")
 _TYPES = r"street|st\.?|avenue|ave\.?|road|rd\.?|lane|ln\.?|drive|dr\.?|court|ct\.?|way|boulevard|blvd\.?|place|pl\.?|terrace|square|close|crescent|parkway|pkwy\.?|highway|circle|trail"
 _DIR = r"(?:(?:north|south|east|west|[nsew]|ne|nw|se|sw)\.?\s)?"
 _W = r"[^\W\d_][\w'’-]*"
-_CITY = r"(?-i:[A-ZÀ-Þ][\w'’-]+(?:\s(?!Instead|In\b)[A-ZÀ-Þ][\w'’-]+){0,2}|[a-zà-ÿ]+(?:\s[a-zà-ÿ]+)?(?=\s*(?:[.;!?/)]|$)))"
+_CITY = r"(?-i:[A-ZÀ-Þ][a-zà-ÿ][\w'’-]*(?:\s(?!Instead|In\b)[A-ZÀ-Þ][a-zà-ÿ][\w'’-]*){0,2}|[a-zà-ÿ]+(?:\s[a-zà-ÿ]+)?(?=\s*(?:[.;!?/)]|$)))"
 _MONTH = r"(?!january|february|march|april|may\b|june|july|august|september|october|november|december)"
 _TAIL_US = rf"(?:,?\s(?:apt|apartment|unit|suite|ste|flat|#)\.?\s?\w+)?(?:(?:,\s|\sin\s|(?<=\w)\s(?=[A-Z][a-z]+,?\s[A-Z]{{2}}\s\d)){_MONTH}{_CITY}(?:,?\s?(?-i:[A-Z]{{2}})(?:\s\d{{5}})?(?!\w))?)?"
 ADDRESSES = [
@@ -341,34 +341,41 @@ def find(text: str | None) -> list[Span]:
     return sorted(spans)
 
 
-def _national(value: str) -> tuple[str, int]:
-    """A phone number's digits without what varies by writing, and how many of them come before the national number."""
-    digits = "".join(str(SPOKEN.index(w) - (w != "zero")) if w in SPOKEN else w for w in re.findall(r"[a-z]+|\d", value.lower()) if w.isdigit() or w in SPOKEN)
-    intl = value.lstrip().startswith("+") or digits.startswith("00")
+#: Country codes of one and two digits; all others have three.
+CODES = set("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def national(value: str) -> str:
+    """The national number of a phone number, the same for all of its writings."""
+    value = re.split(r"\s?(?:ext|x)", value.lower())[0].replace("(0)", "")
+    words = re.findall(r"[a-z]+|\d", value)
+    digits = "".join(w if w.isdigit() else str(0 if w in ("zero", "oh") else SPOKEN.index(w) - 1) for w in words if w.isdigit() or w in SPOKEN)
+    abroad = value.lstrip().startswith("+")
     if digits.startswith("00"):
-        digits = digits[2:]
-    if len(digits) >= 10 and (len(digits) == 10 and not intl or digits.startswith("1")) and digits[0] != "0":
-        return digits[-10:] if len(digits) in (10, 11) else digits.removeprefix("1")[:10], 0
-    digits = digits.replace("330", "33", 1) if digits.startswith("330") else digits
-    return digits, 2 if intl else 0
+        abroad, digits = True, digits[2:]
+    if abroad:
+        n = next((k for k in (1, 2) if digits[:k] in CODES), 3)
+        digits = digits[n:]
+    elif len(digits) == 11 and digits[0] == "1":
+        digits = digits[1:]
+    return digits.lstrip("0") or digits
 
 
 def placeholder(span: Span, key: bytes) -> str:
     kind = span.kind.upper()
     if span.kind == "phone":
-        digits, keep = _national(span.value)
-        return f"[{kind} {pseudonym(digits, key, 'phone', keep)}]"
+        return f"[{kind} {pseudonym(national(span.value), key, 'phone')}]"
     if span.kind == "id_number":
         return f"[{kind} {pseudonym(re.sub(r'[^0-9A-Za-z]', '', span.value).upper(), key, 'id')}]"
     return f"[{kind} {tag(span.value, key, span.kind)}]"
 
 
-def redact(text: str | None, key: bytes) -> str | None:
+def redact(text: str | None, key: bytes, spans: list[Span] | None = None) -> str | None:
     """The text with a typed placeholder for each find, otherwise as it was; null stays null."""
     if text is None:
         return None
     out, at = [], 0
-    for s in find(text):
+    for s in find(text) if spans is None else spans:
         out += [text[at : s.start], placeholder(s, key)]
         at = s.end
     return "".join([*out, text[at:]])
@@ -391,7 +398,8 @@ def with_pii(df: DataFrame, text: str, key: bytes) -> DataFrame:
             seen: dict[str, tuple] = {}
             for t in b["_pii_text"]:
                 if t not in seen:
-                    seen[t] = (redact(t, key), sorted({s.kind for s in find(t)}))
+                    spans = find(t)
+                    seen[t] = (redact(t, key, spans), sorted({s.kind for s in spans}))
                 r, k = seen[t]
                 redacted.append(r)
                 kinds.append(k)

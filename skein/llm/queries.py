@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.llm import dialogue as D
+from skein.llm import leaks as L
 from skein.llm import overlap as O
 from skein.llm import pii as P
 from skein.llm import splits as S
@@ -154,3 +155,22 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both text columns with typed placeholders."""
     return _pii(spark, sf_dir).select("field", "record_id", F.col("redacted").alias("text"))
+
+
+# -- 7: leaked items -----------------------------------------------------------------
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.leaked_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+@query
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which items leaked, into how many documents, and how completely."""
+    by = _leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"), F.round(F.max("share"), 4).alias("largest_share"))
+    return read(spark, sf_dir, "benchmark").select("item_id").join(by, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("largest_share", F.lit(0.0)).alias("largest_share"))
