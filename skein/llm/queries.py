@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from skein.llm import dialogue as D
 from skein.llm import leaks as L
+from skein.llm import mixture as M
 from skein.llm import overlap as O
 from skein.llm import pii as P
+from skein.llm import reading as R
 from skein.llm import splits as S
 from skein.llm import visual as V
 from skein.session import read
@@ -174,3 +176,41 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which items leaked, into how many documents, and how completely."""
     by = _leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"), F.round(F.max("share"), 4).alias("largest_share"))
     return read(spark, sf_dir, "benchmark").select("item_id").join(by, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("largest_share", F.lit(0.0)).alias("largest_share"))
+
+
+# -- 8: mixture ----------------------------------------------------------------------
+
+
+@query
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each source contributes to the mixture, against its target."""
+    return M.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "source_targets"))[1]
+
+
+@query
+def p8_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture's documents with their number of uses."""
+    return M.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "source_targets"))[0].select("doc_id", "source", "tokens", "copies")
+
+
+# -- 9: reading level ----------------------------------------------------------------
+
+#: How far below the wanted grade the models may place a document that the formula then decides.
+GRADE_SLACK = 4.0
+
+
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return R.reading_levels(docs, R.train(*R.labelled_sample(docs, read(spark, sf_dir, "reading_labels"))))
+
+
+@query
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hard = (F.col("grade") >= R.COLLEGE - GRADE_SLACK) & (F.col("formula_grade") >= R.COLLEGE)
+    return _levels(spark, sf_dir).where(F.col("english") & (F.col("n_words") >= R.LEAST_WORDS) & hard).select("doc_id")
+
+
+@query
+def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's difficulty."""
+    return _levels(spark, sf_dir).select("doc_id", "n_words", "n_sentences", "english", F.round("level", 3).alias("level"), F.round("grade", 2).alias("grade"), F.round("formula_grade", 2).alias("formula_grade"))
