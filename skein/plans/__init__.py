@@ -1 +1 @@
-MODULES = ["hierarchy"]
+MODULES = ["hierarchy", "profile"]
