@@ -1 +1 @@
-MODULES = ["hierarchy", "profile"]
+MODULES = ["hierarchy", "profile", "conversations"]
