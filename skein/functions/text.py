@@ -76,11 +76,15 @@ def ngrams(tokens: Column, n: int = 2) -> Column:
     """Unigrams and, up to n, neighbouring tokens joined by a space."""
     out = tokens
     for k in range(2, n + 1):
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - (k - 1), F.lit(1))), lambda i, k=k: F.array_join(F.slice(tokens, i, k), " "))
-        out = F.concat(out, F.when(F.size(tokens) >= k, grams).otherwise(F.array().cast("array<string>")))
+        starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - (k - 1), F.lit(1)))
+        out = F.concat(out, F.when(F.size(tokens) >= k, F.transform(starts, _gram(tokens, k))).otherwise(F.array().cast("array<string>")))
     return out
 
 
+def _gram(tokens: Column, k: int):
+    return lambda i: F.array_join(F.slice(tokens, i, k), " ")
+
+
 def parsed_time(c: Column) -> Column:
     """The time a text gives in one of four formats, as UTC; null for any other."""
     t = F.trim(c)

@@ -64,11 +64,10 @@ def one_hop(m: DataFrame) -> DataFrame:
 def min_max_score(df: DataFrame, weights: dict[str, float], higher_is_better: dict[str, bool] | None = None) -> DataFrame:
     """df with score: the weighted sum of its columns, each scaled to 0..1 over all rows (1 where all are equal), rounded to 4."""
     up = higher_is_better or {}
-    one = df.agg(*(F.min(c).alias(f"_lo_{c}") for c in weights), *(F.max(c).alias(f"_hi_{c}") for c in weights))
-    out = df.join(F.broadcast(one))  # one row
+    whole = W.partitionBy()  # over one row per brand
     score = F.lit(0.0)
     for c, w in weights.items():
-        spread = F.col(f"_hi_{c}") - F.col(f"_lo_{c}")
-        x = F.when(spread == 0, F.lit(1.0)).otherwise((F.col(c) - F.col(f"_lo_{c}")) / spread)
-        score = score + F.lit(w) * (x if up.get(c, True) else F.when(spread == 0, F.lit(1.0)).otherwise(1 - x))
-    return out.withColumn("score", F.round(score, 4)).drop(*(f"_lo_{c}" for c in weights), *(f"_hi_{c}" for c in weights))
+        low, high = F.min(c).over(whole), F.max(c).over(whole)
+        x = (F.col(c) - low) / (high - low)
+        score = score + F.lit(w) * F.when(high == low, F.lit(1.0)).otherwise(x if up.get(c, True) else 1 - x)
+    return df.withColumn("score", F.round(score, 4))

@@ -30,7 +30,7 @@ def malformed(df: DataFrame, column: str, parsed: Column, examples: int = 5) ->
     w = W.orderBy(column)
     first = bad.orderBy(column).limit(examples).withColumn("k", F.row_number().over(w)).agg(F.array_sort(F.collect_list(F.struct("k", column))).alias("e"))
     shown = first.select(F.array_join(F.transform("e", lambda x: x[column]), "|").alias("examples"))
-    return bad.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_malformed")).join(F.broadcast(shown))
+    return bad.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_malformed")).select("n_malformed", shown.scalar().alias("examples"))
 
 
 def text_flags(df: DataFrame, column: str) -> DataFrame:

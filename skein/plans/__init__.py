@@ -1 +1 @@
-MODULES = ["hierarchy", "profile", "conversations"]
+MODULES = ["hierarchy", "profile", "conversations", "retrieval"]
