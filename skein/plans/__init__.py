@@ -1 +1 @@
-MODULES = ["hierarchy", "profile", "conversations", "retrieval"]
+MODULES = ["hierarchy", "profile", "conversations", "retrieval", "evaluation"]
