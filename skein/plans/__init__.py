@@ -1 +1 @@
-MODULES = ["hierarchy", "profile", "conversations", "retrieval", "evaluation"]
+MODULES = ["hierarchy", "profile", "conversations", "retrieval", "evaluation", "replies", "learning", "streams"]
