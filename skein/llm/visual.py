@@ -54,12 +54,12 @@ def fold_char(c: str) -> str:
 
 def _joins_emoji(text: str, i: int) -> bool:
     """Whether the joiner at i makes one picture of its neighbours."""
-    before = text[i - 2 : i].replace("️", "")[-1:]
+    before = text[max(0, i - 2) : i].replace("\ufe0f", "")[-1:]
     return bool(before) and i + 1 < len(text) and unicodedata.category(before) in ("So", "Sk") and unicodedata.category(text[i + 1]) == "So"
 
 
 def fold(text: str) -> str:
-    out = "".join(c if c == "‍" and _joins_emoji(text, i) else fold_char(c) for i, c in enumerate(text))
+    out = "".join(c if c == "\u200d" and _joins_emoji(text, i) else fold_char(c) for i, c in enumerate(text))
     return unicodedata.normalize("NFC", out).strip(" ")
 
 
