@@ -62,20 +62,25 @@ def ship(spark: SparkSession) -> None:
     sc._skein_shipped = True
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Scratch:
     """Intermediate tables of one operator, written to the shared folder.
 
     A written table cuts lineage for good: executors may be lost later without
     recomputing what came before. Tables that are no longer read are dropped at
-    once; those a lazily evaluated result still reads stay until the session ends.
+    once; those a lazily evaluated result still reads stay until the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
         self.spark = spark
         self.base = f"{shared_dir(spark)}/skein/{name}-{uuid.uuid4().hex[:12]}"
-        self._paths: dict[int, str] = {}
         self._n = 0
+        atexit.register(self._clear)
 
     def cut(self, df: DataFrame, label: str = "t") -> DataFrame:
         """Write df and return it as read back."""
@@ -83,18 +88,22 @@ class Scratch:
         path = f"{self.base}/{self._n:03d}-{label}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
-        out._skein_keep = self  # the mapping lives as long as the frame
+        out._skein_path = path
         return out
 
     def drop(self, *frames: DataFrame | None) -> None:
-        """Delete tables that nothing will read again."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        """Delete tables that nothing will read again; other frames are left alone."""
         for df in frames:
-            path = self._paths.pop(id(df), None) if df is not None else None
+            path = getattr(df, "_skein_path", None)
             if path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
+                _delete(self.spark, path)
+
+    def _clear(self) -> None:
+        try:
+            if not self.spark.sparkContext._jsc.sc().isStopped():
+                _delete(self.spark, self.base)
+        except Exception:  # noqa: BLE001 - the session may be gone
+            pass
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
