@@ -80,8 +80,8 @@ def fingerprint(hashes: list[int]) -> list[int]:
     return [_signed(x) for x in f]
 
 
-def coded(classes: DataFrame, threshold: float) -> DataFrame:
-    """(class_id, n, f0, f1, codes) of classes (class_id, hashes), hashes a non-empty array of distinct bigints."""
+def coded(classes: DataFrame, threshold: float, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(class_id, n, f0, f1, codes, keep...) of classes (class_id, hashes), hashes a non-empty array of distinct bigints."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -94,10 +94,11 @@ def coded(classes: DataFrame, threshold: float) -> DataFrame:
                 f0.append(x)
                 f1.append(y)
                 codes.append(block_codes(hs, k, threshold) + block_codes(hs, k + 1, threshold))
-            yield pd.DataFrame({"class_id": b["class_id"], "n": n, "f0": f0, "f1": f1, "codes": codes})
+            yield pd.DataFrame({"class_id": b["class_id"], "n": n, "f0": f0, "f1": f1, "codes": codes} | {c: b[c] for c in keep})
 
-    kind = classes.schema["class_id"].dataType.simpleString()
-    return classes.select("class_id", "hashes").mapInPandas(run, f"class_id {kind}, n int, f0 bigint, f1 bigint, codes array<bigint>")
+    kind = lambda c: classes.schema[c].dataType.simpleString()
+    rest = "".join(f", {c} {kind(c)}" for c in keep)
+    return classes.select("class_id", "hashes", *keep).mapInPandas(run, f"class_id {kind('class_id')}, n int, f0 bigint, f1 bigint, codes array<bigint>{rest}")
 
 
 def side(coded_classes: DataFrame, name: str) -> DataFrame:
