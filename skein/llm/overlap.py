@@ -2,33 +2,25 @@
 
 A text is the set of its words; its fingerprint has one bit block per segment of the
 word space, and texts that are alike in at least 4/5 of their words can differ in only
-so many bits: |A ^ B| <= (|A| + |B|) (1 - t) / (1 + t). With that Hamming radius r and
-r + 2 segments, two such texts agree in at least two whole blocks (pigeonhole), so a
-join on pairs of blocks, across splits only, misses none. A 128-bit fingerprint then
-drops what lies beyond the radius, and the words themselves decide.
+so many of them. Within that Hamming radius two texts agree in whole blocks, so a join
+on block codes, across splits only, misses none (operators/blocks.py). A 128-bit
+fingerprint then drops what lies beyond the radius, and the words themselves decide.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-from itertools import combinations
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.ids import text_key
 from skein.llm.visual import look_key
+from skein.operators import blocks as B
 from skein.session import Scratch
 
 THRESHOLD, MIN_WORDS = 0.8, 6
-#: Beyond this radius single blocks are joined instead of pairs; both are complete.
-PAIR_RADIUS = 20
 WORD = r"([\p{L}\p{N}\p{M}]+(?:['’][\p{L}\p{N}\p{M}]+)*)"
 LINK_OR_HANDLE = r"(?:https?://|www\.)\S+|@\w+"
 TRAIN, HELD_OUT = "train", ("validation", "test")
-_MASK = (1 << 64) - 1
 
 
 def words(c: Column) -> Column:
@@ -37,74 +29,6 @@ def words(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(WORD), F.lit(1))))
 
 
-def _signed(x: int) -> int:
-    x &= _MASK
-    return x - (1 << 64) if x >> 63 else x
-
-
-def _mix(x: int) -> int:
-    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & _MASK
-    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & _MASK
-    return x ^ (x >> 31)
-
-
-def size_class(n: int, threshold: float) -> int:
-    """Sizes of one class differ by less than the factor 1/threshold."""
-    return int(math.log(n) / -math.log(threshold) + 1e-9)
-
-
-def largest_size(k: int, threshold: float) -> int:
-    n = int(threshold ** -(k + 1)) + 1
-    while n > 1 and size_class(n, threshold) > k:
-        n -= 1
-    return n
-
-
-def radius(a: int, b: int, threshold: float) -> int:
-    """Most words in which sets of a and b words may differ."""
-    return int((a + b) * (1 - threshold) / (1 + threshold) + 1e-9)
-
-
-def block_codes(hashes: list[int], tag: int, threshold: float) -> list[int]:
-    """Codes of which two sets alike enough share one, if both use the tag.
-
-    Sets of equal class meet under their class's tag, those of neighbouring classes under
-    the larger one's; radius and number of segments follow from the tag alone.
-    """
-    r = radius(*(2 * [largest_size(tag, threshold)]), threshold)
-    n = r + 2 if r <= PAIR_RADIUS else r + 1
-    block = [0] * n
-    for h in hashes:
-        m = _mix(h & _MASK)
-        block[(m >> 32) % n] ^= m
-    if r <= PAIR_RADIUS:
-        return [_signed(_mix(_mix(block[i] + i * 0x9E3779B97F4A7C15 & _MASK) + block[j] + j * 0xC2B2AE3D27D4EB4F + tag & _MASK)) for i, j in combinations(range(n), 2)]
-    return [_signed(_mix(block[i] + i * 0x9E3779B97F4A7C15 + tag & _MASK)) for i in range(n)]
-
-
-def fingerprint(hashes: list[int]) -> list[int]:
-    """128 bits in two words; sets differ in no more bits than in words."""
-    f = [0, 0]
-    for h in hashes:
-        m = _mix(h & _MASK)
-        f[(m >> 6) & 1] |= 1 << (m & 63)
-    return [_signed(x) for x in f]
-
-
-def _codes(threshold: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            prints, codes = [], []
-            for hs in b["hashes"]:
-                hs = [int(h) for h in hs]
-                k = size_class(len(hs), threshold)
-                prints.append(fingerprint(hs))
-                codes.append(block_codes(hs, k, threshold) + block_codes(hs, k + 1, threshold))
-            yield pd.DataFrame({"class_id": b["class_id"], "n": b["hashes"].map(len).astype("int32"), "f0": [p[0] for p in prints], "f1": [p[1] for p in prints], "codes": codes, "trains": b["trains"], "tests": b["tests"]})
-
-    return run
-
-
 def text_classes(rows: DataFrame, text: str, split: Column, scratch: Scratch, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """(rows with class_id, one row per class of equal word sets): class_id is null for texts too short to compare."""
     w = words(F.col(text).cast("string"))
@@ -115,18 +39,16 @@ def text_classes(rows: DataFrame, text: str, split: Column, scratch: Scratch, mi
 
 def alike_classes(classes: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, similarity): class a occurs in training, b in held-out data, their words are alike; a = b where one class is in both."""
-    fit = classes.where(F.coalesce("trains", F.lit(False)) | F.coalesce("tests", F.lit(False)))
-    hashed = fit.select("class_id", F.transform("words", lambda x: F.xxhash64(x)).alias("hashes"), F.coalesce("trains", F.lit(False)).alias("trains"), F.coalesce("tests", F.lit(False)).alias("tests"))
-    coded = scratch.cut(hashed.mapInPandas(_codes(threshold), "class_id bigint, n int, f0 bigint, f1 bigint, codes array<bigint>, trains boolean, tests boolean"), "codes")
-    a = coded.where("trains").select(F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("f0").alias("fa0"), F.col("f1").alias("fa1"), F.explode("codes").alias("code"))
-    b = coded.where("tests").select(F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("f0").alias("fb0"), F.col("f1").alias("fb1"), F.explode("codes").alias("code"))
-    far = F.bit_count(F.col("fa0").bitwiseXOR(F.col("fb0"))) + F.bit_count(F.col("fa1").bitwiseXOR(F.col("fb1")))
-    near = (F.col("a") != F.col("b")) & (far <= F.floor((F.col("na") + F.col("nb")) * ((1 - threshold) / (1 + threshold)) + 1e-9)) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)
-    pairs = scratch.cut(a.join(b, "code").where(near).select("a", "b").distinct(), "candidates")
+    known = lambda c: F.coalesce(c, F.lit(False))
+    fit = classes.where(known("trains") | known("tests"))
+    hashed = fit.select("class_id", F.transform("words", lambda x: F.xxhash64(x)).alias("hashes"), known("trains").alias("trains"), known("tests").alias("tests"))
+    sides = scratch.cut(B.coded(hashed, threshold, ("trains", "tests")), "codes")
+    pairs = B.side(sides.where("trains"), "a").join(B.side(sides.where("tests"), "b"), "code").where((F.col("a") != F.col("b")) & B.within_radius("a", "b", threshold))
+    pairs = scratch.cut(pairs.select("a", "b").distinct(), "candidates")
     wa, wb = classes.select(F.col("class_id").alias("a"), F.col("words").alias("wa")), classes.select(F.col("class_id").alias("b"), F.col("words").alias("wb"))
     both = F.size(F.array_intersect("wa", "wb"))
     checked = pairs.join(wa, "a").join(wb, "b").select("a", "b", (both / (F.size("wa") + F.size("wb") - both)).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
-    same = coded.where(F.col("trains") & F.col("tests")).select(F.col("class_id").alias("a"), F.col("class_id").alias("b"), F.lit(1.0).alias("similarity"))
+    same = sides.where(F.col("trains") & F.col("tests")).select(F.col("class_id").alias("a"), F.col("class_id").alias("b"), F.lit(1.0).alias("similarity"))
     return checked.unionByName(same)
 
 

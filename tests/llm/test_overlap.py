@@ -11,33 +11,6 @@ def similar(a, b):
     return len(a & b) / len(a | b)
 
 
-def test_blocks_miss_no_pair_within_the_radius():
-    rng = random.Random(3)
-    vocabulary = [rng.getrandbits(63) for _ in range(4000)]
-    for _ in range(1500):
-        n = rng.randint(6, 140)
-        a = set(rng.sample(vocabulary, n))
-        b = set(a)
-        for _ in range(rng.randint(0, max(1, n // 8))):
-            if rng.random() < 0.5 and len(b) > 6:
-                b.discard(rng.choice(sorted(b)))
-            else:
-                b.add(rng.choice(vocabulary))
-        if similar(a, b) < 0.8:
-            continue
-        ka, kb = O.size_class(len(a), 0.8), O.size_class(len(b), 0.8)
-        codes = lambda s, k: set(O.block_codes(sorted(s), k, 0.8)) | set(O.block_codes(sorted(s), k + 1, 0.8))
-        assert abs(ka - kb) <= 1 and codes(a, ka) & codes(b, kb)
-        x, y = O.fingerprint(sorted(a)), O.fingerprint(sorted(b))
-        assert sum(bin((p ^ q) & O._MASK).count("1") for p, q in zip(x, y, strict=True)) <= O.radius(len(a), len(b), 0.8)
-
-
-def test_size_classes():
-    for n in range(1, 400):
-        assert O.size_class(O.largest_size(O.size_class(n, 0.8), 0.8), 0.8) == O.size_class(n, 0.8)
-        assert O.largest_size(O.size_class(n, 0.8), 0.8) >= n
-
-
 def rows(n=260):
     rng = random.Random(4)
     pool = [f"w{i}" for i in range(60)]
