@@ -134,3 +134,36 @@ def paired(df: DataFrame, item: str, system: str, value: str, a: str, b: str) ->
 def majority(df: DataFrame, label: str) -> DataFrame:
     """The most frequent label (smallest on ties) and its count."""
     return df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(1)
+
+
+def resampled_counts(df: DataFrame, key: str, a: str, b: str, resamples: int, seed: int, scratch) -> DataFrame:
+    """(resample, a, b, n): contingency counts of rows drawn with replacement; rows without key or label take no part."""
+    from skein.operators.ranks import ranked
+
+    rows = df.where(F.col(key).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.lit(0).alias("_all"), F.col(key).alias("k"), F.col(a).alias("a"), F.col(b).alias("b"))
+    rows = scratch.cut(ranked(rows, ["_all"], ["k"], "pos", scratch).select((F.col("pos") - 1).alias("pos"), "a", "b"), "rows")
+    n = rows.count()
+    spots = rows.select(F.col("pos").alias("i")).withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).select("resample", draw(F.col("resample"), F.col("i"), F.lit(max(n, 1)), seed).alias("pos"))
+    drawn = spots.groupBy("resample", "pos").agg(F.count("*").alias("c")).join(rows, "pos")
+    return drawn.groupBy("resample", "a", "b").agg(F.sum("c").alias("n"))
+
+
+def interval(df: DataFrame, value: str) -> DataFrame:
+    """(resamples, low, high): the middle 95 % of a statistic; undefined resamples are left out."""
+    return df.where(F.col(value).isNotNull()).agg(F.count("*").alias("resamples"), F.percentile(value, 0.025).alias("low"), F.percentile(value, 0.975).alias("high"))
+
+
+def resampled_macro_f1(counts: DataFrame, labels: list[str]) -> DataFrame:
+    """(resample, value): macro F1 over a fixed list of labels."""
+    x = F.explode(F.array(F.struct(F.col("a").alias("label"), F.col("n").alias("both"), F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0).alias("hit")), F.struct(F.col("b").alias("label"), F.col("n").alias("both"), F.lit(0).cast("bigint").alias("hit"))))
+    per = counts.select("resample", x.alias("x")).select("resample", "x.*").where(F.col("label").isin(labels)).groupBy("resample", "label").agg((2 * F.sum("hit") / F.sum("both")).alias("f1"))
+    return per.groupBy("resample").agg((F.sum("f1") / len(labels)).alias("value"))
+
+
+def resampled_kappa(counts: DataFrame) -> DataFrame:
+    """(resample, value): Cohen's kappa, null where it is undefined."""
+    ra, rb = counts.groupBy("resample", "a").agg(F.sum("n").alias("na")), counts.groupBy("resample", "b").agg(F.sum("n").alias("nb"))
+    pe = ra.join(rb, (ra.resample == rb.resample) & (ra.a == rb.b)).groupBy(ra.resample).agg(F.sum(F.col("na") * F.col("nb")).alias("e"))
+    po = counts.groupBy("resample").agg(F.sum("n").alias("t"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("s"))
+    p, e = F.col("s") / F.col("t"), F.coalesce("e", F.lit(0)) / (F.col("t") * F.col("t"))
+    return po.join(pe, "resample", "left").select("resample", F.try_divide(p - e, 1 - e).alias("value"))

@@ -1 +1 @@
-MODULES = ["hierarchy", "profile", "conversations", "retrieval", "evaluation", "replies", "learning", "streams"]
+MODULES = ["hierarchy", "profile", "conversations", "retrieval", "evaluation", "replies", "learning", "streams", "annotation"]

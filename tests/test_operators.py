@@ -192,3 +192,21 @@ def test_streams_equal_batch(spark, tmp_path):
     batch = stream.windowed_counts(df, "ts", "kind")
     closed = spark.read.schema(batch.schema).parquet(str(tmp_path / "w"))
     assert closed.count() and closed.exceptAll(batch).count() == 0
+
+
+def test_resampled_statistics_equal_a_direct_count(spark):
+    import hashlib
+
+    rows = [(i, "ab"[i % 2], "abc"[i % 3]) for i in range(30)]
+    df = spark.createDataFrame([*rows, (99, None, "a")], "k int, t string, p string")
+    counts = M.resampled_counts(df, "k", "t", "p", 5, 3, Scratch(spark, "r"))
+    f1 = {r.resample: r.value for r in M.resampled_macro_f1(counts, ["a", "b", "c"]).collect()}
+    kappa = {r.resample: r.value for r in M.resampled_kappa(counts).collect()}
+    for b in range(5):
+        drawn = [rows[int(hashlib.md5(f"{b}:{i}:3".encode()).hexdigest()[:15], 16) % 30] for i in range(30)]
+        t, p = [r[1] for r in drawn], [r[2] for r in drawn]
+        both = lambda x: t.count(x) + p.count(x)
+        want = sum(2 * sum(u == v == x for u, v in zip(t, p, strict=True)) / both(x) if both(x) else 0 for x in "abc") / 3
+        assert f1[b] == pytest.approx(want)
+        po, pe = sum(u == v for u, v in zip(t, p, strict=True)) / 30, sum(t.count(x) * p.count(x) for x in "abc") / 900
+        assert kappa[b] == pytest.approx((po - pe) / (1 - pe))
