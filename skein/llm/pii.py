@@ -265,7 +265,7 @@ def _names(s: str) -> Iterator[tuple[int, int]]:
                 continue
             if rx in (GREETING, SIGNATURE) and mixed and not found[0].isupper() and (len(words) < 2 or not ENDS.match(s, end)):
                 continue
-            if rx is SIGNATURE and not ENDS.match(s, end):
+            if rx in (SIGNATURE, GREETING) and not ENDS.match(s, end):
                 continue
             cue = m.group().lower().strip()
             if rx is BEFORE and len(words) == 1 and (not found[0].isupper() or not mixed) and cue in ("the agent was", "agent was", "this is", "tell", "the captain was", "the supervisor was", "the manager was", "the clerk was", "the rep was", "our colleague"):
