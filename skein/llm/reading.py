@@ -130,33 +130,43 @@ def grade(sents: list[list[str]]) -> float:
     return 0.39 * n / len(sents) + 11.8 * sum(syllables(w) for s in sents for w in s) / n - 15.59
 
 
-def is_english(text: str) -> bool:
-    ws = [w.lower() for w in WORD.findall(prose(text))]
+def is_english(sents: list[list[str]]) -> bool:
+    ws = [w.lower() for s in sents for w in s]
     return bool(ws) and sum(w in ENGLISH for w in ws) >= 0.15 * len(ws) and sum(w.isascii() for w in ws) >= 0.8 * len(ws)
 
 
 # -- models --------------------------------------------------------------------------
 
 
+def plain_form(word: str) -> str:
+    """Lower case; of words with digits only their shape, as codes and amounts are not read as words."""
+    if word.isalpha():
+        return word.lower()
+    return re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "0", word)) if any(c.isdigit() for c in word) else word.lower()
+
+
 @lru_cache(maxsize=200_000)
 def _char_features(word: str) -> tuple[int, ...]:
-    w = f"^{word.lower()}$"
+    w = f"^{plain_form(word)}$"
     return tuple(zlib.crc32(w[i : i + 3].encode()) % BUCKETS for i in range(len(w) - 2))
 
 
 @lru_cache(maxsize=200_000)
 def _word_feature(word: str) -> int:
-    return zlib.crc32(re.sub(r"\d+", "0", word.lower()).encode()) % (BUCKETS - 64) + 64
+    return zlib.crc32(plain_form(word).encode()) % (BUCKETS - 64) + 64
 
 
 def char_features(words: list[str]) -> list[int]:
     return [f for w in words for f in _char_features(w)]
 
 
+def _shape(words: list[str]) -> tuple[int, int]:
+    """Classes of a sentence's length and of its words' mean length."""
+    return min(len(words) // 2, 31), 32 + min(int(2 * sum(map(len, words)) / len(words)), 31)
+
+
 def word_features(words: list[str]) -> list[int]:
-    """The words, and classes of the sentence's length and of its words' mean length."""
-    mean = sum(map(len, words)) / len(words)
-    return [min(len(words) // 2, 31), 32 + min(int(2 * mean), 31), *map(_word_feature, words)]
+    return [*_shape(words), *map(_word_feature, words)]
 
 
 class Model(NamedTuple):
@@ -193,19 +203,50 @@ def fit(rows: list[list[int]], target: np.ndarray, l2: float = L2, steps: int =
     return w.astype(np.float32)
 
 
-def probabilities(w: np.ndarray, features: list[int]) -> np.ndarray:
-    z = w[features].sum(axis=0) / np.sqrt(len(features)) + w[-1]
-    z = np.exp(z - z.max())
-    return z / z.sum()
-
-
-def distribution(model: Model, sents: list[list[str]]) -> np.ndarray:
-    """A document's levels: the mean of both models over its sentences, weighted by words."""
-    total, n = np.zeros(LEVELS), 0
-    for s in sents:
-        total += len(s) * (probabilities(model.chars, char_features(s)) + probabilities(model.words, word_features(s))) / 2
-        n += len(s)
-    return total / n if n else np.full(LEVELS, np.nan)
+class Scorer:
+    """A model applied document by document; what a word adds to the scores is worked out once."""
+
+    def __init__(self, model: Model, words: int = 100_000):
+        self.model = model
+        self.at: dict[str, int] = {}
+        self.rows = np.zeros((words, 2 * LEVELS + 1))
+
+    def _place(self, word: str) -> int:
+        """The word's row: sums over its character features, their number, its word feature."""
+        form = plain_form(word)
+        k = self.at.get(form)
+        if k is None:
+            if len(self.at) >= len(self.rows):
+                return -1
+            k = self.at[form] = len(self.at)
+            f = list(_char_features(form))
+            self.rows[k] = np.concatenate([self.model.chars[f].sum(axis=0), [len(f)], self.model.words[_word_feature(form)]])
+        return k
+
+    def sentences(self, sents: list[list[str]]) -> np.ndarray:
+        """(sentences, levels): the mean of both models' distributions."""
+        lengths = np.array([len(s) for s in sents])
+        at = [self._place(w) for s in sents for w in s]
+        if -1 in at:  # the table is full of words from other documents
+            self.at.clear()
+            at = [self._place(w) for s in sents for w in s]
+            if -1 in at:
+                self.rows = np.zeros((2 * len(self.rows), self.rows.shape[1]))
+                self.at.clear()
+                return self.sentences(sents)
+        x = np.add.reduceat(self.rows[at], np.concatenate([[0], np.cumsum(lengths)[:-1]]), axis=0)
+        shape = np.array([_shape(s) for s in sents])
+        c = x[:, :LEVELS] / np.sqrt(x[:, LEVELS : LEVELS + 1]) + self.model.chars[-1]
+        w = (x[:, LEVELS + 1 :] + self.model.words[shape].sum(axis=1)) / np.sqrt(lengths + 2)[:, None] + self.model.words[-1]
+        z = np.stack([c, w])
+        z = np.exp(z - z.max(axis=2, keepdims=True))
+        return (z / z.sum(axis=2, keepdims=True)).mean(axis=0)
+
+    def document(self, sents: list[list[str]]) -> np.ndarray:
+        """The mean over sentences, weighted by words."""
+        if not sents:
+            return np.full(LEVELS, np.nan)
+        return np.average(self.sentences(sents), axis=0, weights=[len(s) for s in sents])
 
 
 def train(texts: list[str], levels: list[float]) -> Model:
@@ -228,7 +269,8 @@ def train(texts: list[str], levels: list[float]) -> Model:
         raise ValueError("no labelled document to learn from")
     y = np.array(target)
     model = Model(fit(rows_c, y), fit(rows_w, y), (0.0, 1.0), (0.0, 1.0))
-    mean = np.array([distribution(model, s) @ np.arange(1, LEVELS + 1) for s, _ in docs])
+    scorer = Scorer(model)
+    mean = np.array([scorer.document(s) @ np.arange(1, LEVELS + 1) for s, _ in docs])
     a = np.stack([np.ones_like(mean), mean], axis=1)
     line = lambda v: tuple(map(float, np.linalg.lstsq(a.T @ a + 1e-6 * np.eye(2), a.T @ np.array(v), rcond=None)[0]))
     return model._replace(levels=line([v for _, v in docs]), grades=line([grade(s) for s, _ in docs]))
@@ -239,7 +281,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS,
     mean = labels.where(F.col("reading_level").between(1, LEVELS) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg("reading_level").alias("level"))
     some = mean.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(limit)
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").orderBy("doc_id").collect()
-    rows = [r for r in rows if r["text"] and is_english(r["text"])]
+    rows = [r for r in rows if r["text"] and is_english(sentences(r["text"]))]
     return [r["text"] for r in rows], [r["level"] for r in rows]
 
 
@@ -255,6 +297,7 @@ def reading_levels(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = sent.value
+        scorer = Scorer(m)
         for b in batches:
             out = []
             for d, t in zip(b["doc_id"], b["text"], strict=True):
@@ -262,10 +305,10 @@ def reading_levels(docs: DataFrame, model: Model) -> DataFrame:
                 if not ss:
                     out.append((d, len(t.split()) if t else 0, 0, False, *[None] * (3 + LEVELS)))
                     continue
-                p = distribution(m, ss)
+                p = scorer.document(ss)
                 mean = float(p @ np.arange(1, LEVELS + 1))
                 level = float(np.clip(m.levels[0] + m.levels[1] * mean, 1, LEVELS))
-                out.append((d, len(t.split()), len(ss), is_english(t), level, m.grades[0] + m.grades[1] * mean, grade(ss), *map(float, p)))
+                out.append((d, len(t.split()), len(ss), is_english(ss), level, m.grades[0] + m.grades[1] * mean, grade(ss), *map(float, p)))
             yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_sentences", "english", "level", "grade", "formula_grade", *(f"p{k}" for k in range(1, LEVELS + 1))])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, n_words int, n_sentences int, english boolean, level double, grade double, formula_grade double, " + ", ".join(f"p{k} double" for k in range(1, LEVELS + 1)))

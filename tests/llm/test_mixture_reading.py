@@ -1,6 +1,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,7 +63,8 @@ def test_grades_and_english():
     easy = "The cat sat on the mat. It was a red cat. We saw it run."
     hard = "Notwithstanding any contrary representation communicated by an intermediary institution, the supervisory authority reserves the discretionary prerogative to reclassify the evidentiary sufficiency of telephonic authorization procedures."
     assert R.grade(R.sentences(easy)) < 3 < 20 < R.grade(R.sentences(hard))
-    assert R.is_english(easy) and not R.is_english("Никто не отвечает") and not R.is_english("Nadie contestó el teléfono desde las ocho") and not R.is_english("")
+    english = lambda t: R.is_english(R.sentences(t))
+    assert english(easy) and not english("Никто не отвечает") and not english("Nadie contestó el teléfono desde las ocho") and not english("")
 
 
 def test_levels_on_held_out_documents(spark):
@@ -83,3 +85,17 @@ def test_levels_on_held_out_documents(spark):
     labels = spark.createDataFrame([(40, "r", 9), (41, "r", None), (42, "r", 3), (None, "r", 2)], "doc_id bigint, rater_id string, reading_level int")
     texts, levels = R.labelled_sample(df, labels)
     assert levels == [3.0] and len(texts) == 1
+
+
+def test_scorer_equals_the_models_themselves():
+    rng = np.random.default_rng(1)
+    w = lambda: rng.normal(size=(R.BUCKETS + 1, R.LEVELS)).astype(np.float32)
+    m = R.Model(w(), w(), (0.0, 1.0), (0.0, 1.0))
+    for words in (["One", "two", "three"], ["x"], ["Naïve", "12", "co-op"] * 40):
+        want = []
+        for weights, f in ((m.chars, R.char_features(words)), (m.words, R.word_features(words))):
+            z = weights[f].astype(float).sum(axis=0) / np.sqrt(len(f)) + weights[-1]
+            z = np.exp(z - z.max())
+            want.append(z / z.sum())
+        for table in (100, 2):
+            assert np.allclose(R.Scorer(m, table).sentences([["a", "b"], words])[1], np.mean(want, axis=0), atol=1e-4)
