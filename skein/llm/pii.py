@@ -141,6 +141,8 @@ EMAIL = re.compile(
     rf"(?<![\w@.+-])(?:{_LOCAL}@{_LABEL}(?:\.{_LABEL})+|{_LOCAL}\s@\s{_LABEL}(?:\.{_LABEL})+|{_LOCAL}\s?[\[(]\s?(?:at|@)\s?[\])]\s?{_LABEL}(?:{_DOT}{_LABEL})+|{_LOCAL}\sat\s{_LABEL}(?:\sdot\s{_LABEL})+)",
     re.I,
 )
+#: What any e-mail address holds; looked for first, as it is cheap.
+MAIL_SIGN = re.compile(r"\w@\w|\s@\s|[\[(]\s?(?:at|@)\s?[\])]|\sdot\s", re.I)
 LINK = re.compile(r"(?:https?://|www\.)\S+", re.I)
 _EXT = r"(?:\s?(?:ext\.?|extension|x)\s?\d{1,5})?"
 _S = r"[\s.-]?"
@@ -184,6 +186,8 @@ ADDRESSES = [
     re.compile(rf"(?<!\w)(?:calle|avenida|avda\.?|plaza|paseo|camino|carrer|c/)\s(?:(?:de las|de los|de la|del|de|la|el)\s)?{_W}(?:\s{_W})?,?\s\d{{1,4}}(?:,\s\d{{1,2}}\s?º\s?[A-Z]?)?", re.I),
     re.compile(rf"(?<!\w)(?:улица|ул\.|проспект|пр\.)\s{_W},?\s(?:д\.?\s)?\d{{1,4}}", re.I),
 ]
+#: The German form's place in the list, and what any of its finds holds.
+GERMAN, STREET_SIGN = 2, re.compile(r"(?:straße|strasse|str\.|weg|platz|gasse|allee|ufer|damm|ring)\s\d", re.I)
 #: Words that are no part of a street's name.
 NO_STREET = set("of the a an and or in on at to for from with by is was were are be my your our their this that it no not any all some minutes minute hours hour days day weeks week months years people emails calls pages members miles pounds loyalty points usd dollars percent times row gate seat terminal level unit".split())
 
@@ -305,8 +309,7 @@ def find(text: str | None) -> list[Span]:
 
     for m in LINK.finditer(s):
         taken[m.start() : m.end()] = b"\x01" * (m.end() - m.start())
-    lower = s.lower()
-    if "@" in s or "at" in lower:
+    if MAIL_SIGN.search(s):
         for m in EMAIL.finditer(s):
             take(m.start(), m.end(), "email")
     digits = any(c.isdigit() for c in s)
@@ -324,6 +327,8 @@ def find(text: str | None) -> list[Span]:
             take(m.start(), m.end(), "phone")
     if digits:
         for k, rx in enumerate(ADDRESSES):
+            if k == GERMAN and not STREET_SIGN.search(s):
+                continue
             for m in rx.finditer(s):
                 if k == 0 and any(w.lower() in NO_STREET for w in m.group(1).split()):
                     continue
