@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skein.operators.ranks import ranked
 from skein.operators.tfidf import scores, top_k
+from skein.session import Scratch
 
 
 def eligible(pairs: DataFrame, meta: DataFrame) -> DataFrame:
@@ -26,22 +32,35 @@ def search(queries: DataFrame, index: DataFrame, meta: DataFrame, k: int = 5) ->
     return top_k(eligible(scores(queries, index), meta), k, "conversation")
 
 
-def dense_search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(query, rank, doc, similarity) by cosine over arrays of floats.
+#: Queries that are compared at a time: what every task is sent.
+QUERY_BLOCK = 20_000
 
-    queries and vectors: doc, vec. Queries are a stated set that meets all vectors; they are
-    compared in blocks of a Python batch each, so no pair is ever written out.
-    """
-    import numpy as np
-    import pandas as pd
 
-    q = queries.select("doc", "vec").toPandas()
-    if not len(q):
-        return vectors.sparkSession.createDataFrame([], "query bigint, rank int, doc bigint, similarity double")
+def dense_search(queries: DataFrame, vectors: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query, rank, doc, similarity) by cosine over arrays of floats, without the query's own doc.
+
+    queries and vectors: doc, vec. Queries are a stated set that meets all vectors, in blocks
+    of a fixed size; a task keeps the k best of each query per batch, so no pair is written.
+    """
+    scratch = Scratch(queries.sparkSession, "dense")
+    q = scratch.cut(ranked(queries.select("doc", "vec").where(F.col("vec").isNotNull()).withColumn("_all", F.lit(0)), ["_all"], ["doc"], "n", scratch).select("doc", "vec", F.floor((F.col("n") - 1) / block).alias("block")), "queries")
+    blocks = q.agg(F.max("block")).first()[0]
+    out = None
+    for i in range(blocks + 1 if blocks is not None else 0):
+        one = _against(q.where(F.col("block") == i), vectors, k)
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        return queries.sparkSession.createDataFrame([], "query bigint, rank int, doc bigint, similarity double")
+    return top_k(out, k).select("query", "rank", "doc", "similarity")
+
+
+def _against(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """Candidates (query, doc, similarity) of one block of queries: the k best per batch of vectors."""
+    rows = queries.select("doc", "vec").orderBy("doc").collect()  # a block
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
-    sent = vectors.sparkSession.sparkContext.broadcast((q["doc"].to_numpy(), unit(np.stack([np.asarray(v, float) for v in q["vec"]]))))
+    sent = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows]), unit(np.stack([np.asarray(r[1], float) for r in rows]))))
 
-    def block(batches):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, m = sent.value
         for b in batches:
             if not len(b):
@@ -55,7 +74,7 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
                 out += [(int(ids[i]), int(docs[j]), float(s[i, j])) for j in best if s[i, j] > 0]
             yield pd.DataFrame(out, columns=["query", "doc", "similarity"])
 
-    return top_k(vectors.select("doc", "vec").mapInPandas(block, "query bigint, doc bigint, similarity double"), k).select("query", "rank", "doc", "similarity")
+    return vectors.select("doc", "vec").where(F.col("vec").isNotNull()).mapInPandas(run, "query bigint, doc bigint, similarity double")
 
 
 def summary(evidence: DataFrame, queries: DataFrame) -> DataFrame:

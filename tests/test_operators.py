@@ -158,6 +158,8 @@ def test_dense_search_skips_the_query_itself(spark):
     got = V.dense_search(v.where("doc = 1"), v, 3).collect()
     assert [(r.query, r.rank, r.doc) for r in got] == [(1, 1, 2)]
     assert V.dense_search(v.limit(0), v, 3).count() == 0
+    whole = V.dense_search(v, v, 2)
+    assert whole.count() and whole.exceptAll(V.dense_search(v, v, 2, block=1)).count() == 0
 
 
 def test_readers_and_sinks(spark, tmp_path):
