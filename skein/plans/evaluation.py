@@ -21,9 +21,6 @@ def _case(c: str) -> str:
     return f"CASE {t} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in L.TYPOS.items()) + f" ELSE {t} END"
 
 
-_RAW = "SELECT unnest([" + ", ".join(f"{{'label': '{name}', 'n': " + " + ".join(f"CAST(regexp_matches(coalesce(text, ''), '(?i){p}') AS INTEGER)" for p in ps) + "}" for name, ps in sorted(L.RULES.items())) + "])"
-
-
 def _weak(table: str, key: str, text: str) -> str:
     return (
         f"sc AS (SELECT k, s.label, s.n FROM (SELECT {key} AS k, unnest([" + ", ".join(f"{{'label': '{name}', 'n': " + " + ".join(f"CAST(regexp_matches(coalesce({text}, ''), '(?i){p}') AS INTEGER)" for p in ps) + "}" for name, ps in sorted(L.RULES.items())) + f"]) AS s FROM {table}) WHERE s.n > 0),"

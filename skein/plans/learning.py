@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as X
 from skein.operators import learn as M
-from skein.operators import tfidf as T
 from skein.operators.labels import clean, weak_label
 from skein.plans import relations as R
 from skein.plans import retrieval as V

@@ -7,7 +7,6 @@ import json
 from pyspark.sql import functions as F
 
 from skein.operators import grounding as G
-from skein.plans import relations as R
 from skein.plans.registry import Registry
 from skein.session import read
 
