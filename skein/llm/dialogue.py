@@ -17,8 +17,10 @@ from skein.llm.visual import visible
 from skein.session import Scratch
 
 CUSTOMER, BRAND = "customer", "brand"
-#: Rounds of the offset estimate, and the seconds by which a bound may stay broken.
-ROUNDS, TOLERANCE = 25, 0.5
+#: Seconds by which a bound may stay broken, and the largest step at which the offset estimate has settled.
+TOLERANCE, STEP = 0.5, 0.001
+#: Rounds after which the estimate gives up with an error; its results are never taken before it has settled.
+ROUNDS = 10_000
 #: Turns in one element of a list of turns.
 CHUNK = 1000
 
@@ -67,33 +69,67 @@ def _with_offsets(pairs: DataFrame, x: DataFrame) -> DataFrame:
     return out.withColumn("broken", F.col("lead") + F.coalesce("xa", F.lit(0.0)) - F.coalesce("xb", F.lit(0.0)))
 
 
-def sender_offsets(edges: DataFrame, scratch: Scratch, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def _pulls(at: DataFrame) -> DataFrame:
+    """(s, n, g): of each sender in broken bounds their number and what they ask of its clock in sum."""
+    sides = F.array(F.struct(F.col("b").alias("s"), F.col("u").alias("g")), F.struct(F.col("a").alias("s"), (-F.col("u")).alias("g")))
+    return at.where(F.col("u") > 0).select(F.explode(sides).alias("m")).groupBy("m.s").agg(F.count("*").alias("n"), F.sum("m.g").alias("g"))
+
+
+def _steps(at: DataFrame, pulls: DataFrame) -> DataFrame:
+    """(sender, d): the damped step of each pulled sender; all steps together never raise the sum of squares."""
+    far = F.abs("g") / F.col("n")  # no step is longer
+    pa, pb = (pulls.select(F.col("s").alias(c), F.col("n").alias(f"n{c}"), far.alias(f"far{c}")) for c in ("a", "b"))
+    x = at.join(pa, "a", "left").join(pb, "b", "left").na.fill({"na": 1, "nb": 1, "fara": 0.0, "farb": 0.0})
+    x = x.where(F.col("u") + F.col("fara") + F.col("farb") > 0)  # broken, or a step could break it
+    both = F.col("na") + F.col("nb")
+    weight = x.select(F.explode(F.array(F.struct(F.col("a").alias("s"), (both / F.col("na")).alias("w")), F.struct(F.col("b").alias("s"), (both / F.col("nb")).alias("w")))).alias("m"))
+    weight = weight.groupBy("m.s").agg(F.sum("m.w").alias("w"))
+    return pulls.where(F.col("g") != 0).join(weight, "s").select(F.col("s").alias("sender"), (F.col("g") / F.col("w")).alias("d"))
+
+
+def sender_offsets(edges: DataFrame, scratch: Scratch, rounds: int = ROUNDS, tolerance: float = TOLERANCE, step: float = STEP) -> DataFrame:
     """(sender, x): seconds to add to a sender's timestamps; senders of no broken bound are absent.
 
     Of all replies from a to b only the tightest bound x_b - x_a >= lead matters. The
     sum of squared breaches is brought down by steps in which each side of a broken
     bound takes a share in proportion to how many broken bounds it stands in, so that
-    one wrong clock moves rather than all its partners.
+    one wrong clock moves rather than all its partners. Steps are damped by the bounds
+    they could break, carry momentum, and are taken back if that raises the sum. They
+    end when no bound is broken by more than tolerance or no clock moves by step; where
+    bounds contradict each other, the breaches that are left are the least squares ones.
+    An estimate that has not settled after `rounds` raises a RuntimeError.
     """
     spark = edges.sparkSession
-    x = spark.createDataFrame([], "sender string, x double")
+    state = spark.createDataFrame([], "sender string, x double, was double")
     two = edges.where((F.col("a") != F.col("b")) & F.col("lead").isNotNull())
     pairs = scratch.cut(two.groupBy("a", "b").agg(F.max("lead").alias("lead")), "pairs")
-    # a bound that no moved clock can break takes no part; without broken bounds there is nothing to solve
+    least, k = float("inf"), 0
     for _ in range(rounds):
-        broken = scratch.cut(_with_offsets(pairs, x).where(F.col("broken") > tolerance).select("a", "b", "broken"), "broken")
-        if not broken.limit(1).count():
-            break
-        n = broken.select(F.explode(F.array("a", "b")).alias("s")).groupBy("s").agg(F.count("*").alias("n"))
-        both = broken.join(n.select(F.col("s").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("s").alias("b"), F.col("n").alias("nb")), "b")
-        share = F.col("nb") / (F.col("na") + F.col("nb"))
-        move = both.select(F.explode(F.array(F.struct(F.col("b").alias("sender"), (F.col("broken") * share).alias("d")), F.struct(F.col("a").alias("sender"), (-F.col("broken") * (1 - share)).alias("d")))).alias("m"))
-        step = move.select("m.*").groupBy("sender").agg(F.avg("d").alias("x"))
-        new = scratch.cut(x.unionByName(step).groupBy("sender").agg(F.sum("x").alias("x")), "offsets")
-        scratch.drop(broken, x)
-        x = new
-    scratch.drop(pairs)
-    return x
+        ahead = F.col("x") + (F.col("x") - F.col("was")) * (k / (k + 3))
+        now = _with_offsets(pairs, state.select("sender", "x")).select("a", "b", "lead", F.col("broken").alias("ux"))
+        at = scratch.cut(_with_offsets(now, state.select("sender", ahead.alias("x"))).select("a", "b", "ux", F.col("broken").alias("u")), "bounds")
+        worst, total = at.agg(F.max("ux"), F.sum(F.greatest("ux", F.lit(0.0)) ** 2)).first()
+        if worst is None or worst <= tolerance:
+            settled = True
+        elif k > 1 and total > least:  # momentum went too far
+            settled, k = False, 0
+            back = scratch.cut(state.select("sender", F.col("was").alias("x"), "was"), "offsets")
+            scratch.drop(state)
+            state = back
+        else:
+            least, k = total, k + 1
+            pulls = scratch.cut(_pulls(at), "pulls")
+            moved = state.select("sender", "x", ahead.alias("y")).join(_steps(at, pulls), "sender", "full")
+            x, y, d = (F.coalesce(c, F.lit(0.0)) for c in ("x", "y", "d"))
+            new = scratch.cut(moved.select("sender", (y + d).alias("x"), x.alias("was"), F.abs(d).alias("d")), "offsets")
+            settled = (new.agg(F.max("d")).first()[0] or 0.0) < step
+            scratch.drop(state, pulls)
+            state = new
+        scratch.drop(at)
+        if settled:
+            scratch.drop(pairs)
+            return state.select("sender", "x")
+    raise RuntimeError(f"clock offsets have not settled after {rounds} rounds")
 
 
 def rebuild(rows: DataFrame, scratch: Scratch | None = None, with_text: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -102,7 +138,7 @@ def rebuild(rows: DataFrame, scratch: Scratch | None = None, with_text: bool = F
     turns: conversation_id, position, tweet_id, author, role, corrected_at and, if wanted,
     text, in order of (turn_index, corrected time, tweet_id) for every conversation.
     verdicts: one row per conversation with n_turns, the reasons to reject it (empty: keep)
-    and clock_conflicts, the replies that no offsets reconcile. Reasons: order (the turn
+    and clock_conflicts, the replies older than what they answer by the final clocks. Reasons: order (the turn
     indexes are not 0, 1, 2 ... once each), role (a turn without one), opening (turn 0 is
     not the customer's), reply (no visible brand text after visible customer text).
     An empty table gives empty results; null times take no part in the estimate.
@@ -112,7 +148,7 @@ def rebuild(rows: DataFrame, scratch: Scratch | None = None, with_text: bool = F
     edges = scratch.cut(reply_edges(turns), "edges")
     x = sender_offsets(edges, scratch)
     late = F.col("broken") > TOLERANCE
-    conflicts = _with_offsets(edges.where(F.col("lead") > 0), x).where(late).groupBy("conversation_id").agg(F.count("*").alias("clock_conflicts"))
+    conflicts = _with_offsets(edges.where(F.col("lead").isNotNull()), x).where(late).groupBy("conversation_id").agg(F.count("*").alias("clock_conflicts"))
 
     i, seen, role = F.col("turn_index"), F.col("seen"), F.col("role")
     by_index = turns.groupBy("conversation_id", "turn_index").agg(

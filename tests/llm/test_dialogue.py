@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from skein.llm import dialogue as D
@@ -68,6 +69,38 @@ def test_replies_that_no_clock_explains_are_counted(spark):
     assert r.clock_conflicts > 0 and r.reasons == []
 
 
+def test_contradicting_bounds_settle_and_every_broken_reply_counts(spark):
+    late, early = T0 - dt.timedelta(seconds=7200), T0 + dt.timedelta(seconds=60)
+    rows = [("c", 1, "1", None, T0, "a", None, 0), ("c", 2, "B", None, late, "b", 1, 1), ("d", 1, "B", None, T0, "a", None, 0), ("d", 2, "1", None, early, "b", 1, 1)]
+    df = frame(spark, rows)
+    edges = D.reply_edges(D.merged_turns(df))
+    x = {r.sender: r.x for r in D.sender_offsets(edges, Scratch(spark, "x")).collect()}
+    assert abs(x["B"] - x["1"] - 3630) < 0.1
+    assert {r.conversation_id: r.clock_conflicts for r in D.rebuild(df)[1].collect()} == {"c": 1, "d": 1}
+    with pytest.raises(RuntimeError):
+        D.sender_offsets(edges, Scratch(spark, "x"), rounds=1)
+
+
+def test_offsets_reach_the_least_squares_breaches(spark):
+    rng = random.Random(3)
+    bounds = {}
+    for _ in range(30):
+        a, b = rng.sample("abcdefgh", 2)
+        bounds[a, b] = rng.uniform(-900, 500)
+    x = dict.fromkeys("abcdefgh", 0.0)
+    for _ in range(40_000):  # plain gradient steps
+        g = dict.fromkeys(x, 0.0)
+        for (a, b), lead in bounds.items():
+            u = max(0.0, lead + x[a] - x[b])
+            g[a], g[b] = g[a] - u, g[b] + u
+        x = {s: v + g[s] / 30 for s, v in x.items()}
+    want = {p: max(0.0, lead + x[p[0]] - x[p[1]]) for p, lead in bounds.items()}
+    assert sum(u > 1 for u in want.values()) > 2
+    edges = spark.createDataFrame([(a, b, lead) for (a, b), lead in bounds.items()], "a string, b string, lead double")
+    y = {r.sender: r.x for r in D.sender_offsets(edges, Scratch(spark, "x")).collect()}
+    assert all(abs(max(0.0, lead + y.get(a, 0.0) - y.get(b, 0.0)) - want[a, b]) < 0.1 for (a, b), lead in bounds.items())
+
+
 def test_ordered_lists_and_empty_table(spark):
     rows = [turn("a", 0, "1", text="x"), turn("a", 1, "B", text="y"), turn("a", 2, "1", text="z")]
     t, v = D.rebuild(frame(spark, rows[::-1] + rows[:1]), with_text=True)
