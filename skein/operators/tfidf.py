@@ -30,8 +30,8 @@ def weights(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     return w.join(norm, "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def fit(docs: DataFrame, scratch: Scratch, min_df: int = 2, max_df: float = 0.6, max_features: int | None = 100_000) -> tuple[DataFrame, DataFrame]:
-    """(weights, vocabulary) of docs (doc, tokens)."""
+def fit(docs: DataFrame, scratch: Scratch, min_df: int = 2, max_df: float = 0.6, max_features: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(weights, vocabulary) of docs (doc, tokens); all terms count unless max_features is given."""
     counts = scratch.cut(term_counts(docs), "counts")
     n = docs.select("doc").distinct().count()
     vocab = scratch.cut(vocabulary(counts, n, min_df, max_df, max_features), "vocabulary")

@@ -14,6 +14,7 @@ from skein.operators import ranks
 from skein.operators import retrieval as V
 from skein.operators import sampling as A
 from skein.operators import similarity as J
+from skein.operators import tfidf as T
 from skein.session import Scratch
 from skein.sources import readers, sinks
 from skein.streaming import stream
@@ -212,3 +213,12 @@ def test_resampled_statistics_equal_a_direct_count(spark):
         assert f1[b] == pytest.approx(want)
         po, pe = sum(u == v for u, v in zip(t, p, strict=True)) / 30, sum(t.count(x) * p.count(x) for x in "abc") / 900
         assert kappa[b] == pytest.approx((po - pe) / (1 - pe))
+
+
+def test_no_term_is_cut_from_the_vocabulary_unasked(spark):
+    n = 100_100
+    tokens = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda x: x.cast("string"))
+    docs = spark.range(4).select(F.col("id").alias("doc"), F.when(F.col("id") < 2, tokens).otherwise(F.array(F.lit("x"))).alias("tokens"))
+    weights, vocab = T.fit(docs, Scratch(spark, "fit"))
+    assert vocab.count() == n + 1 and weights.count() == 2 * n + 2
+    assert T.fit(docs, Scratch(spark, "fit"), max_features=5)[1].count() == 5
