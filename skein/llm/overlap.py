@@ -24,15 +24,15 @@ TRAIN, HELD_OUT = "train", ("validation", "test")
 
 
 def words(c: Column) -> Column:
-    """A text's distinct words as a reader sees them: without case, links and handles."""
+    """A text's words in order, as a reader sees them: without case, links and handles."""
     t = F.regexp_replace(F.lower(look_key(c)), LINK_OR_HANDLE, " ")
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(WORD), F.lit(1))))
+    return F.regexp_extract_all(t, F.lit(WORD), F.lit(1))
 
 
-def text_classes(rows: DataFrame, text: str, split: Column, scratch: Scratch, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+def text_classes(rows: DataFrame, text: str, split: Column, scratch: Scratch, min_words: int = MIN_WORDS, repeats: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows with class_id, one row per class of equal word sets): class_id is null for texts too short to compare."""
-    w = words(F.col(text).cast("string"))
-    marked = scratch.cut(rows.withColumn("_words", w).withColumn("class_id", F.when(F.size("_words") >= min_words, F.xxhash64("_words"))).withColumn("_split", split), "marked")
+    listed = rows.withColumn("_all", words(F.col(text).cast("string"))).withColumn("_words", F.array_sort(F.array_distinct("_all")))
+    marked = scratch.cut(listed.withColumn("class_id", F.when(F.size("_all" if repeats else "_words") >= min_words, F.xxhash64("_words"))).withColumn("_split", split).drop("_all"), "marked")
     classes = marked.where(F.col("class_id").isNotNull()).groupBy("class_id").agg(F.first("_words").alias("words"), F.max(F.col("_split") == TRAIN).alias("trains"), F.max(F.col("_split").isin(*HELD_OUT)).alias("tests"))
     return marked.drop("_words"), scratch.cut(classes, "classes")
 
@@ -56,16 +56,16 @@ class CrossSplit:
     """Overlaps between training and held-out rows of one table.
 
     Rows join by conversation (see text_key) or by text: at least min_words distinct words
-    on both sides, alike by `threshold` or more. Null texts and conversations join nothing,
+    on both sides (all words with repeats), alike by `threshold` or more. Null texts and conversations join nothing,
     rows of no or another split take no part, and rows without a key are ignored. If a key
     has rows in both kinds of splits, it is not paired with itself.
     """
 
-    def __init__(self, rows: DataFrame, key: str, text: str, split: str = "split", conversation: str = "conversation_id", source: str | None = "source", threshold: float = THRESHOLD, min_words: int = MIN_WORDS):
+    def __init__(self, rows: DataFrame, key: str, text: str, split: str = "split", conversation: str = "conversation_id", source: str | None = "source", threshold: float = THRESHOLD, min_words: int = MIN_WORDS, repeats: bool = False):
         self.scratch = Scratch(rows.sparkSession, "overlap")
         r = rows.select(F.col(key).alias("key"), text_key(F.col(conversation)).alias("conv"), text_key(F.col(split)).alias("sp"), (F.col(source) if source else F.lit(None).cast("string")).alias("source"), F.col(text).alias("text"))
         r = r.where(F.col("key").isNotNull() & F.col("sp").isin(TRAIN, *HELD_OUT))
-        self.rows, classes = text_classes(r, "text", F.col("sp"), self.scratch, min_words)
+        self.rows, classes = text_classes(r, "text", F.col("sp"), self.scratch, min_words, repeats)
         self.rows = self.rows.select("key", "conv", "sp", "source", "class_id").distinct()
         self.links = self.scratch.cut(alike_classes(classes, self.scratch, threshold), "links")
 

@@ -122,7 +122,7 @@ SELECT r AS annotation_id, min(s) AS group_id FROM reach GROUP BY r HAVING count
 
 
 def _overlap(spark: SparkSession, sf_dir: str) -> O.CrossSplit:
-    return O.CrossSplit(read(spark, sf_dir, "b02_fresh_labelled"), "annotation_id", "text_display")
+    return O.CrossSplit(read(spark, sf_dir, "b02_fresh_labelled"), "annotation_id", "text_display", repeats=True)
 
 
 @query

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from skein.llm import overlap as O
+from skein.llm import queries as Q
 
 SCHEMA = "annotation_id string, conversation_id string, split string, source string, text_display string"
 
@@ -51,3 +52,11 @@ def test_a_hot_group_of_copies(spark):
 def test_empty_table(spark):
     x = O.CrossSplit(spark.createDataFrame([], SCHEMA), "annotation_id", "text_display")
     assert x.pairs().count() == 0 and x.report().count() == 0
+
+
+def test_repeated_words_count_towards_the_least_length(spark, tmp_path):
+    data = [("t1", None, "train", "s", "no no no no reply again"), ("v1", None, "test", "s", "No, no reply again! No no"), ("t2", None, "train", "s", "no way to go there"), ("v2", None, "test", "s", "no way to go there")]
+    spark.createDataFrame(data, SCHEMA).write.parquet(f"{tmp_path}/b02_fresh_labelled.parquet")
+    x = Q._overlap(spark, str(tmp_path))
+    assert [tuple(r) for r in x.pairs().collect()] == [("t1", "v1")]
+    assert [(r.records, r.overlapping, r.same_words) for r in x.report().collect()] == [(2, 1, 1)]
