@@ -41,6 +41,16 @@ def test_mixture(spark):
     assert none.count() == 3 and none.agg(F.sum("tokens")).first()[0] == 0
 
 
+@needs_vocabulary
+def test_every_listed_source_counts(spark):
+    n = 10_050
+    targets = spark.range(n, numPartitions=1).select(F.concat(F.lit("s"), "id").alias("source"), F.lit(1.0 / n).alias("target_share"), F.lit(2).alias("max_repeats"))
+    docs = spark.createDataFrame([(i, s, "the bag and the gate") for i, s in enumerate(["s0", f"s{n - 1}"])], "doc_id bigint, source string, text string")
+    _, report = M.mix(docs, targets)
+    got = {r.source: r.tokens for r in report.where("tokens > 0").collect()}
+    assert set(got) == {"s0", f"s{n - 1}"}
+
+
 @needs_vocabulary
 def test_tokens_round_trip():
     e = M.encoder(M.TOKENIZER)
