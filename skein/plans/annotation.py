@@ -140,13 +140,19 @@ def rating_sample(spark, sf):
     return A.per_group(g, "stratum", "annotation_id", 4, 46).select("annotation_id", "stratum")
 
 
+def _item_id(k):
+    """j and the number in six digits, or as many as it has."""
+    n = k.cast("string")
+    return F.concat(F.lit("j"), F.lpad(n, F.greatest(F.lit(6), F.length(n)), F.lit("0")))
+
+
 @query("SELECT query_id, rank, 'j' || lpad(CAST(k AS VARCHAR), 6, '0') AS item_id FROM (SELECT query_id, rank, row_number() OVER (ORDER BY md5(query_id || ':' || rank || ':47'), query_id, rank) AS k FROM (SELECT DISTINCT query_id, rank FROM evidence WHERE query_id IS NOT NULL))")
 def judge_items(spark, sf):
     """(query, rank) pairs in hash order with ids that carry no order of theirs."""
     s = Scratch(spark, "items")
     e = read(spark, sf, "evidence").where(F.col("query_id").isNotNull()).select("query_id", "rank").distinct()
     e = e.withColumn("_h", F.md5(F.concat_ws(":", "query_id", "rank", F.lit("47")))).withColumn("_all", F.lit(0))
-    return ranked(e, ["_all"], ["_h", "query_id", "rank"], "_k", s).select("query_id", "rank", F.concat(F.lit("j"), F.lpad(F.col("_k").cast("string"), 6, "0")).alias("item_id"))
+    return ranked(e, ["_all"], ["_h", "query_id", "rank"], "_k", s).select("query_id", "rank", _item_id(F.col("_k")).alias("item_id"))
 
 
 @query(f"WITH {PV._EV} SELECT e.query_id, rank, q.label AS want, e.label FROM ev e JOIN qs q USING (query_id)")

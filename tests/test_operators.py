@@ -15,6 +15,7 @@ from skein.operators import retrieval as V
 from skein.operators import sampling as A
 from skein.operators import similarity as J
 from skein.operators import tfidf as T
+from skein.plans.annotation import _item_id
 from skein.session import Scratch
 from skein.sources import readers, sinks
 from skein.streaming import stream
@@ -222,3 +223,8 @@ def test_no_term_is_cut_from_the_vocabulary_unasked(spark):
     weights, vocab = T.fit(docs, Scratch(spark, "fit"))
     assert vocab.count() == n + 1 and weights.count() == 2 * n + 2
     assert T.fit(docs, Scratch(spark, "fit"), max_features=5)[1].count() == 5
+
+
+def test_item_ids_stay_apart_beyond_six_digits(spark):
+    df = spark.createDataFrame([(7,), (100_000,), (1_000_000,), (1_000_001,)], "k bigint")
+    assert [r[0] for r in df.orderBy("k").select(_item_id(F.col("k"))).collect()] == ["j000007", "j100000", "j1000000", "j1000001"]
