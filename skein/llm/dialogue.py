@@ -2,9 +2,10 @@
 
 A reply cannot be older than what it answers. From all replies between two senders
 follows how far their clocks must at least differ; the offsets that break these
-bounds least, in the sense of least squares, correct the timestamps. Each sender's
-turns are then merged into one order per conversation, and conversations whose
-constraints cannot be met, or that are empty or lack a reply, are rejected.
+bounds least, in the sense of least squares, correct the timestamps, and the replies
+that they still leave broken are counted. Conversations whose turn indexes are not
+complete and unique, or that are empty or lack a reply, are rejected; in those that
+stay the indexes decide the order, and the corrected times are only reported.
 """
 
 from __future__ import annotations
@@ -135,8 +136,8 @@ def sender_offsets(edges: DataFrame, scratch: Scratch, rounds: int = ROUNDS, tol
 def rebuild(rows: DataFrame, scratch: Scratch | None = None, with_text: bool = False) -> tuple[DataFrame, DataFrame]:
     """(turns, verdicts).
 
-    turns: conversation_id, position, tweet_id, author, role, corrected_at and, if wanted,
-    text, in order of (turn_index, corrected time, tweet_id) for every conversation.
+    turns: conversation_id, turn_index, tweet_id, author, role, corrected_at and, if wanted,
+    text, in no order; kept_turns() takes turn_index as the position.
     verdicts: one row per conversation with n_turns, the reasons to reject it (empty: keep)
     and clock_conflicts, the replies older than what they answer by the final clocks. Reasons: order (the turn
     indexes are not 0, 1, 2 ... once each), role (a turn without one), opening (turn 0 is
