@@ -113,14 +113,26 @@ def random_items(queries: DataFrame, pool: DataFrame, k: int, seed: int, probes:
     """(query, rank, item): k pool items per query, drawn by hash without replacement.
 
     Every query draws k * probes places of the pool's hash order and keeps the first k that
-    are not its own group's; the pool is never paired with all queries. queries: query, grp;
-    pool: pos (0 .. n - 1, unique), item, grp. A pool smaller than k * probes is taken whole.
+    are not its own group's; the pool is never paired with all queries. Queries that are
+    still short draw on, twice as many each time, until they have k items or all that are
+    eligible. queries: query, grp; pool: pos (0 .. n - 1, unique), item (unique), grp.
     """
     n = pool.count()
-    draws = k * probes
     if n == 0:
         return queries.sparkSession.createDataFrame([], "query string, rank int, item string")
+    scratch = Scratch(queries.sparkSession, "draws")
     place = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", "query", "j", F.lit(str(seed)))), 1, 15), 16, 10).cast("bigint"), F.lit(n))
-    d = queries.select("query", F.col("grp").alias("q_grp"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("j")).select("query", "q_grp", "j", place.alias("pos"))
-    hit = d.join(pool, "pos").where(~F.coalesce(F.col("grp") == F.col("q_grp"), F.lit(False))).groupBy("query", "item").agg(F.min("j").alias("j"))
+    own = pool.groupBy(F.col("grp").alias("q_grp")).agg(F.count("*").alias("own"))
+    short = queries.select("query", F.col("grp").alias("q_grp")).join(own, "q_grp", "left")
+    short = scratch.cut(short.select("query", "q_grp", F.least(F.lit(k), F.lit(n) - F.coalesce("own", F.lit(0))).alias("need")), "queries")
+    start, end, hit = 0, k * probes, None
+    while True:
+        d = short.select("query", "q_grp", F.explode(F.sequence(F.lit(start), F.lit(end - 1))).alias("j")).select("query", "q_grp", "j", place.alias("pos"))
+        new = d.join(pool, "pos").where(~F.coalesce(F.col("grp") == F.col("q_grp"), F.lit(False))).select("query", "item", "j")
+        hit = scratch.cut((new if hit is None else hit.unionByName(new)).groupBy("query", "item").agg(F.min("j").alias("j")), "hits")
+        found = hit.groupBy("query").agg(F.count("*").alias("found"))
+        short = scratch.cut(short.join(found, "query", "left").where(F.coalesce("found", F.lit(0)) < F.col("need")).drop("found"), "short")
+        if not short.limit(1).count():
+            break
+        start, end = end, 2 * end
     return hit.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("j", "item"))).where(F.col("rank") <= k).select("query", "rank", "item")

@@ -228,3 +228,12 @@ def test_no_term_is_cut_from_the_vocabulary_unasked(spark):
 def test_item_ids_stay_apart_beyond_six_digits(spark):
     df = spark.createDataFrame([(7,), (100_000,), (1_000_000,), (1_000_001,)], "k bigint")
     assert [r[0] for r in df.orderBy("k").select(_item_id(F.col("k"))).collect()] == ["j000007", "j100000", "j1000000", "j1000001"]
+
+
+def test_random_items_are_drawn_until_all_eligible_are_found(spark):
+    pool = spark.range(200).select(F.col("id").alias("pos"), F.format_string("i%03d", "id").alias("item"), F.when(F.col("id") >= 3, "g").alias("grp"))
+    queries = spark.createDataFrame([(1, "g"), (2, "g"), (3, "h"), (4, None)], "query bigint, grp string")
+    got = {}
+    for r in V.random_items(queries, pool, 5, 42).collect():
+        got.setdefault(r["query"], []).append(r["item"])
+    assert sorted(got[1]) == sorted(got[2]) == ["i000", "i001", "i002"] and len(set(got[3])) == len(set(got[4])) == 5
