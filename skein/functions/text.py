@@ -27,8 +27,13 @@ def blank(c: Column) -> Column:
 
 def canonical(c: Column) -> Column:
     """Lower case without links and mentions; runs of a-z, 0-9 and ' joined by one space; null is empty."""
+    return F.array_join(canonical_tokens(c), " ")
+
+
+def canonical_tokens(c: Column) -> Column:
+    """The tokens of canonical(), made in one go."""
     t = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), URL, " "), MENTION, " ")
-    return F.array_join(F.regexp_extract_all(t, F.lit(f"({TOKENS})"), F.lit(1)), " ")
+    return F.regexp_extract_all(t, F.lit(f"({TOKENS})"), F.lit(1))
 
 
 def unescaped(c: Column) -> Column:

@@ -26,7 +26,7 @@ COPY_RATIO, COPY_LENGTH, SPAN = 0.90, 20, 200
 
 
 def _all(c: Column, pattern: str) -> Column:
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), F.lit(1))))
+    return F.sort_array(F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), F.lit(1))))
 
 
 def unsupported_urls(reply: Column, allowed: Column) -> Column:

@@ -22,17 +22,17 @@ def flagged(corpus: DataFrame, held: DataFrame, scratch: Scratch, threshold: flo
 
     held: conversation, customer, text. Null keys match nothing, empty texts match no text.
     """
-    c = corpus.withColumn("_norm", X.canonical(F.col("text")))
-    out = c
+    # texts are normalised once and written, as several joins read them
+    c = scratch.cut(corpus.withColumn("_t", X.canonical_tokens(F.col("text"))), "corpus").withColumn("_norm", F.array_join("_t", " "))
+    h = scratch.cut(held.withColumn("_t", X.canonical_tokens(F.col("text"))), "held").withColumn("_norm", F.array_join("_t", " "))
+    out = c.drop("_t")
     for name, column in (("conversation", "conversation"), ("customer", "customer")):
-        keys = held.select(F.col(column).alias("_k")).where(F.col("_k").isNotNull()).distinct().withColumn(f"_{name}", F.lit(True))
+        keys = h.select(F.col(column).alias("_k")).where(F.col("_k").isNotNull()).distinct().withColumn(f"_{name}", F.lit(True))
         out = out.join(keys, out[column] == keys["_k"], "left").drop("_k")
-    norms = held.select(X.canonical(F.col("text")).alias("_n")).where(F.col("_n") != "").distinct().withColumn("_exact_text", F.lit(True))
+    norms = h.select(F.col("_norm").alias("_n")).where(F.col("_n") != "").distinct().withColumn("_exact_text", F.lit(True))
     out = out.join(norms, out["_norm"] == norms["_n"], "left").drop("_n")
-    tokens = F.split("_norm", " ")
-    full = F.when(F.col("_norm") != "", tokens)
-    members, classes = token_classes(c.withColumn("_t", full), "id", F.col("_t"), scratch)
-    _, gold = token_classes(held.select(F.monotonically_increasing_id().alias("id"), F.when(X.canonical(F.col("text")) != "", F.split(X.canonical(F.col("text")), " ")).alias("_t")), "id", F.col("_t"), scratch)
+    members, classes = token_classes(c, "id", F.col("_t"), scratch)
+    _, gold = token_classes(h.select(F.monotonically_increasing_id().alias("id"), "_t"), "id", F.col("_t"), scratch)
     near = jaccard_join(classes, gold, scratch, threshold).select(F.col("a").alias("class_id")).distinct()
     ids = members.join(near, "class_id").select(F.col("key").alias("_id")).withColumn("_near_duplicate", F.lit(True))
     out = out.join(ids, out["id"] == ids["_id"], "left").drop("_id")

@@ -31,8 +31,7 @@ p AS (SELECT x.class_id AS a, y.class_id AS b, count(*) / (any_value(x.n) + any_
 
 
 def _near(spark, sf):
-    t = F.when(X.canonical(F.col("text")) != "", F.split(X.canonical(F.col("text")), " "))
-    return J.near_duplicates(read(spark, sf, "documents").select("doc_id", "text"), "doc_id", t, Scratch(spark, "near"))
+    return J.near_duplicates(read(spark, sf, "documents").select("doc_id", "text"), "doc_id", X.canonical_tokens(F.col("text")), Scratch(spark, "near"))
 
 
 @query(f"WITH {_DOCS} SELECT a, b, round(jaccard, 6) AS jaccard FROM p")
