@@ -31,7 +31,7 @@ def words(c: Column) -> Column:
 
 def text_classes(rows: DataFrame, text: str, split: Column, scratch: Scratch, min_words: int = MIN_WORDS, repeats: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows with class_id, one row per class of equal word sets): class_id is null for texts too short to compare."""
-    listed = rows.withColumn("_all", words(F.col(text).cast("string"))).withColumn("_words", F.array_sort(F.array_distinct("_all")))
+    listed = rows.withColumn("_all", words(F.col(text).cast("string"))).withColumn("_words", F.sort_array(F.array_distinct("_all")))
     marked = scratch.cut(listed.withColumn("class_id", F.when(F.size("_all" if repeats else "_words") >= min_words, F.xxhash64("_words"))).withColumn("_split", split).drop("_all"), "marked")
     classes = marked.where(F.col("class_id").isNotNull()).groupBy("class_id").agg(F.first("_words").alias("words"), F.max(F.col("_split") == TRAIN).alias("trains"), F.max(F.col("_split").isin(*HELD_OUT)).alias("tests"))
     return marked.drop("_words"), scratch.cut(classes, "classes")
