@@ -2,19 +2,24 @@
 
 A reply cannot be older than what it answers. From all replies between two senders
 follows how far their clocks must at least differ; the offsets that break these
-bounds least, in the sense of least squares, correct the timestamps, and the replies
-that they still leave broken are counted. Conversations whose turn indexes are not
-complete and unique, or that are empty or lack a reply, are rejected; in those that
-stay the indexes decide the order, and the corrected times are only reported.
+bounds least, in the sense of least squares, correct the timestamps. Bounds that the
+offsets still break contradict each other: they lie on a loop of replies that no clocks
+satisfy, and their conversations are infeasible. Turns are merged by corrected time.
+Conversations whose turn indexes are not complete and unique, or that are empty or lack a
+reply, are rejected, infeasible ones too if asked for.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.ids import outer_trim
 from skein.llm.visual import visible
+from skein.operators.ranks import ranked
+from skein.operators.skew import hot_keys, lookup
 from skein.session import Scratch
 
 CUSTOMER, BRAND = "customer", "brand"
@@ -56,17 +61,31 @@ def merged_turns(rows: DataFrame, with_text: bool = False) -> DataFrame:
 
 
 def reply_edges(turns: DataFrame) -> DataFrame:
-    """(conversation_id, a, b, lead, inverted): sender b answers a; lead is by how many seconds the question is younger."""
+    """(conversation_id, a, b, lead): sender b answers a; lead is by how many seconds the question is younger.
+
+    A question with very many answers is looked up, not joined in one task.
+    """
     known = F.col("parent").isNotNull() & (F.col("parent") != F.col("tweet_id"))
-    child = turns.where(known).select("conversation_id", F.col("parent").alias("p"), F.col("author").alias("b"), F.col("at").alias("t_b"), F.col("turn_index").alias("i_b"))
-    asked = turns.select(F.col("conversation_id").alias("c"), F.col("tweet_id").alias("q"), F.col("author").alias("a"), F.col("at").alias("t_a"), F.col("turn_index").alias("i_a"))
-    e = child.join(asked, (child.conversation_id == asked.c) & (child.p == asked.q))
-    return e.select("conversation_id", "a", "b", ((F.col("t_a") - F.col("t_b")) / 1e6).alias("lead"), (F.col("i_a") >= F.col("i_b")).alias("inverted"))
+    place = lambda c: F.concat_ws("\x01", "conversation_id", F.col(c).cast("string")).alias("place")
+    child = turns.where(known).select("conversation_id", place("parent"), F.col("author").alias("b"), F.col("at").alias("t_b"))
+    asked = turns.where(F.col("tweet_id").isNotNull()).select(place("tweet_id"), F.col("author").alias("a"), F.col("at").alias("t_a"))
+    return lookup(child, "place", asked, "inner").select("conversation_id", "a", "b", ((F.col("t_a") - F.col("t_b")) / 1e6).alias("lead"))
+
+
+class Hot(NamedTuple):
+    """Senders that stand in many of some rows, as the asking and as the answering side."""
+
+    a: list
+    b: list
 
 
-def _with_offsets(pairs: DataFrame, x: DataFrame) -> DataFrame:
+def _hot(rows: DataFrame) -> Hot:
+    return Hot(hot_keys(rows, "a"), hot_keys(rows, "b"))
+
+
+def _with_offsets(pairs: DataFrame, x: DataFrame, hot: Hot) -> DataFrame:
     xa, xb = x.select(F.col("sender").alias("a"), F.col("x").alias("xa")), x.select(F.col("sender").alias("b"), F.col("x").alias("xb"))
-    out = pairs.join(xa, "a", "left").join(xb, "b", "left")
+    out = lookup(lookup(pairs, "a", xa, keys=hot.a), "b", xb, keys=hot.b)
     return out.withColumn("broken", F.col("lead") + F.coalesce("xa", F.lit(0.0)) - F.coalesce("xb", F.lit(0.0)))
 
 
@@ -76,11 +95,11 @@ def _pulls(at: DataFrame) -> DataFrame:
     return at.where(F.col("u") > 0).select(F.explode(sides).alias("m")).groupBy("m.s").agg(F.count("*").alias("n"), F.sum("m.g").alias("g"))
 
 
-def _steps(at: DataFrame, pulls: DataFrame) -> DataFrame:
+def _steps(at: DataFrame, pulls: DataFrame, hot: Hot) -> DataFrame:
     """(sender, d): the damped step of each pulled sender; all steps together never raise the sum of squares."""
     far = F.abs("g") / F.col("n")  # no step is longer
     pa, pb = (pulls.select(F.col("s").alias(c), F.col("n").alias(f"n{c}"), far.alias(f"far{c}")) for c in ("a", "b"))
-    x = at.join(pa, "a", "left").join(pb, "b", "left").na.fill({"na": 1, "nb": 1, "fara": 0.0, "farb": 0.0})
+    x = lookup(lookup(at, "a", pa, keys=hot.a), "b", pb, keys=hot.b).na.fill({"na": 1, "nb": 1, "fara": 0.0, "farb": 0.0})
     x = x.where(F.col("u") + F.col("fara") + F.col("farb") > 0)  # broken, or a step could break it
     both = F.col("na") + F.col("nb")
     weight = x.select(F.explode(F.array(F.struct(F.col("a").alias("s"), (both / F.col("na")).alias("w")), F.struct(F.col("b").alias("s"), (both / F.col("nb")).alias("w")))).alias("m"))
@@ -104,11 +123,12 @@ def sender_offsets(edges: DataFrame, scratch: Scratch, rounds: int = ROUNDS, tol
     state = spark.createDataFrame([], "sender string, x double, was double")
     two = edges.where((F.col("a") != F.col("b")) & F.col("lead").isNotNull())
     pairs = scratch.cut(two.groupBy("a", "b").agg(F.max("lead").alias("lead")), "pairs")
+    hot = _hot(pairs)
     least, k = float("inf"), 0
     for _ in range(rounds):
         ahead = F.col("x") + (F.col("x") - F.col("was")) * (k / (k + 3))
-        now = _with_offsets(pairs, state.select("sender", "x")).select("a", "b", "lead", F.col("broken").alias("ux"))
-        at = scratch.cut(_with_offsets(now, state.select("sender", ahead.alias("x"))).select("a", "b", "ux", F.col("broken").alias("u")), "bounds")
+        now = _with_offsets(pairs, state.select("sender", "x"), hot).select("a", "b", "lead", F.col("broken").alias("ux"))
+        at = scratch.cut(_with_offsets(now, state.select("sender", ahead.alias("x")), hot).select("a", "b", "ux", F.col("broken").alias("u")), "bounds")
         worst, total = at.agg(F.max("ux"), F.sum(F.greatest("ux", F.lit(0.0)) ** 2)).first()
         if worst is None or worst <= tolerance:
             settled = True
@@ -120,7 +140,7 @@ def sender_offsets(edges: DataFrame, scratch: Scratch, rounds: int = ROUNDS, tol
         else:
             least, k = total, k + 1
             pulls = scratch.cut(_pulls(at), "pulls")
-            moved = state.select("sender", "x", ahead.alias("y")).join(_steps(at, pulls), "sender", "full")
+            moved = state.select("sender", "x", ahead.alias("y")).join(_steps(at, pulls, hot), "sender", "full")
             x, y, d = (F.coalesce(c, F.lit(0.0)) for c in ("x", "y", "d"))
             new = scratch.cut(moved.select("sender", (y + d).alias("x"), x.alias("was"), F.abs(d).alias("d")), "offsets")
             settled = (new.agg(F.max("d")).first()[0] or 0.0) < step
@@ -137,19 +157,21 @@ def rebuild(rows: DataFrame, scratch: Scratch | None = None, with_text: bool = F
     """(turns, verdicts).
 
     turns: conversation_id, turn_index, tweet_id, author, role, corrected_at and, if wanted,
-    text, in no order; kept_turns() takes turn_index as the position.
-    verdicts: one row per conversation with n_turns, the reasons to reject it (empty: keep)
-    and clock_conflicts, the replies older than what they answer by the final clocks. Reasons: order (the turn
-    indexes are not 0, 1, 2 ... once each), role (a turn without one), opening (turn 0 is
-    not the customer's), reply (no visible brand text after visible customer text).
-    An empty table gives empty results; null times take no part in the estimate.
+    text, in no order; see kept_turns() and merged_by_time().
+    verdicts: one row per conversation with n_turns, the reasons to reject it (empty: keep),
+    and clock_conflicts, the replies older than what they answer by the final clocks: since
+    the offsets are the least squares ones, any of these makes the conversation infeasible.
+    Reasons: order (the turn indexes are not 0, 1, 2 ... once each), role (a turn without
+    one), opening (turn 0 is not the customer's), reply (no visible brand text after visible
+    customer text). An empty table gives empty results; null times take no part in the
+    estimate.
     """
     scratch = scratch or Scratch(rows.sparkSession, "dialogue")
     turns = scratch.cut(merged_turns(rows, with_text), "turns")
     edges = scratch.cut(reply_edges(turns), "edges")
     x = sender_offsets(edges, scratch)
-    late = F.col("broken") > TOLERANCE
-    conflicts = _with_offsets(edges.where(F.col("lead").isNotNull()), x).where(late).groupBy("conversation_id").agg(F.count("*").alias("clock_conflicts"))
+    timed = edges.where(F.col("lead").isNotNull())
+    conflicts = _with_offsets(timed, x, _hot(timed)).where(F.col("broken") > TOLERANCE).groupBy("conversation_id").agg(F.count("*").alias("clock_conflicts"))
 
     i, seen, role = F.col("turn_index"), F.col("seen"), F.col("role")
     by_index = turns.groupBy("conversation_id", "turn_index").agg(
@@ -182,18 +204,23 @@ def rebuild(rows: DataFrame, scratch: Scratch | None = None, with_text: bool = F
     verdicts = per.select("conversation_id", "n_turns", reasons.alias("reasons")).join(conflicts, "conversation_id", "left").withColumn("clock_conflicts", F.coalesce("clock_conflicts", F.lit(0)).cast("bigint"))
     shift = x.select(F.col("sender").alias("author"), "x")
     at = F.timestamp_micros((F.col("at") + F.coalesce("x", F.lit(0.0)) * 1e6).cast("bigint"))
-    out = turns.join(shift, "author", "left").select("conversation_id", "turn_index", "tweet_id", "author", "role", at.alias("corrected_at"), *(["text"] if with_text else []))
+    out = lookup(turns, "author", shift).select("conversation_id", "turn_index", "tweet_id", "author", "role", at.alias("corrected_at"), *(["text"] if with_text else []))
     return out, scratch.cut(verdicts, "verdicts")
 
 
-def kept_turns(turns: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The turns of accepted conversations; their merged order is position 0, 1, 2 ...
+def kept_turns(turns: DataFrame, verdicts: DataFrame, feasible: bool = False) -> DataFrame:
+    """The turns of accepted conversations, with position 0, 1, 2 ... by turn index; feasible: without infeasible ones."""
+    good = verdicts.where((F.size("reasons") == 0) & ((F.col("clock_conflicts") == 0) | F.lit(not feasible))).select("conversation_id")
+    return turns.join(good, "conversation_id", "left_semi").withColumnRenamed("turn_index", "position")
+
+
+def merged_by_time(kept: DataFrame, scratch: Scratch) -> DataFrame:
+    """kept with merged, the place in its conversation by corrected time (ties and unknown times: by position), from 0.
 
-    An accepted conversation's turn indexes are complete and unique, so the merge of its
-    senders' turns is decided by them alone and no conversation is gathered in one task.
+    Conversations of any size are ranked across tasks.
     """
-    good = verdicts.where(F.size("reasons") == 0).select("conversation_id")
-    return turns.join(good, "conversation_id", "left_semi").withColumnRenamed("turn_index", "position")
+    timed = kept.withColumn("_t", F.coalesce(F.unix_micros("corrected_at"), F.lit(2**62)))
+    return ranked(timed, ["conversation_id"], ["_t", "position"], "_n", scratch).withColumn("merged", (F.col("_n") - 1).cast("int")).drop("_n", "_t")
 
 
 def turn_lists(kept: DataFrame, chunk: int = CHUNK) -> DataFrame:

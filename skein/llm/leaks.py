@@ -1,6 +1,7 @@
 """Held-out passages inside a training corpus.
 
-Items and documents are word sequences; five consecutive words make a shingle. A
+Items and documents are word sequences; five consecutive words make a shingle, which is
+kept as a 64-bit hash, since the words themselves are compared in the end. A
 document that reproduces enough of an item, with some words changed, must share a
 known number of the item's shingles with it, hence at least one of the rarest
 m - t + 1. Only documents that meet this prefix are joined further; the places of the
@@ -10,6 +11,7 @@ of that window are compared exactly and in order.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import math
 import re
@@ -27,10 +29,13 @@ from skein.session import Scratch
 SHINGLE = 5
 #: A passage counts from this many words and this share of the item on, with one word in CHANGED altered.
 LEAST_WORDS, LEAST_SHARE, CHANGED = 20, 0.4, 12
-#: Most item shingles that are sent to every task; more of them are joined by a shuffle instead.
-BROADCAST_SHINGLES = 2_000_000
+#: Most bytes of item shingles (8 each) that are sent to every task; more of them are joined by a shuffle instead.
+BROADCAST_BYTES = 64 << 20
+#: Alignments worked out at a time.
+ALIGNED = 256
 _WORD = re.compile(r"[^\W_]+")
-_TAGS = re.compile(r"<[^<>]{1,200}>")
+_TAGS = re.compile(r"</?[a-zA-Z!][^<>]*>")
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str | None) -> list[str]:
@@ -57,40 +62,35 @@ def least_shared(n_words: int) -> int:
     return max(1, w - (SHINGLE - 1) - SHINGLE * math.ceil(w / CHANGED))
 
 
-def _shingles(ws: list[str]) -> list[str]:
-    return [" ".join(ws[i : i + SHINGLE]) for i in range(len(ws) - SHINGLE + 1)]
-
-
-def in_order(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence of words."""
-    codes: dict[str, int] = {}
-    x = np.array([codes.setdefault(w, len(codes)) for w in a])
-    y = np.array([codes.setdefault(w, len(codes)) for w in b])
-    row = np.zeros(len(y) + 1, np.int32)
-    for w in x:
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (y == w)))
-    return int(row[-1]) if len(y) else 0
-
-
-def aligned(doc: list[str], item: list[str]) -> int:
-    """Words that agree in the best local alignment, where a changed, added or missing word costs as much as one that agrees gains."""
-    best = (0, 0)
-    scores, agree = [0] * (len(item) + 1), [0] * (len(item) + 1)
-    for w in doc:
-        diagonal, d_agree = 0, 0
-        for j, v in enumerate(item, 1):
-            up, u_agree = scores[j], agree[j]
-            if w == v:
-                s, n = diagonal + 1, d_agree + 1
-            else:
-                s, n = max((diagonal - 1, d_agree), (up - 1, u_agree), (scores[j - 1] - 1, agree[j - 1]))
-                if s <= 0:
-                    s, n = 0, 0
-            diagonal, d_agree = up, u_agree
-            scores[j], agree[j] = s, n
-            if (s, n) > best:
-                best = (s, n)
-    return best[1]
+class Words:
+    """64-bit numbers of words, remembered within a task."""
+
+    def __init__(self, most: int = 1_000_000):
+        self.known: dict[str, int] = {}
+        self.most = most
+
+    def ids(self, ws: list[str]) -> np.ndarray:
+        if len(self.known) > self.most:
+            self.known.clear()
+        out = np.empty(len(ws), np.uint64)
+        for i, w in enumerate(ws):
+            h = self.known.get(w)
+            if h is None:
+                h = self.known[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+            out[i] = h
+        return out
+
+    def shingles(self, ws: list[str]) -> np.ndarray:
+        """The hash of every run of SHINGLE words."""
+        n = len(ws) - SHINGLE + 1
+        if n <= 0:
+            return np.empty(0, np.int64)
+        w = self.ids(ws)
+        h = np.zeros(n, np.uint64)
+        for k in range(SHINGLE):
+            h = h * _STEP + w[k : k + n]
+        h ^= h >> np.uint64(29)
+        return (h * _STEP).view(np.int64)
 
 
 def window(n_words: int) -> int:
@@ -98,82 +98,111 @@ def window(n_words: int) -> int:
     return n_words + math.ceil(n_words / CHANGED) + 2
 
 
-def passage(doc: list[str], item: list[str], starts: list[int]) -> int:
-    """Most words of the item in one passage of a window of its size; starts: where shingles are shared.
+def stretches(starts: list[int], size: int) -> list[tuple[int, int]]:
+    """Where passages of at most size words may lie that hold a shared shingle; those that overlap are one."""
+    out: list[tuple[int, int]] = []
+    for s in sorted(starts):
+        a, b = max(0, s + SHINGLE - size), s + size
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def aligned(parts: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
+    """By pair, the words that agree in the best local alignment, where a changed, added or missing word costs as much as one that agrees gains.
 
-    The longest common subsequence bounds what an alignment can reach, so only windows
-    with enough words in order are aligned.
+    All pairs go through one table each, row by row and together; score and agreeing words
+    are kept in one number, so that the best score counts first and then the most words.
     """
-    size = window(len(item))
-    step = max(1, size // 8)  # windows are longer by a step, so that each of the item's size lies in one
-    best, done = 0, -1
-    for s in sorted(starts):
-        for a in range(max(0, done, s + SHINGLE - size), s + 1, step):
-            part = doc[a : a + size + step]
-            if in_order(part, item) >= max(best + 1, needed(len(item))):
-                best = max(best, aligned(part, item))
-            done = a + step
-            if best == len(item):
-                return best
-    return best
+    rows, width = max(map(len, parts)), max(map(len, items))
+    unit = 1 << int(width + 1).bit_length()
+    p = np.full((rows, len(parts)), -1, np.int64)
+    x = np.full((len(items), width), -2, np.int64)
+    for i, (part, item) in enumerate(zip(parts, items, strict=True)):
+        p[: len(part), i], x[i, : len(item)] = part, item
+    slope = np.arange(width, dtype=np.int64) * unit
+    table, best = np.zeros((len(items), width + 1), np.int64), np.zeros(len(items), np.int64)
+    for row in p:
+        new = np.where(x == row[:, None], table[:, :-1] + unit + 1, np.maximum(table[:, :-1], table[:, 1:]) - unit)
+        new = np.maximum.accumulate(new + slope, axis=1) - slope
+        new[new < unit] = 0
+        table[:, 1:] = new
+        np.maximum(best, new.max(axis=1), out=best)
+    return best % unit
 
 
 def _item_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known = Words()
     for b in batches:
         out = []
         for i, t in zip(b["item_id"], b["text"], strict=True):
             ws = words(t)
-            out += [(i, len(ws), window(len(ws)), least_shared(len(ws)), k, s) for k, s in enumerate(_shingles(ws))]
-        yield pd.DataFrame(out, columns=["item_id", "n_words", "size", "least", "item_pos", "shingle"])
+            out.append(pd.DataFrame({"item_id": i, "n_words": len(ws), "size": window(len(ws)), "least": least_shared(len(ws)), "shingle": known.shingles(ws)}))
+        if out:
+            yield pd.concat(out)
 
 
 def _doc_shingles(keep):
-    """Places of shingles in documents; keep: a broadcast set of the shingles wanted, or None for all."""
+    """Places of shingles in documents; keep: a broadcast, sorted array of the shingles wanted, or None for all."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted = keep.value if keep is not None else None
+        wanted, known = keep.value if keep is not None else None, Words()
         for b in batches:
-            out = []
+            docs, places, found = [], [], []
             for d, t in zip(b["doc_id"], b["text"], strict=True):
-                ws = words(t)
-                out += [(d, k, s) for k, s in enumerate(_shingles(ws)) if wanted is None or s in wanted]
-            yield pd.DataFrame(out, columns=["doc_id", "doc_pos", "shingle"])
+                h = known.shingles(words(t))
+                at = np.arange(len(h)) if wanted is None else np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h) if len(wanted) else np.empty(0, int)
+                docs.append(np.full(len(at), d, np.int64))
+                places.append(at)
+                found.append(h[at])
+            if docs:
+                yield pd.DataFrame({"doc_id": np.concatenate(docs), "doc_pos": np.concatenate(places), "shingle": np.concatenate(found)})
 
     return run
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        out, last = [], (None, [])
-        for d, text, i, item, starts in zip(b["doc_id"], b["text"], b["item_id"], b["item"], b["starts"], strict=True):
+        codes: dict[str, int] = {}
+        number = lambda ws: np.array([codes.setdefault(w, len(codes)) for w in ws], np.int64)  # noqa: E731, B023
+        todo, last = [], (None, np.empty(0, np.int64))
+        for k, (d, text, item, starts) in enumerate(zip(b["doc_id"], b["text"], b["item"], b["starts"], strict=True)):
             if last[0] != d:
-                last = (d, words(text))
-            ws = words(item)
-            n = passage(last[1], ws, [int(s) for s in starts])
-            if n >= needed(len(ws)):
-                out.append((d, i, n, n / len(ws)))
-        yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_words", "share"])
-
-
-def leaked_items(docs: DataFrame, items: DataFrame, scratch: Scratch | None = None, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
+                last = (d, number(words(text)))
+            x = number(words(item))
+            todo += [(last[1][s:e], x, k) for s, e in stretches([int(s) for s in starts], window(len(x)))]
+        todo.sort(key=lambda t: (len(t[0]), len(t[1])))
+        n, size = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
+        for a in range(0, len(todo), ALIGNED):
+            some = todo[a : a + ALIGNED]
+            at = np.array([k for _, _, k in some])
+            size[at] = [len(x) for _, x, _ in some]
+            np.maximum.at(n, at, aligned([p for p, _, _ in some], [x for _, x, _ in some]))
+        good = np.array([size[k] > 0 and n[k] >= needed(int(size[k])) for k in range(len(b))], bool)
+        yield pd.DataFrame({"doc_id": b["doc_id"][good], "item_id": b["item_id"][good], "n_words": n[good], "share": n[good] / np.maximum(size[good], 1)})
+
+
+def leaked_items(docs: DataFrame, items: DataFrame, scratch: Scratch | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, item_id, n_words, share): documents that hold an item or a good part of it.
 
     docs: doc_id, text; items: item_id, text; other columns are not read. n_words counts
-    the item's words found in order in one window of its size, share is their part of the
-    item. Null texts and items of fewer than five words give nothing; copies of a document
-    each get their rows. Which shingles are rare is counted over all documents.
+    the item's words that agree in the best alignment with one passage, share is their part
+    of the item. Null texts and items of fewer than five words give nothing; copies of a
+    document each get their rows. Which shingles are rare is counted over all documents.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "leaks")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     items = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).dropDuplicates(["item_id"])
-    grams = scratch.cut(items.mapInPandas(_item_shingles, "item_id bigint, n_words int, size int, least int, item_pos int, shingle string"), "items")
+    grams = scratch.cut(items.mapInPandas(_item_shingles, "item_id bigint, n_words int, size int, least int, shingle bigint"), "items")
     distinct = grams.select("shingle").distinct()
-    if grams.count() <= broadcast_shingles:
-        keep = spark.sparkContext.broadcast(frozenset(r[0] for r in distinct.toLocalIterator()))
-        hits = docs.mapInPandas(_doc_shingles(keep), "doc_id bigint, doc_pos int, shingle string")
+    if 8 * grams.count() <= broadcast_bytes:
+        keep = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in distinct.toLocalIterator()], np.int64)))
+        hits = docs.mapInPandas(_doc_shingles(keep), "doc_id bigint, doc_pos int, shingle bigint")
     else:
-        hits = docs.mapInPandas(_doc_shingles(None), "doc_id bigint, doc_pos int, shingle string").join(distinct, "shingle", "left_semi").select("doc_id", "doc_pos", "shingle")
+        hits = docs.mapInPandas(_doc_shingles(None), "doc_id bigint, doc_pos int, shingle bigint").join(distinct, "shingle", "left_semi").select("doc_id", "doc_pos", "shingle")
     hits = scratch.cut(hits, "hits")
 
     df = hits.select("doc_id", "shingle").distinct().groupBy("shingle").agg(F.count("*").alias("df"))
@@ -185,12 +214,14 @@ def leaked_items(docs: DataFrame, items: DataFrame, scratch: Scratch | None = No
     prefix = ranked.select("item_id", F.explode(F.slice("by_rarity", F.lit(1), F.size("by_rarity") - F.col("least") + 1)).alias("s")).select("item_id", F.col("s.shingle").alias("shingle"))
     met = scratch.cut(hits.join(prefix, "shingle").select("doc_id", "item_id").distinct(), "met")
 
-    # all shared places of the pairs that met; some window of the item's size must hold enough of them
+    # All shared places, of the pairs that met only: a frequent shingle is looked up for them, never for every item that
+    # has it. Some window of the item's size must hold enough of them.
     bounds = grams.groupBy("item_id").agg(F.max("size").alias("size"), F.max("least").alias("least"))
-    places = hits.join(m, "shingle").join(met, ["doc_id", "item_id"]).groupBy("doc_id", "item_id").agg(F.array_sort(F.collect_set("doc_pos")).alias("starts")).join(bounds, "item_id")
+    shared = hits.join(met, "doc_id").join(m, ["item_id", "shingle"])
+    places = shared.groupBy("doc_id", "item_id").agg(F.array_sort(F.collect_set("doc_pos")).alias("starts")).join(bounds, "item_id")
     last = F.size("starts") - F.col("least")
     fits = F.exists(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.get("starts", i + F.col("least") - 1) - F.get("starts", i) <= F.col("size"))
-    dense = places.where((last >= 0) & fits).select("doc_id", "item_id", "starts")
+    dense = scratch.cut(places.where((last >= 0) & fits).select("doc_id", "item_id", "starts"), "dense")
     texts = docs.join(dense.select("doc_id").distinct(), "doc_id", "left_semi")
     pairs = dense.join(texts, "doc_id").join(items.withColumnRenamed("text", "item"), "item_id").select("doc_id", "text", "item_id", "item", "starts")
     return pairs.mapInPandas(_verify, "doc_id bigint, item_id bigint, n_words int, share double")

@@ -1,10 +1,10 @@
 """Same or near-same records across splits.
 
-A text is the set of its words; its fingerprint has one bit block per segment of the
-word space, and texts that are alike in at least 4/5 of their words can differ in only
-so many of them. Within that Hamming radius two texts agree in whole blocks, so a join
-on block codes, across splits only, misses none (operators/blocks.py). A 128-bit
-fingerprint then drops what lies beyond the radius, and the words themselves decide.
+A text is the set of its words; its fingerprint is cut into bit blocks, one per segment of
+the word space, and texts that are alike in at least 4/5 of their words can differ in only
+so many of them. Within that Hamming radius two texts agree in several whole blocks, so a
+join on codes of combined blocks, across splits only, misses none (operators/blocks.py). A
+128-bit fingerprint then drops what lies beyond the radius, and the words themselves decide.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ def words(c: Column) -> Column:
 def text_classes(rows: DataFrame, text: str, split: Column, scratch: Scratch, min_words: int = MIN_WORDS, repeats: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows with class_id, one row per class of equal word sets): class_id is null for texts too short to compare."""
     listed = rows.withColumn("_all", words(F.col(text).cast("string"))).withColumn("_words", F.sort_array(F.array_distinct("_all")))
-    marked = scratch.cut(listed.withColumn("class_id", F.when(F.size("_all" if repeats else "_words") >= min_words, F.xxhash64("_words"))).withColumn("_split", split).drop("_all"), "marked")
+    marked = scratch.cut(listed.withColumn("class_id", F.when(F.size("_all" if repeats else "_words") >= min_words, F.md5(F.array_join("_words", " ")))).withColumn("_split", split).drop("_all"), "marked")
     classes = marked.where(F.col("class_id").isNotNull()).groupBy("class_id").agg(F.first("_words").alias("words"), F.max(F.col("_split") == TRAIN).alias("trains"), F.max(F.col("_split").isin(*HELD_OUT)).alias("tests"))
     return marked.drop("_words"), scratch.cut(classes, "classes")
 

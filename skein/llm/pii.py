@@ -3,9 +3,12 @@
 E-mail addresses, phone numbers, identity numbers, street and postal addresses and
 person names are found in the text as a reader sees it (look-alike letters, widths and
 invisible characters do not hide them); the placeholder goes into the text as it was.
-Numbers that pass their format's rules are permuted within that format by a keyed
-Feistel network, so that equal values get equal pseudonyms in every document and the
-key's holder can reverse them. Other kinds get a keyed tag.
+Phone numbers, identity numbers and dates of birth are permuted within their format by a
+keyed Feistel network: a value that is valid by its format's rules (numbering plan, social
+security blocks, check letter, calendar) stays valid, one that is not stays invalid, country
+code and length are kept. Equal values, however written, get equal pseudonyms in every
+document, unequal ones unequal ones, and the key's holder can reverse them (revealed()).
+Other kinds get a keyed tag.
 """
 
 from __future__ import annotations
@@ -84,6 +87,15 @@ def pseudonym(value: str, key: bytes, tweak: str, back: bool = False) -> str:
     return "".join(out)
 
 
+def permuted(value: str, key: bytes, tweak: str, valid, back: bool = False) -> str:
+    """A pseudonym that is valid exactly if the value is: the cycle is walked until that holds."""
+    good, out = valid(value), value
+    while True:
+        out = pseudonym(out, key, tweak, back)
+        if valid(out) == good:
+            return out
+
+
 def permuted_date(day: dt.date, key: bytes, back: bool = False, first: dt.date = dt.date(1900, 1, 1), days: int = 73_049) -> dt.date:
     """A date permuted among `days` days; walks the cycle of a six-digit permutation until it is back in range."""
     x = (day - first).days
@@ -96,7 +108,8 @@ def permuted_date(day: dt.date, key: bytes, back: bool = False, first: dt.date =
 
 
 def tag(value: str, key: bytes, kind: str) -> str:
-    return f"{_prf(key, kind, ' '.join(value.lower().split())) & 0xFFFFFFFFFF:010x}"
+    """96 bits, so that no two people's values share a tag by chance."""
+    return f"{_prf(key, kind, ' '.join(value.lower().split())) & ((1 << 96) - 1):024x}"
 
 
 # -- the text as it looks, with the way back ------------------------------------------
@@ -166,7 +179,7 @@ SOLID = re.compile(r"^\d{10,11}$")
 #: Names of identity numbers.
 ID_WORDS = (
     r"ssn|social security(?: (?:number|no\.?|#))?|social(?= ?[:#])|passport(?: (?:number|no\.?|nr\.?))?|driver'?’?s?'? licen[cs]e(?: (?:number|no\.?))?|driving licen[cs]e(?: (?:number|no\.?))?|licen[cs]e (?:number|no\.?)"
-    r"|national id(?:entity)?(?: (?:number|no\.?|card))?|identity (?:card|number)|id (?:card|number|no\.?)(?: (?:number|no\.?))?|national insurance(?: number)?|dni|nie|nif|personalausweis|ausweis(?:nummer)?|reisepass(?:nummer)?|pasaporte|passeport|carte d'identité|паспорт"
+    r"|national id(?:entity)?(?: (?:number|no\.?|card))?|identity (?:card|number)|id (?:card|number|no\.?)(?: (?:number|no\.?))?|national insurance(?: number)?|aadhaar(?: (?:number|no\.?))?|dni|nie|nif|personalausweis|ausweis(?:nummer)?|reisepass(?:nummer)?|pasaporte|passeport|carte d'identité|паспорт"
 )
 ID_CUED = re.compile(rf"(?<!\w)(?:{ID_WORDS})\s?(?:is\s|n[°º]\s?)?[:#]?\s?#?((?:[A-Z]{{1,3}}[\s-]?)?\d[\dA-Z]*(?:[\s.-]\d[\dA-Z]*)*(?:-?[A-Z](?![A-Za-z]))?)(?!\w)", re.I)
 SSN = re.compile(r"(?<![\w#$.,/+-])\d{3}-\d{2}-\d{4}(?![\w-])")
@@ -184,6 +197,7 @@ ADDRESSES = [
     re.compile(rf"(?<!\w){_W}(?:straße|strasse|str\.|weg|platz|gasse|allee|ufer|damm|ring)\s\d{{1,4}}[a-z]?(?!\w)(?:,\s\d{{5}}(?:\s(?-i:[A-ZÄÖÜ])[\w'’-]+){{1,2}})?", re.I),
     re.compile(rf"(?<![\w$#:.-])\d{{1,4}}(?:\s?bis)?,?\s(?:rue|avenue|allée|allee|boulevard|chemin|impasse|quai|cours|place)\s(?:(?:de la|de l'|des|du|de|d'|la|le|les)\s?)?{_W}(?:\s{_W})?(?:,\s\d{{5}}(?:\s(?-i:[A-Z])[\w'’-]+){{1,2}})?", re.I),
     re.compile(rf"(?<!\w)(?:calle|avenida|avda\.?|plaza|paseo|camino|carrer|c/)\s(?:(?:de las|de los|de la|del|de|la|el)\s)?{_W}(?:\s{_W})?,?\s\d{{1,4}}(?:,\s\d{{1,2}}\s?º\s?[A-Z]?)?", re.I),
+    re.compile(rf"(?<!\w)(?:rue|avenue|boulevard|place|quai)\s(?:(?:de la|de l'|des|du|de|d'|la|le|les)\s?)?(?-i:[A-ZÀ-Þ])[\w'’-]*(?:\s(?-i:[A-ZÀ-Þ])[\w'’-]*)?,?\s\d{{1,4}}(?!\w)(?:,\s(?-i:[A-Z])[\w'’-]+)?", re.I),
     re.compile(rf"(?<!\w)(?:улица|ул\.|проспект|пр\.)\s{_W},?\s(?:д\.?\s)?\d{{1,4}}", re.I),
 ]
 #: The German form's place in the list, and what any of its finds holds.
@@ -196,9 +210,11 @@ _NAME = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
 TITLED = re.compile(rf"(?<![\w@^]){_TITLE}[^\S\n]", re.I)
 #: What comes before a name, and after one.
 BEFORE = re.compile(
-    r"(?<![\w@])(?:my name is|this is|i am called|name on (?:the )?(?:booking|ticket|order) is|booked under|booking under|reserved (?:under|for)|under the name(?: of)?|kudos to|shout ?out to|ask for|asked for|spoke (?:to|with)|talked (?:to|with)|the (?:agent|rep|clerk|manager|captain|supervisor) was|agent was|signed,?|cc|tell|thanks for waiting,?|thank you for waiting,?|our colleague|passenger|traveller|traveler|guest|regards,|sincerely,|cheers,|yours,|best,|attn:?|attention:|contact person:?|me llamo|mi nombre es|je m'appelle|mon nom est|ich heiße|mein name ist|меня зовут)\s",
+    r"(?<![\w@])(?:my name is|this is|i am called|name on (?:the )?(?:booking|ticket|order) is|booked under|booking under|reserved (?:under|for)|under the name(?: of)?|kudos to|shout ?out to|ask for|asked for|spoke (?:to|with)|talked (?:to|with)|the (?:agent|rep|clerk|manager|captain|supervisor) was|agent was|signed,?|cc|tell|thanks for waiting,?|thank you for waiting,?|our colleague|passenger|traveller|traveler|guest|(?:please )?contact|i am|i'm|names?:|regards,|sincerely,|cheers,|yours,|best,|attn:?|attention:|contact person:?|me llamo|mi nombre es|je m'appelle|mon nom est|ich heiße|mein name ist|меня зовут)\s",
     re.I,
 )
+#: Cues that many other words follow; after them only a full name in capitals counts.
+WEAK = ("contact", "please contact", "i am", "i'm", "name:", "names:")
 GREETING = re.compile(r"(?<![\w@])(?:hi|hello|hey|dear|hola|bonjour|hallo)\s(?=(?:[A-ZÀ-Þ]|[a-z]+ [a-z'’-]+,))", re.I)
 AFTER = re.compile(r"\s(?:never called|never rang|at the desk|from our (?:team|desk|office)|from your (?:team|desk|office)|i said hi|will call|will ring|said hi)(?!\w)", re.I)
 SIGNATURE = re.compile(r"(?:^|(?<=\s))[-–—]\s(?=[^\W\d_])")
@@ -276,6 +292,8 @@ def _names(s: str) -> Iterator[tuple[int, int]]:
                 continue
             if rx is BEFORE and cue in ("tell", "this is", "guest") and mixed and not found[0].isupper() and len(words) < 2:
                 continue
+            if rx is BEFORE and cue in WEAK and not (mixed and len(words) > 1 and all(w[0].isupper() or w.lower() in PARTICLES for w in words)):
+                continue
             yield at, end
     for m in AFTER.finditer(s):
         head = s[max(0, m.start() - 60) : m.start()]
@@ -291,10 +309,10 @@ def _names(s: str) -> Iterator[tuple[int, int]]:
                 break
 
 
-def find(text: str | None) -> list[Span]:
+def find(text: str | None, births: bool = False) -> list[Span]:
     """Personal information in a text, in order and without overlap; places are those of the text itself.
 
-    Null, empty and blank texts hold none.
+    births: dates of birth too, as kind date; other dates never count. Null, empty and blank texts hold none.
     """
     if not text or not text.strip():
         return []
@@ -319,6 +337,9 @@ def find(text: str | None) -> list[Span]:
                 take(m.start(1), m.end(1), "id_number")
         for m in SSN.finditer(s):
             take(m.start(), m.end(), "id_number")
+        if births:
+            for m in BIRTH.finditer(s):
+                take(m.start(1), m.end(1), "date")
     for rx in PHONES:
         for m in rx.finditer(s):
             before = s[max(0, m.start() - 24) : m.start()]
@@ -348,33 +369,118 @@ def find(text: str | None) -> list[Span]:
 
 #: Country codes of one and two digits; all others have three.
 CODES = set("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: Check letters of Spanish identity numbers by the remainder of 23.
+CHECK_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+
+
+class Phone(NamedTuple):
+    """Country code (empty if the writing does not tell it), national number without leading 0, extension or empty."""
+
+    country: str
+    national: str
+    extension: str
 
+    def __str__(self) -> str:
+        return (f"+{self.country} " if self.country else "0 ") + self.national + (f" x{self.extension}" if self.extension else "")
 
-def national(value: str) -> str:
-    """The national number of a phone number, the same for all of its writings."""
-    value = re.split(r"\s?(?:ext|x)", value.lower())[0].replace("(0)", "")
-    words = re.findall(r"[a-z]+|\d", value)
-    digits = "".join(w if w.isdigit() else str(0 if w in ("zero", "oh") else SPOKEN.index(w) - 1) for w in words if w.isdigit() or w in SPOKEN)
-    abroad = value.lstrip().startswith("+")
-    if digits.startswith("00"):
-        abroad, digits = True, digits[2:]
-    if abroad:
+
+def phone(value: str) -> Phone:
+    """The number a writing stands for. North American, British mobile and French national forms tell their country."""
+    m = re.match(r"(.*?)\s?(?:ext\.?|extension|x)\s?(\d{1,5})$", value.strip(), re.I)
+    main, extension = (m.group(1), m.group(2)) if m else (value, "")
+    main = main.lower().replace("(0)", "").strip()
+    found = re.findall(r"[a-z]+|\d", main)
+    digits = "".join(w if w.isdigit() else str(0 if w in ("zero", "oh") else SPOKEN.index(w) - 1) for w in found if w.isdigit() or w in SPOKEN)
+    if main.startswith("+") or digits.startswith("00"):
+        digits = digits[2:] if digits.startswith("00") else digits
         n = next((k for k in (1, 2) if digits[:k] in CODES), 3)
-        digits = digits[n:]
-    elif len(digits) == 11 and digits[0] == "1":
-        digits = digits[1:]
-    return digits.lstrip("0") or digits
+        return Phone(digits[:n], digits[n:].lstrip("0") or digits[n:], extension)
+    if len(digits) == 11 and digits[0] == "1":
+        return Phone("1", digits[1:], extension)
+    if len(digits) == 10 and digits[0] in "23456789":
+        return Phone("1", digits, extension)
+    if len(digits) == 11 and digits.startswith("07"):
+        return Phone("44", digits[1:], extension)
+    if re.fullmatch(r"0[1-9](?:[\s.-]\d\d){4}", main):
+        return Phone("33", digits[1:], extension)
+    return Phone("", digits.lstrip("0") or digits, extension)
+
+
+def _valid_national(country: str):
+    """Whether a national number fits its plan: in North America area and exchange start with 2 to 9, elsewhere no leading 0."""
+    if country == "1":
+        return lambda n: len(n) == 10 and n[0] > "1" and n[3] > "1"
+    return lambda n: n[:1] != "0"
+
+
+def _valid_id(value: str) -> bool:
+    """Whether an identity number keeps a rule that its form has: social security blocks, Spanish check letter."""
+    if re.fullmatch(r"\d{9}", value):
+        return value[:3] not in ("000", "666") and value[0] != "9" and value[3:5] != "00" and value[5:] != "0000"
+    if re.fullmatch(r"\d{8}[A-Z]", value):
+        return CHECK_LETTERS[int(value[:8]) % 23] == value[8]
+    return True
+
+
+def _id(value: str) -> str:
+    return re.sub(r"[^0-9A-Za-z]", "", value).upper()
+
+
+def _phone_moved(p: Phone, key: bytes, back: bool = False) -> Phone:
+    n = permuted(p.national, key, f"phone/{p.country}", _valid_national(p.country), back)
+    return p._replace(national=n, extension=pseudonym(p.extension, key, "extension", back))
+
+
+#: Names of the months.
+_MONTHS = "january february march april may june july august september october november december".split()
+BIRTH = re.compile(
+    rf"(?<!\w)(?:born(?:\son)?|date of birth(?:\sis)?|d\.?o\.?b\.?|birth\s?date|birthday(?:\sis)?|geboren am|geburtsdatum|né(?:e)? le|nacid[oa] el|fecha de nacimiento)\s?[:,]?\s?(\d{{4}}-\d\d-\d\d|\d{{1,2}}[./]\d{{1,2}}[./]\d{{4}}|\d{{1,2}}(?:st|nd|rd|th)?\s(?:{'|'.join(_MONTHS)}),?\s\d{{4}}|(?:{'|'.join(_MONTHS)})\s\d{{1,2}}(?:st|nd|rd|th)?,?\s\d{{4}})(?!\w)",
+    re.I,
+)
+
+
+def date(value: str) -> dt.date | None:
+    """The day a writing stands for; of two readings with slashes the month first, if there is such a month. None if there is no such day."""
+    numbers = [int(x) for x in re.findall(r"\d+", value)]
+    month = next((i for i, m in enumerate(_MONTHS, 1) if m in value.lower()), None)
+    if month:
+        d, y = numbers[0], numbers[1]
+    elif "-" in value:
+        y, month, d = numbers
+    elif "/" in value and numbers[0] <= 12:
+        month, d, y = numbers
+    else:
+        d, month, y = numbers
+    try:
+        return dt.date(y, month, d)
+    except ValueError:
+        return None
 
 
 def placeholder(span: Span, key: bytes) -> str:
     kind = span.kind.upper()
     if span.kind == "phone":
-        return f"[{kind} {pseudonym(national(span.value), key, 'phone')}]"
+        return f"[{kind} {_phone_moved(phone(span.value), key)}]"
     if span.kind == "id_number":
-        return f"[{kind} {pseudonym(re.sub(r'[^0-9A-Za-z]', '', span.value).upper(), key, 'id')}]"
+        return f"[{kind} {permuted(_id(span.value), key, 'id', _valid_id)}]"
+    if span.kind == "date" and (day := date(span.value)):
+        return f"[{kind} {permuted_date(day, key)}]"
     return f"[{kind} {tag(span.value, key, span.kind)}]"
 
 
+def revealed(text: str, key: bytes) -> str | None:
+    """The canonical value behind a placeholder of a phone number, identity number or date; None for tags."""
+    kind, _, rest = text.strip("[]").partition(" ")
+    if kind == "PHONE":
+        m = re.fullmatch(r"(?:\+(\d+)|0) (\d+)(?: x(\d+))?", rest)
+        return str(_phone_moved(Phone(m.group(1) or "", m.group(2), m.group(3) or ""), key, back=True)) if m else None
+    if kind == "ID_NUMBER":
+        return permuted(rest, key, "id", _valid_id, back=True)
+    if kind == "DATE" and re.fullmatch(r"\d{4}-\d\d-\d\d", rest):
+        return str(permuted_date(dt.date.fromisoformat(rest), key, back=True))
+    return None
+
+
 def redact(text: str | None, key: bytes, spans: list[Span] | None = None) -> str | None:
     """The text with a typed placeholder for each find, otherwise as it was; null stays null."""
     if text is None:
@@ -389,10 +495,10 @@ def redact(text: str | None, key: bytes, spans: list[Span] | None = None) -> str
 # -- operators -----------------------------------------------------------------------
 
 
-def with_pii(df: DataFrame, text: str, key: bytes) -> DataFrame:
+def with_pii(df: DataFrame, text: str, key: bytes, births: bool = False) -> DataFrame:
     """df with redacted (string) and kinds (array, sorted, distinct) beside its other columns.
 
-    Columns of these names are replaced. One pass without a shuffle, whole texts.
+    births: dates of birth are replaced too, and date is among the kinds. Columns of these names are replaced. One pass without a shuffle, whole texts.
     """
     ship(df.sparkSession)
     base = df.drop("redacted", "kinds")
@@ -403,7 +509,7 @@ def with_pii(df: DataFrame, text: str, key: bytes) -> DataFrame:
             seen: dict[str, tuple] = {}
             for t in b["_pii_text"]:
                 if t not in seen:
-                    spans = find(t)
+                    spans = find(t, births)
                     seen[t] = (redact(t, key, spans), sorted({s.kind for s in spans}))
                 r, k = seen[t]
                 redacted.append(r)

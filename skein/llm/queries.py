@@ -14,7 +14,7 @@ from skein.llm import pii as P
 from skein.llm import reading as R
 from skein.llm import splits as S
 from skein.llm import visual as V
-from skein.session import read
+from skein.session import Scratch, read
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -52,7 +52,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p4_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, verdicts = D.rebuild(read(spark, sf_dir, "turns"))
-    return verdicts.select("conversation_id", "n_turns", F.concat_ws("+", "reasons").alias("reasons"), "clock_conflicts")
+    return verdicts.select("conversation_id", "n_turns", F.concat_ws("+", "reasons").alias("reasons"))
+
+
+@query
+def p4_clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with replies that no sender clocks can put in order, and what else is wrong with them."""
+    _, verdicts = D.rebuild(read(spark, sf_dir, "turns"))
+    return verdicts.where(F.col("clock_conflicts") > 0).select("conversation_id", "clock_conflicts", F.concat_ws("+", "reasons", F.lit("clock")).alias("reasons"))
 
 
 @query
@@ -62,6 +69,14 @@ def p4_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.kept_turns(turns, verdicts).select("conversation_id", "position", "role", "tweet_id", "text")
 
 
+@query
+def p4_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted and feasible conversations merged by corrected time."""
+    s = Scratch(spark, "timeline")
+    turns, verdicts = D.rebuild(read(spark, sf_dir, "turns"), s)
+    return D.merged_by_time(D.kept_turns(turns, verdicts, feasible=True), s).select("conversation_id", "merged", "position", "role", "tweet_id", "corrected_at")
+
+
 _BLANK = r"[\s\p{Z}\p{Cf}\p{Cc}\x{034F}\x{115F}\x{1160}\x{180B}-\x{180F}\x{3164}\x{FE00}-\x{FE0F}\x{FFA0}]+"
 _OUTER = r"^[\s\p{Z}\p{Cf}\p{Cc}]+|[\s\p{Z}\p{Cf}\p{Cc}]+$"
 _TURNS = f"""
@@ -78,6 +93,8 @@ v AS (SELECT conversation_id, count(*) AS n_turns,
     coalesce(min(i) FILTER (seen AND role = 'customer') < max(i) FILTER (seen AND role = 'brand'), false) AS answered
   FROM t GROUP BY conversation_id)"""
 ORACLE["p4_found"] = f"WITH {_TURNS} SELECT conversation_id FROM v WHERE NOT (ordered AND roles AND opens AND answered)"
+_REASON = "concat_ws('+', CASE WHEN NOT ordered THEN 'order' END, CASE WHEN NOT roles THEN 'role' END, CASE WHEN NOT opens THEN 'opening' END, CASE WHEN NOT answered THEN 'reply' END)"
+ORACLE["p4_verdicts"] = f"WITH {_TURNS} SELECT conversation_id, n_turns, {_REASON} AS reasons FROM v"
 ORACLE["p4_conversations"] = f"WITH {_TURNS} SELECT t.conversation_id, CAST(t.i AS INTEGER) AS position, t.role, t.tweet_id, t.text FROM t JOIN v USING (conversation_id) WHERE ordered AND roles AND opens AND answered"
 
 
@@ -142,10 +159,10 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 PII_KEY = b"skein-demo-key"
 
 
-def _pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pii(spark: SparkSession, sf_dir: str, births: bool = False) -> DataFrame:
     a = read(spark, sf_dir, "b02_fresh_labelled").select(F.lit("text_display").alias("field"), F.col("annotation_id").alias("record_id"), F.col("text_display").alias("text"))
     b = read(spark, sf_dir, "evidence").select(F.lit("historical_brand_reply").alias("field"), F.concat("query_id", F.lit(":"), F.col("rank").cast("string")).alias("record_id"), F.col("historical_brand_reply").alias("text"))
-    return P.with_pii(a.unionByName(b).where(F.col("record_id").isNotNull()), "text", PII_KEY)
+    return P.with_pii(a.unionByName(b).where(F.col("record_id").isNotNull()), "text", PII_KEY, births)
 
 
 @query
@@ -155,8 +172,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both text columns with typed placeholders."""
-    return _pii(spark, sf_dir).select("field", "record_id", F.col("redacted").alias("text"))
+    """Both text columns with typed placeholders, dates of birth included."""
+    return _pii(spark, sf_dir, births=True).select("field", "record_id", F.col("redacted").alias("text"))
 
 
 # -- 7: leaked items -----------------------------------------------------------------
@@ -181,36 +198,47 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- 8: mixture ----------------------------------------------------------------------
 
 
+#: Part of the sources' tokens that the mixture keeps at least, though its scarcest source then ends at its repeats.
+LEAST_PART = 0.5
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> M.Mixture:
+    return M.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "source_targets"), least_part=LEAST_PART)
+
+
 @query
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each source contributes to the mixture, against its target."""
-    return M.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "source_targets"))[1]
+    """What each source contributes to the mixture, against its target, and what limits it."""
+    return _mixture(spark, sf_dir).report
+
+
+@query
+def p8_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wanted, raked and reached shares of sources, languages and topics."""
+    return _mixture(spark, sf_dir).marginals.select("axis", "name", *(F.round(c, 6).alias(c) for c in ("wanted_share", "raked_share", "reached_share", "residual")))
 
 
 @query
 def p8_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture's documents with their number of uses."""
-    return M.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "source_targets"))[0].select("doc_id", "source", "tokens", "copies")
+    return _mixture(spark, sf_dir).sample.select("doc_id", "source", "tokens", "copies")
 
 
 # -- 9: reading level ----------------------------------------------------------------
 
-#: How far below the wanted grade the models may place a document that the formula then decides.
-GRADE_SLACK = 4.0
-
 
-def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _levels(spark: SparkSession, sf_dir: str, formula: bool) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return R.reading_levels(docs, R.train(*R.labelled_sample(docs, read(spark, sf_dir, "reading_labels"))))
+    texts, rated = R.labelled_sample(docs, read(spark, sf_dir, "reading_labels"))
+    return R.reading_levels(docs, R.train(texts, rated) if texts else None, formula)
 
 
 @query
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hard = (F.col("grade") >= R.COLLEGE - GRADE_SLACK) & (F.col("formula_grade") >= R.COLLEGE)
-    return _levels(spark, sf_dir).where(F.col("english") & (F.col("n_words") >= R.LEAST_WORDS) & hard).select("doc_id")
+    return _levels(spark, sf_dir, False).where(F.col("english") & (F.col("n_words") >= R.LEAST_WORDS) & (F.col("level") >= R.COLLEGE)).select("doc_id")
 
 
 @query
 def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's difficulty."""
-    return _levels(spark, sf_dir).select("doc_id", "n_words", "n_sentences", "english", F.round("level", 3).alias("level"), F.round("grade", 2).alias("grade"), F.round("formula_grade", 2).alias("formula_grade"))
+    """Every document's difficulty; the formula's grade stands beside it for comparison."""
+    return _levels(spark, sf_dir, True).select("doc_id", "n_words", "n_sentences", "english", F.round("level", 3).alias("level"), F.round("formula_grade", 2).alias("formula_grade"))

@@ -4,8 +4,9 @@ Every sentence gets a distribution over five reading levels from two regularised
 multinomial models, one on the characters of its words and one on the words
 themselves; both are fitted to raters' levels of a bounded sample of documents. A
 document's difficulty is the mean level over its sentences, weighted by their words,
-and is calibrated to raters' levels and to US school grades. The grade formula itself
-(Flesch-Kincaid, over sentences as a reader counts them) is reported beside it.
+calibrated to raters' levels, of which 4 and 5 stand for college reading. A grade formula
+(Flesch-Kincaid, over sentences as a reader counts them) can be reported beside it and
+decides nothing.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ BUCKETS = 1 << 13
 #: Labelled documents used for fitting, at most; chosen by hash, so the same on every run.
 TRAIN_DOCS = 800
 L2, STEPS = 1e-4, 120
-COLLEGE, LEAST_WORDS = 14.0, 60
+#: Calibrated level from which on a document asks for college reading: nearer to 4 than to 3. Words it must have.
+COLLEGE, LEAST_WORDS = 3.5, 60
 
 #: Abbreviations whose full stop ends no sentence.
 ABBREVIATIONS = set(
@@ -40,7 +42,7 @@ ABBREVIATIONS = set(
 #: Frequent words that tell English.
 ENGLISH = set("the of and to in a is that for it on with as at by this be are from or an was not have has you your i we they my our may shall must will can if when which any its their been so no after before because us me he she one all while".split())
 LINK = re.compile(r"(?:https?://|www\.)\S+")
-TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
+TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 BULLET = re.compile(r"^\s*(?:[-*•–‣◦>#]+|\(?\d{1,3}[.)]|[a-z]\))\s+")
 END = re.compile(r"([.!?…]+)([\"'”’)\]]*)(\s+|$)")
@@ -173,7 +175,6 @@ class Model(NamedTuple):
     chars: np.ndarray
     words: np.ndarray
     levels: tuple[float, float]
-    grades: tuple[float, float]
 
 
 def fit(rows: list[list[int]], target: np.ndarray, l2: float = L2, steps: int = STEPS) -> np.ndarray:
@@ -182,10 +183,11 @@ def fit(rows: list[list[int]], target: np.ndarray, l2: float = L2, steps: int =
     rows: features by sentence, each of equal weight within its sentence; target: (n, levels).
     """
     lengths = np.array([len(r) for r in rows])
-    index = np.fromiter((f for r in rows for f in r), np.int64, int(lengths.sum()))
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    value = np.repeat(1.0 / np.sqrt(np.maximum(lengths, 1)), lengths)
-    row = np.repeat(np.arange(len(rows)), lengths)
+    flat = np.fromiter((f for r in rows for f in r), np.int64, int(lengths.sum()))
+    pairs, times = np.unique(np.repeat(np.arange(len(rows)), lengths) * BUCKETS + flat, return_counts=True)
+    row, index = np.divmod(pairs, BUCKETS)
+    starts = np.searchsorted(row, np.arange(len(rows)))
+    value = times / np.sqrt(lengths)[row]
     w = np.zeros((BUCKETS + 1, LEVELS))
     speed = np.full_like(w, 1e-8)
     for _ in range(steps):
@@ -268,12 +270,12 @@ def train(texts: list[str], levels: list[float]) -> Model:
     if not docs:
         raise ValueError("no labelled document to learn from")
     y = np.array(target)
-    model = Model(fit(rows_c, y), fit(rows_w, y), (0.0, 1.0), (0.0, 1.0))
+    model = Model(fit(rows_c, y), fit(rows_w, y), (0.0, 1.0))
     scorer = Scorer(model)
     mean = np.array([scorer.document(s) @ np.arange(1, LEVELS + 1) for s, _ in docs])
     a = np.stack([np.ones_like(mean), mean], axis=1)
-    line = lambda v: tuple(map(float, np.linalg.lstsq(a.T @ a + 1e-6 * np.eye(2), a.T @ np.array(v), rcond=None)[0]))
-    return model._replace(levels=line([v for _, v in docs]), grades=line([grade(s) for s, _ in docs]))
+    rated = np.array([v for _, v in docs])
+    return model._replace(levels=tuple(map(float, np.linalg.lstsq(a.T @ a + 1e-6 * np.eye(2), a.T @ rated, rcond=None)[0])))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, seed: int = 42) -> tuple[list[str], list[float]]:
@@ -285,30 +287,33 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS,
     return [r["text"] for r in rows], [r["level"] for r in rows]
 
 
-def reading_levels(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, n_words, n_sentences, english, level, grade, formula_grade, p1 ... p5), one row per row of docs.
+def reading_levels(docs: DataFrame, model: Model | None, formula: bool = True) -> DataFrame:
+    """(doc_id, n_words, n_sentences, english, level, formula_grade, p1 ... p5), one row per row of docs.
 
-    n_words counts between spaces, level and grade come from the models, formula_grade
-    from the formula. Null and wordless texts have 0 words, english false and null
-    estimates. One pass without a shuffle; the models are the only thing sent along.
+    n_words counts between spaces, level comes from the models, p1 ... p5 are the document's
+    distribution over levels; formula_grade is null unless asked for. Null and wordless
+    texts have 0 words, english false and null estimates, as have all texts without a model. One pass without a shuffle; the
+    models are the only thing sent along.
     """
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = sent.value
-        scorer = Scorer(m)
+        scorer = Scorer(m) if m else None
         for b in batches:
             out = []
             for d, t in zip(b["doc_id"], b["text"], strict=True):
                 ss = sentences(t) if t else []
                 if not ss:
-                    out.append((d, len(t.split()) if t else 0, 0, False, *[None] * (3 + LEVELS)))
+                    out.append((d, len(t.split()) if t else 0, 0, False, *[None] * (2 + LEVELS)))
+                    continue
+                if scorer is None:
+                    out.append((d, len(t.split()), len(ss), is_english(ss), None, grade(ss) if formula else None, *[None] * LEVELS))
                     continue
                 p = scorer.document(ss)
-                mean = float(p @ np.arange(1, LEVELS + 1))
-                level = float(np.clip(m.levels[0] + m.levels[1] * mean, 1, LEVELS))
-                out.append((d, len(t.split()), len(ss), is_english(ss), level, m.grades[0] + m.grades[1] * mean, grade(ss), *map(float, p)))
-            yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_sentences", "english", "level", "grade", "formula_grade", *(f"p{k}" for k in range(1, LEVELS + 1))])
+                level = float(np.clip(m.levels[0] + m.levels[1] * float(p @ np.arange(1, LEVELS + 1)), 1, LEVELS))
+                out.append((d, len(t.split()), len(ss), is_english(ss), level, grade(ss) if formula else None, *map(float, p)))
+            yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_sentences", "english", "level", "formula_grade", *(f"p{k}" for k in range(1, LEVELS + 1))])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, n_words int, n_sentences int, english boolean, level double, grade double, formula_grade double, " + ", ".join(f"p{k} double" for k in range(1, LEVELS + 1)))
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, n_words int, n_sentences int, english boolean, level double, formula_grade double, " + ", ".join(f"p{k} double" for k in range(1, LEVELS + 1)))

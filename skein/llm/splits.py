@@ -1,7 +1,8 @@
 """Splits that keep related records together.
 
-Records and their keys are nodes of a graph. Hash-to-Min finds its components: every
-node sends its cluster to the cluster's smallest node and that node to the rest,
+Records and their keys are nodes of a graph. Every task first unites the links it reads
+itself, so that only stars are left. Hash-to-Min then finds the components across tasks:
+every node sends its cluster to the cluster's smallest node and that node to the rest,
 until nothing changes. Clusters are kept as rows (node, member), never as lists, so a
 component of any size is spread over the cluster. Weighted rendezvous hashing then
 gives each component a split.
@@ -9,6 +10,9 @@ gives each component a split.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,11 +23,51 @@ from skein.session import Scratch
 #: At most this many nodes can hold 1/HOT of all rows each; their minima are broadcast.
 HOT = 500
 MAX_ROUNDS = 60
-
-
-def _exchange(c: DataFrame, scratch: Scratch) -> DataFrame:
-    """One round: rows (v, u) mean that u is in v's cluster; u = v is always there."""
-    n = c.count()
+#: Nodes a task unites before it hands its stars on; it starts afresh then.
+TASK_NODES = 500_000
+#: What records are marked by as nodes; smaller than any key, so that a component is named after a record.
+RECORD = "\x01"
+
+
+class Stars:
+    """Nodes united by links, as stars around the smallest node of each part."""
+
+    def __init__(self):
+        self.up: dict[str, str] = {}
+
+    def find(self, x: str) -> str:
+        top = x
+        while (y := self.up.setdefault(top, top)) != top:
+            top = y
+        while self.up[x] != top:
+            self.up[x], x = top, self.up[x]
+        return top
+
+    def unite(self, a: str, b: str) -> None:
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+
+    def frame(self) -> pd.DataFrame:
+        nodes = list(self.up)
+        return pd.DataFrame({"a": [self.find(x) for x in nodes], "b": nodes}, dtype=object)
+
+
+def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    s = Stars()
+    for b in batches:
+        for r, keys in zip(b["record"], b["keys"], strict=True):
+            s.find(r)
+            for k in keys:
+                s.unite(r, k)
+        if len(s.up) > TASK_NODES:
+            yield s.frame()
+            s = Stars()
+    yield s.frame()
+
+
+def _exchange(c: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """One round over n rows: (v, u) means that u is in v's cluster; u = v is always there."""
     stats = scratch.cut(c.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("size")), "minima")
     hot = stats.where(F.col("size") * HOT > n + HOT).select("v", "m")  # fewer than HOT rows by counting
     rest = stats.where(F.col("size") * HOT <= n + HOT).select("v", "m")
@@ -52,7 +96,7 @@ def components(edges: DataFrame, scratch: Scratch | None = None, max_rounds: int
     c = scratch.cut(both.select("x.v", "x.u").distinct(), "clusters")
     mark = _mark(c)
     for _ in range(max_rounds):
-        new = _exchange(c, scratch)
+        new = _exchange(c, mark[0], scratch)
         scratch.drop(c)
         c, before, mark = new, mark, _mark(new)
         if mark == before:
@@ -67,34 +111,35 @@ def record_groups(rows: DataFrame, record: str, keys: dict[str, Column], scratch
 
     keys: name to canonical key column, null where a key joins nothing. A record without
     any key is a component of its own, a record that occurs in several rows joins all
-    their keys, and rows without a record are ignored. Component names are the smallest
-    key of the component, or the record's own name.
+    their keys, and rows without a record are ignored. A component is named after its
+    smallest record. Records and components are strings.
     """
     scratch = scratch or Scratch(rows.sparkSession, "groups")
     tagged = F.array_compact(F.array(*(F.concat(F.lit(f"{name}\x01"), k) for name, k in keys.items())))
-    has = rows.where(F.col(record).isNotNull()).select(F.col(record).alias("record"), tagged.alias("keys"))
-    has = has.select("record", F.explode(F.when(F.size("keys") > 0, F.col("keys")).otherwise(F.array(F.concat(F.lit("\x02"), "record")))).alias("key"))
-    has = scratch.cut(has.distinct(), "keys")
-    first = scratch.cut(has.groupBy("record").agg(F.min("key").alias("a")), "first")
-    edges = has.join(first, "record").select("a", F.col("key").alias("b")).distinct()
-    comp = components(edges, scratch)
-    return first.join(comp, first.a == comp.node).select(F.col("record").alias(record), "component")
+    has = rows.where(F.col(record).isNotNull()).select(F.concat(F.lit(RECORD), F.col(record).cast("string")).alias("record"), tagged.alias("keys"))
+    comp = components(scratch.cut(has.mapInPandas(_stars, "a string, b string"), "stars"), scratch)
+    named = comp.where(F.startswith("node", F.lit(RECORD)))
+    return scratch.cut(named.select(F.substr("node", F.lit(2)).alias(record), F.substr("component", F.lit(2)).alias("component")), "groups")
 
 
 def joined_groups(groups: DataFrame, record: str) -> DataFrame:
-    """(record, group_id) for records joined with at least one other; group_id is the smallest record."""
-    size = groups.groupBy("component").agg(F.min(record).alias("group_id"), F.count("*").alias("n"))
-    return groups.join(size.where(F.col("n") > 1), "component").select(record, "group_id")
+    """(record, group_id) for records joined with at least one other; group_id is the smallest record.
+
+    A component is named after its smallest record, so all others show that it is shared;
+    no group is gathered.
+    """
+    others = groups.where(F.col(record) != F.col("component")).select(record, F.col("component").alias("group_id"))
+    return others.unionByName(others.select(F.col("group_id").alias(record), "group_id").distinct())
 
 
 def _uniform(*cols: Column) -> Column:
-    """A number in (0, 1) from a hash; equal everywhere for equal values."""
-    return (F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") + 0.5) / float(1 << 53)
+    """A number in (0, 1) from a hash; equal on every engine for equal values."""
+    return (F.conv(F.substring(F.md5(F.concat_ws(":", *cols)), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
 def rendezvous(component: Column, weights: dict[str, float], seed: int) -> Column:
     """The split with the best weighted rendezvous score, -w / ln(u)."""
-    scored = [F.struct((-F.lit(float(w)) / F.log(_uniform(component, F.lit(name), F.lit(seed)))).alias("score"), F.lit(name).alias("split")) for name, w in sorted(weights.items()) if w > 0]
+    scored = [F.struct((-F.lit(float(w)) / F.log(_uniform(component, F.lit(name), F.lit(str(seed))))).alias("score"), F.lit(name).alias("split")) for name, w in sorted(weights.items()) if w > 0]
     return F.array_max(F.array(*scored))["split"] if scored else F.lit(sorted(weights)[0])
 
 

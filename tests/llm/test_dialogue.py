@@ -108,3 +108,33 @@ def test_ordered_lists_and_empty_table(spark):
     assert [[x.text for x in r.turns] for r in lists] == [["x", "y"], ["z"]]
     t, v = D.rebuild(frame(spark, []), with_text=True)
     assert t.count() == 0 and v.count() == 0
+
+
+def test_turns_are_merged_by_corrected_time(spark):
+    """The brand's clock is ten minutes slow: as stored its answers come first, as corrected they do not."""
+    rows = []
+    for c in range(30):
+        for i in range(4):
+            at = T0 + dt.timedelta(hours=c, seconds=40 * i) - dt.timedelta(seconds=600 * (i % 2))
+            rows.append((f"c{c}", c * 10 + i, "Brand" if i % 2 else f"{c}", None, at, "hi", c * 10 + i - 1 if i else None, i))
+    s = Scratch(spark, "merge")
+    turns, v = D.rebuild(frame(spark, rows), s)
+    got = D.merged_by_time(D.kept_turns(turns, v, feasible=True), s)
+    assert got.where("merged = position").count() == 120
+    raw = turns.withColumnRenamed("turn_index", "position").join(frame(spark, rows).select("tweet_id", "created_at"), "tweet_id").withColumn("corrected_at", F.col("created_at"))
+    assert D.merged_by_time(raw, s).where("merged = position").count() < 120  # without the clocks
+
+
+def test_infeasible_conversations_are_left_out_where_asked(spark):
+    rows = [("c", 1, "1", None, T0 + dt.timedelta(minutes=9), "a", None, 0), ("c", 2, "B", None, T0 + dt.timedelta(minutes=8), "b", 1, 1), ("c", 3, "1", None, T0, "c", 2, 2), turn("d", 0, "7"), turn("d", 1, "B")]
+    t, v = D.rebuild(frame(spark, rows))
+    assert {r[0] for r in D.kept_turns(t, v).select("conversation_id").collect()} == {"c", "d"}
+    assert {r[0] for r in D.kept_turns(t, v, feasible=True).select("conversation_id").collect()} == {"d"}
+
+
+def test_one_sender_and_one_question_hold_half_of_all_rows(spark):
+    rows = [turn("hot", 0, "1")] + [("hot", i, "Brand", None, T0 + dt.timedelta(seconds=i - 300), "hi", 0, i) for i in range(1, 1500)]
+    rows += [x for c in range(400) for x in (turn(f"c{c}", 0, str(c + 10)), turn(f"c{c}", 1, "Brand"))]
+    t, v = D.rebuild(frame(spark, rows).repartition(16))
+    got = {r.conversation_id: (r.n_turns, r.reasons, r.clock_conflicts) for r in v.collect()}
+    assert len(got) == 401 and got["hot"] == (1500, [], 0) and t.count() == 1500 + 800

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from skein.llm import leaks as L
 
 
@@ -37,7 +39,7 @@ def test_equals_brute_force_by_either_way(spark):
     items, docs, want = corpus()
     d, i = frames(spark, items, docs)
     assert {(r.doc_id, r.item_id) for r in L.leaked_items(d, i).collect()} == want
-    assert {(r.doc_id, r.item_id) for r in L.leaked_items(d, i, broadcast_shingles=0).collect()} == want
+    assert {(r.doc_id, r.item_id) for r in L.leaked_items(d, i, broadcast_bytes=0).collect()} == want
 
 
 def test_a_passage_in_a_third_of_all_documents(spark):
@@ -57,4 +59,39 @@ def test_words_and_bounds():
     assert L.words("It&#39;s <b>A</b>—１２ café!") == ["its", "a", "12", "cafe"] and L.words(None) == []
     assert L.needed(40) == 20 and L.needed(80) == 32 and L.needed(10) == 10
     a = [str(i) for i in range(40)]
-    assert L.in_order(a, a) == L.aligned(a, a) == 40 and L.aligned(["x"] * 9, a) == 0
+    assert best(a, a) == 40 and best(["x"] * 9, a) == 0
+    assert L.stretches([50, 3, 10, 200], 20) == [(0, 30), (35, 70), (185, 220)]
+
+
+def best(doc, item):
+    """The definition, cell by cell."""
+    score, top = [(0, 0)] * (len(item) + 1), (0, 0)
+    for w in doc:
+        row = [(0, 0)]
+        for j, v in enumerate(item, 1):
+            ways = [(x[0] - 1, x[1]) for x in (score[j - 1], score[j], row[-1])]
+            s, n = max([*ways, (score[j - 1][0] + 1, score[j - 1][1] + 1)] if w == v else ways)
+            row.append((s, n) if s > 0 else (0, 0))
+        score, top = row, max(top, *row)
+    return top[1]
+
+
+def test_alignments_together_equal_the_definition():
+    rng = random.Random(3)
+    pairs = []
+    for _ in range(150):
+        item = [rng.randrange(30) for _ in range(rng.randint(1, 40))]
+        doc = [rng.randrange(30) for _ in range(rng.randint(0, 20))] + [x for x in item if rng.random() < 0.9] + [rng.randrange(30) for _ in range(rng.randint(0, 20))]
+        pairs.append((np.array(doc or [0]), np.array(item)))
+    got = L.aligned([d for d, _ in pairs], [i for _, i in pairs])
+    assert [int(x) for x in got] == [best(list(d), list(i)) for d, i in pairs]
+
+
+def test_a_frequent_shingle_in_every_item_and_document(spark):
+    items, docs, want = corpus()
+    boiler = "please see our terms and conditions today"
+    items = {k: [*v, *boiler.split()] for k, v in items.items()}
+    docs = {k: f"{v} {boiler}" if not v.startswith("<p>") else v for k, v in docs.items()}
+    d, i = frames(spark, items, docs)
+    got = {(r.doc_id, r.item_id) for r in L.leaked_items(d.repartition(12), i).collect()}
+    assert want <= got and len(got) <= len(want) + 3

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 
 import pytest
 
@@ -45,7 +46,8 @@ def test_the_rest_of_the_text_stays():
     spans = P.find(t)
     out = P.redact(t, KEY)
     keep = [t[a:b] for a, b in zip([0, *(s.end for s in spans)], [*(s.start for s in spans), len(t)], strict=True)]
-    assert len(spans) == 2 and all(k in out for k in keep) and "555" not in out.replace("[PHONE", "")[:0] + keep[0]
+    assert len(spans) == 2 and all(k in out for k in keep)
+    assert [x[: x.index(" ")] for x in re.findall(r"\[[^\]]*\]", out)] == ["[PHONE", "[EMAIL"] and re.sub(r"\[[^\]]*\]", "", out) == "".join(keep)
 
 
 def test_equal_values_stay_linked():
@@ -55,6 +57,36 @@ def test_equal_values_stay_linked():
     assert P.redact("(212) 555-0185", b"other") != b
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "value"),
+    [
+        ("Call +1 (212) 555-0185 ext 12", "PHONE", "+1 2125550185 x12"), ("Call 212-555-0185 x 99", "PHONE", "+1 2125550185 x99"), ("Call +33 1 99 00 92 71", "PHONE", "+33 199009271"), ("Call +49 199 009271", "PHONE", "+49 199009271"),
+        ("Call 06 39 98 69 37", "PHONE", "+33 639986937"), ("Call 07700 900992", "PHONE", "+44 7700900992"), ("my SSN 123-45-6789", "ID_NUMBER", "123456789"), ("my SSN 997-33-9035", "ID_NUMBER", "997339035"), ("DNI 12345678Z", "ID_NUMBER", "12345678Z"),
+        ("I was born on 3 March 1987 in Halden", "DATE", "1987-03-03"), ("DOB: 02/28/1990", "DATE", "1990-02-28"),
+    ],
+)
+def test_the_key_brings_the_value_back(text, kind, value):
+    out = P.redact(text, KEY, P.find(text, births=True))
+    shown = re.search(r"\[[^\]]*\]", out).group()
+    assert shown.startswith(f"[{kind} ") and P.revealed(shown, KEY) == value and value not in shown and P.revealed(shown, b"other") != value
+    inner = shown[len(kind) + 2 : -1]
+    assert len(inner) == len(value) and (kind == "DATE" or inner.split(" ")[0] == value.split(" ")[0] or kind == "ID_NUMBER")
+    if kind == "ID_NUMBER":
+        assert P._valid_id(inner) == P._valid_id(value)
+
+
+def test_unequal_numbers_stay_unequal():
+    texts = ["+1 (212) 555-0185 ext 12", "+1 (212) 555-0185 ext 99", "+1 (212) 555-0185", "+33 2125550185", "+49 2125550185"]
+    assert len({P.redact(t, KEY) for t in texts}) == 5
+    assert P.redact("flight on 12/05/2023, born free", KEY, P.find("flight on 12/05/2023, born free", births=True)) == "flight on 12/05/2023, born free"
+    assert len(P.tag("a", KEY, "name")) == 24
+
+
+@pytest.mark.parametrize(("text", "want"), [("Please contact John Smith", ["John Smith"]), ("I am Peter Jones and my bag is gone", ["Peter Jones"]), ("Name: Alice Brown", ["Alice Brown"]), ("I am Very Angry. Please contact Customer service", []), ("Rue de Rivoli 12, Paris", ["Rue de Rivoli 12, Paris"]), ("Aadhaar 2345 6789 0123", ["2345 6789 0123"])])
+def test_cues_beyond_the_usual(text, want):
+    assert [s.value for s in P.find(text)] == want
+
+
 def test_feistel_is_a_permutation():
     for n in range(1, 4):
         seen = {tuple(P.feistel([int(c) for c in f"{x:0{n}d}"], 10, KEY, "t")) for x in range(10**n)}

@@ -59,6 +59,24 @@ def test_splits_hold_components_together_and_keep_proportions(spark):
     assert a.select("r", "split").exceptAll(again.select("r", "split")).count() == 0
 
 
+def test_one_key_holds_half_of_all_rows_over_many_partitions(spark):
+    rows = [(f"r{i:05d}", "hot" if i % 2 else f"k{i // 6}", f"m{i // 2}" if i % 10 == 0 else None) for i in range(4000)]
+    df = spark.createDataFrame(rows, "r string, a string, b string").repartition(24)
+    got = {r.r: r.component for r in S.record_groups(df, "r", {"a": F.col("a"), "b": F.col("b")}).collect()}
+    want = union_find([(r, a and "a" + a, b and "b" + b) for r, a, b in rows])
+    smallest = {}
+    for r in sorted(want):
+        smallest.setdefault(want[r], r)
+    assert got == {r: smallest[want[r]] for r in want}
+
+
+def test_stars_handed_on_in_parts_join_up(spark, monkeypatch):
+    s = S.Stars()
+    for a, b in [("c", "b"), ("d", "c"), ("z", "y")]:
+        s.unite(a, b)
+    assert sorted(map(tuple, s.frame().values)) == [("b", "b"), ("b", "c"), ("b", "d"), ("y", "y"), ("y", "z")]
+
+
 def test_nulls_and_empty_table(spark):
     g = groups(spark, [("a", None, None), ("b", None, None), (None, "x", "y")])
     assert g.count() == 2 and S.joined_groups(g, "r").count() == 0

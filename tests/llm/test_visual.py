@@ -54,5 +54,21 @@ def test_pairs_equal_brute_force(spark):
     assert got == want
 
 
+def test_without_repair_mixed_tokens_stay_apart(spark):
+    mixed = VARIANTS[-1]
+    assert V.class_form(V.fold(mixed)) != V.class_form(CLEAN)  # what the classes would be without the repair
+    # no text has the word as it should be, but two writings come down to it; a single mixed writing stays alone
+    rows = [("a", "cаll"), ("b", "сall"), ("c", "саӏӏ"), ("d", "zoоm"), ("e", "zoom!"), ("f", "flіght"), ("g", "flight 2")]
+    got = {tuple(r) for r in V.same_look_pairs(V.same_look(spark.createDataFrame(rows, "k string, t string"), "k", "t"), "k").collect()}
+    assert got == {("a", "b"), ("a", "c"), ("b", "c")}
+    alone = V.repair(spark.createDataFrame([("cаll us",), ("we call",)], "t string"), "t").where("t like 'c%'").first().repaired
+    assert alone == "call us" and V.repair(spark.createDataFrame([("cаll us",)], "t string"), "t").first().repaired == "cаll us"
+
+
+@pytest.mark.parametrize(("a", "b"), [("Ꭺ", "A"), ("ϲ", "c"), ("ɑ", "a"), ("ɡ", "g"), ("𝐀", "A"), ("ı", "i")])
+def test_forms_of_a_letter(a, b):
+    assert V.look(a) == V.look(b) and V.class_form(V.fold(a)) == b
+
+
 def test_empty_table(spark):
     assert V.same_look(spark.createDataFrame([], "k string, t string"), "k", "t").count() == 0
