@@ -2,9 +2,9 @@
 
 Weighted disjoint-set forests. Every partition joins its own links into a forest
 whose nodes know their offset to the local root. Of a partition's forest only the
-nodes that other partitions point at are kept for the next level; those few are
-merged the same way until one task of bounded size holds them, where roots and
-loops are decided. The answers go back by (partition, outer node), so that a node
+nodes that other partitions point at are kept for the next level; those are
+merged the same way, by ranges of ids or, where their order fits no ranges, by random
+mates, until one task of bounded size holds them, where roots and loops are decided. The answers go back by (partition, outer node), so that a node
 with millions of children is looked up once per partition and never becomes a hot
 join key.
 """
@@ -168,41 +168,39 @@ def _give(level: DataFrame, asked: DataFrame, solved: DataFrame) -> DataFrame:
     return level.where(F.col("state") != OPEN).unionByName(closed)
 
 
-def _double(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pointer doubling by joins, for links whose order fits no partitioning.
+def _forest(rows: DataFrame) -> DataFrame:
+    return rows.mapInArrow(_merge, FOREST_PATHS if "seg" in rows.columns else FOREST)
 
-    Log2(longest path) rounds; what is still open after log2(rows) + 1 rounds is in
-    a loop or leads into one.
-    """
-    n = rows.count()
-    for _ in range(int(np.ceil(np.log2(max(n, 2)))) + 1):
-        j, opened = _as_target(rows), rows.where(F.col("state") == OPEN)
-        stepped = opened.join(j, opened.anc == j.j).select("id", *_step("seg" in rows.columns))
-        new = scratch.cut(rows.where(F.col("state") != OPEN).unionByName(stepped), "double")
-        scratch.drop(rows)
-        rows = new
-        if not rows.where(F.col("state") == OPEN).limit(1).count():
-            return rows
-    j, opened = _as_target(rows), rows.where(F.col("state") == OPEN)
-    looped = opened.join(j, opened.anc == j.j).select("id", F.col("j_low").alias("anc"), F.lit(-1).cast("bigint").alias("off"), "low", "last", F.lit(LOOP).cast("tinyint").alias("state"), *([F.lit(None).cast("array<bigint>").alias("seg")] if "seg" in rows.columns else []))
-    return scratch.cut(rows.where(F.col("state") != OPEN).unionByName(looped), "loops")
 
+def _mated(rows: DataFrame, parts: int, task_links: int, level: int) -> DataFrame:
+    """rows partitioned so that, whatever their order, many lie with the node they point at.
+
+    Every node throws a coin. A row with heads goes where the node it points at goes, one
+    with tails where its own id goes; so a quarter of all links are met in one task by
+    chance alone. Nodes that very many rows point at are left out of this, so that no
+    partition outgrows a task; such rows are leaves of the level and drop out of the next.
+    """
+    heads = F.xxhash64("id", F.lit(level)) % 2 == 0
+    many = rows.where(F.col("state") == OPEN).groupBy("anc").agg(F.count("*").alias("_n")).where(F.col("_n") > max(task_links // 4, 1))
+    crowded = [r[0] for r in many.select("anc").collect()]  # fewer than 4 rows / task_links
+    follows = heads & (F.col("state") == OPEN) & ~F.col("anc").isin(crowded) if crowded else heads & (F.col("state") == OPEN)
+    return rows.withColumn("_at", F.when(follows, F.col("anc")).otherwise(F.col("id"))).repartition(parts, "_at").drop("_at")
 
-def _forest(rows: DataFrame) -> DataFrame:
-    return rows.mapInArrow(_merge, FOREST_PATHS if "seg" in rows.columns else FOREST)
 
+def _solve(rows: DataFrame, scratch: Scratch, task_links: int, before: int | None = None, level: int = 0) -> DataFrame:
+    """Close all rows (id, anc, off, low, last, state); every anc of an open row is an id.
 
-def _solve(rows: DataFrame, scratch: Scratch, task_links: int, before: int | None = None) -> DataFrame:
-    """Close all rows (id, anc, off, low, last, state); every anc of an open row is an id."""
+    Links in the order of ids are merged by ranges. Where that did not halve their number,
+    the next level is partitioned by coins instead (see _mated), which shrinks it in any order.
+    """
     n = rows.count()
     if n <= task_links:
         return scratch.cut(_forest(rows.repartition(1)).drop("part"), "solved")
-    if before is not None and n > before // 2:
-        return _double(rows, scratch)
     parts = int(np.ceil(2 * n / task_links))
-    level = scratch.cut(_forest(rows.repartitionByRange(parts, "id")), "level")
-    asked, up = _answers(level, scratch)
-    return scratch.cut(_give(level, asked, _solve(up, scratch, task_links, n)).drop("part"), "closed")
+    spread = rows.repartitionByRange(parts, "id") if before is None or n <= before // 2 else _mated(rows, parts, task_links, level)
+    merged = scratch.cut(_forest(spread), "level")
+    asked, up = _answers(merged, scratch)
+    return scratch.cut(_give(merged, asked, _solve(up, scratch, task_links, n, level + 1)).drop("part"), "closed")
 
 
 def _climb(links: DataFrame, scratch: Scratch, task_links: int, with_path: bool) -> DataFrame:

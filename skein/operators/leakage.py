@@ -17,8 +17,8 @@ from skein.session import Scratch
 LAYERS = ("conversation", "customer", "exact_text", "near_duplicate")
 
 
-def flagged(corpus: DataFrame, held: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, layers: tuple[str, ...] = LAYERS) -> DataFrame:
-    """corpus (id, conversation, customer, text) with layer: the first that removes it, or null.
+def overlaps(corpus: DataFrame, held: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
+    """corpus (id, conversation, customer, text) with <layer>_hit: whether that layer on its own finds the record in held.
 
     held: conversation, customer, text. Null keys match nothing, empty texts match no text.
     """
@@ -36,11 +36,17 @@ def flagged(corpus: DataFrame, held: DataFrame, scratch: Scratch, threshold: flo
     near = jaccard_join(classes, gold, scratch, threshold).select(F.col("a").alias("class_id")).distinct()
     ids = members.join(near, "class_id").select(F.col("key").alias("_id")).withColumn("_near_duplicate", F.lit(True))
     out = out.join(ids, out["id"] == ids["_id"], "left").drop("_id")
+    hits = [F.coalesce(f"_{n}", F.lit(False)).alias(f"{n}_hit") for n in LAYERS]
+    return scratch.cut(out.select(*corpus.columns, *hits), "overlaps")
+
+
+def flagged(found: DataFrame, layers: tuple[str, ...] = LAYERS) -> DataFrame:
+    """What overlaps() found, with layer: the first of the given layers that removes the record, or null."""
     layer = F.lit(None).cast("string")
     for name in reversed(LAYERS):
         if name in layers:
-            layer = F.when(F.col(f"_{name}"), F.lit(name)).otherwise(layer)
-    return out.withColumn("layer", layer).drop("_norm", *(f"_{n}" for n in LAYERS))
+            layer = F.when(F.col(f"{name}_hit"), F.lit(name)).otherwise(layer)
+    return found.withColumn("layer", layer).drop(*(f"{n}_hit" for n in LAYERS))
 
 
 def audit(marked: DataFrame, layers: tuple[str, ...] = LAYERS) -> DataFrame:

@@ -86,38 +86,74 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     return x.select("n", F.try_divide(F.col("s") - expected, (F.col("sa") + F.col("sb")) / 2.0 - expected).alias("ari"))
 
 
-def draw(resample: Column, i: Column, n: Column, seed: int) -> Column:
-    """Which of n rows the i-th place of a resample gets; equal on every engine."""
-    h = F.md5(F.concat_ws(":", resample, i, F.lit(str(seed))))
-    return F.pmod(F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint"), n)
+#: 65,536 times the cumulative probabilities of the Poisson distribution with mean 1.
+POISSON = (24109, 48219, 60273, 64292, 65296, 65497, 65531, 65535)
+RESAMPLES = 2_000
 
 
-def bootstrap_mean(df: DataFrame, key: str, value: Column, resamples: int, seed: int, scratch) -> DataFrame:
-    """(n, mean, low, high): mean of a value and its percentile interval over resampled rows.
+def resampled(df: DataFrame, key: str, resamples: int = RESAMPLES, seed: int = 42) -> DataFrame:
+    """df with resample and w: how often a row counts in each resample, rows of weight 0 left out.
 
-    Rows are numbered over the whole table without gathering them; each resample draws its
-    places by hash, and only (resample, sum, count) is kept of it.
+    Weights are independent Poisson draws with mean 1, read off a hash of key, resample and
+    seed, eight to a hash. They are made where the rows are and summed there first, so that
+    a resample costs no shuffle of rows; rows of one key move together.
     """
-    from skein.operators.ranks import ranked
-
-    rows = df.select(F.col(key).alias("k"), value.cast("double").alias("v")).where(F.col("k").isNotNull() & F.col("v").isNotNull())
-    rows = scratch.cut(ranked(rows.withColumn("_all", F.lit(0)), ["_all"], ["k"], "pos", scratch).select((F.col("pos") - 1).alias("pos"), "v"), "rows")
-    n = rows.count()
-    if n == 0:
-        return df.sparkSession.createDataFrame([(0, None, None, None)], "n bigint, mean double, low double, high double")
-    spark = df.sparkSession
-    spots = rows.select(F.col("pos").alias("i")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).select("b", draw(F.col("b"), F.col("i"), F.lit(n), seed).alias("pos"))
-    # the same place is often drawn: counted before the values are joined
-    drawn = spots.groupBy("b", "pos").agg(F.count("*").alias("c")).join(rows, "pos").groupBy("b").agg((F.sum(F.col("c") * F.col("v")) / F.sum("c")).alias("m"))
-    out = drawn.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
-    mean = rows.agg(F.avg("v").alias("mean"))
-    return out.select(F.lit(n).cast("bigint").alias("n"), mean.scalar().alias("mean"), "low", "high")
-
-
-def ordinal(df: DataFrame, group: str, value: str, low: int = 2, high: int = 4) -> DataFrame:
-    """By group: n, mean, median, shares at or below low and at or above high; null values are skipped."""
+    h = F.md5(F.concat_ws(":", F.col(key).cast("string"), "_b", F.lit(str(seed))))
+    rows = df.where(F.col(key).isNotNull()).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // 8)))).withColumn("_h", h)
+    u = [F.conv(F.substring("_h", 1 + 4 * i, 4), 16, 10).cast("int") for i in range(8)]
+    draws = F.array(*(F.struct((F.col("_b") * 8 + i).alias("resample"), sum((u[i] >= c).cast("int") for c in POISSON).alias("w")) for i in range(8)))
+    x = rows.withColumn("_d", F.explode(draws)).select(*df.columns, "_d.resample", "_d.w")
+    return x.where((F.col("w") > 0) & (F.col("resample") < resamples))
+
+
+def bootstrap_means(df: DataFrame, key: str, values: list[str], resamples: int = RESAMPLES, seed: int = 42) -> DataFrame:
+    """(name, n, mean, low, high): the mean of each column and its percentile interval over resampled rows; nulls are skipped."""
+    x = resampled(df.select(key, *values), key, resamples, seed).groupBy("resample").agg(*(F.try_divide(F.sum(F.col(v) * F.col("w")), F.sum(F.when(F.col(v).isNotNull(), F.col("w")))).alias(v) for v in values))
+    out = x.agg(*(F.struct(F.percentile(v, 0.025).alias("low"), F.percentile(v, 0.975).alias("high")).alias(v) for v in values))
+    whole = df.where(F.col(key).isNotNull()).agg(*(F.struct(F.count(v).alias("n"), F.avg(v).alias("mean")).alias(f"{v}_all") for v in values))
+    names = F.explode(F.array(*(F.struct(F.lit(v).alias("name"), F.col(f"{v}_all.n").alias("n"), F.col(f"{v}_all.mean").alias("mean"), F.col(f"{v}.low").alias("low"), F.col(f"{v}.high").alias("high")) for v in values)))
+    return out.select("*", *(whole.select(f"{v}_all").scalar().alias(f"{v}_all") for v in values)).select(names.alias("x")).select("x.*")
+
+
+def bootstrap_mean(df: DataFrame, key: str, value: Column, resamples: int = RESAMPLES, seed: int = 42) -> DataFrame:
+    """(n, mean, low, high): mean of a value and its percentile interval over resampled rows; an empty table has n 0 and nulls."""
+    return bootstrap_means(df.select(F.col(key).alias("k"), value.cast("double").alias("v")), "k", ["v"], resamples, seed).select("n", "mean", "low", "high")
+
+
+def ordinal(df: DataFrame, group: str, value: str, low: int = 2, high: int = 4, levels: int = 5) -> DataFrame:
+    """By group: n, mean, median, counts of the levels 1 ... , shares at or below low and at or above high; null values are skipped."""
     x = df.where(F.col(value).isNotNull())
-    return x.groupBy(group).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.percentile(value, 0.5).alias("median"), F.round(F.count_if(F.col(value) <= low) / F.count("*"), 6).alias("share_low"), F.round(F.count_if(F.col(value) >= high) / F.count("*"), 6).alias("share_high"))
+    hist = [F.count_if(F.col(value) == k).alias(f"n{k}") for k in range(1, levels + 1)]
+    return x.groupBy(group).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.percentile(value, 0.5).alias("median"), *hist, F.round(F.count_if(F.col(value) <= low) / F.count("*"), 6).alias("share_low"), F.round(F.count_if(F.col(value) >= high) / F.count("*"), 6).alias("share_high"))
+
+
+def flag_by_low(df: DataFrame, system: str, flag: str, value: str, low: int = 2) -> DataFrame:
+    """By system the 2 x 2 counts of a flag against a low score, the share flagged, and the share of low scores with and without the flag."""
+    x = df.where(F.col(value).isNotNull() & F.col(flag).isNotNull()).select(system, F.col(flag).alias("f"), (F.col(value) <= low).alias("l"))
+    n = lambda c: F.count_if(c)
+    f, bad = F.col("f"), F.col("l")
+    return x.groupBy(system).agg(
+        n(f & bad).alias("flagged_low"), n(f & ~bad).alias("flagged_other"), n(~f & bad).alias("unflagged_low"), n(~f & ~bad).alias("unflagged_other"),
+        F.round(F.try_divide(n(f), F.count("*")), 6).alias("share_flagged"), F.round(F.try_divide(n(f & bad), n(f)), 6).alias("low_if_flagged"), F.round(F.try_divide(n(~f & bad), n(~f)), 6).alias("low_if_unflagged"),
+    )
+
+
+def breakdown(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """By every column of `by` and each of its values: (dimension, level, n, mean); null levels are named <none>."""
+    d = F.explode(F.array(*(F.struct(F.lit(c).alias("dimension"), F.coalesce(F.col(c).cast("string"), F.lit("<none>")).alias("level")) for c in by)))
+    return df.where(F.col(value).isNotNull()).select(d.alias("d"), value).groupBy("d.dimension", "d.level").agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"))
+
+
+def kappa_by(df: DataFrame, group: str, a: str, b: str, pooled: str = "<all>") -> DataFrame:
+    """(group, n, exact, within_one, kappa) for every group and over all rows together; kappa is null where it is undefined."""
+    known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    x = known.select(F.explode(F.array(F.col(group).cast("string"), F.lit(pooled))).alias("g"), F.col(a).alias("a"), F.col(b).alias("b"))
+    c = x.groupBy("g", "a", "b").agg(F.count("*").alias("n"))  # groups x labels x labels rows
+    seen = c.groupBy("g").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("same"), F.sum(F.when(F.abs(F.col("a") - F.col("b")) <= 1, F.col("n")).otherwise(0)).alias("near"))
+    ra, rb = c.groupBy("g", F.col("a").alias("label")).agg(F.sum("n").alias("na")), c.groupBy("g", F.col("b").alias("label")).agg(F.sum("n").alias("nb"))
+    e = ra.join(rb, ["g", "label"]).groupBy("g").agg(F.sum(F.col("na") * F.col("nb")).alias("e"))
+    po, pe = F.col("same") / F.col("n"), F.coalesce("e", F.lit(0)) / (F.col("n") * F.col("n"))
+    return seen.join(e, "g", "left").select(F.col("g").alias(group), "n", F.round(po, 9).alias("exact"), F.round(F.col("near") / F.col("n"), 9).alias("within_one"), F.round(F.try_divide(po - pe, 1 - pe), 9).alias("kappa"))
 
 
 def paired(df: DataFrame, item: str, system: str, value: str, a: str, b: str) -> DataFrame:
@@ -136,16 +172,10 @@ def majority(df: DataFrame, label: str) -> DataFrame:
     return df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(1)
 
 
-def resampled_counts(df: DataFrame, key: str, a: str, b: str, resamples: int, seed: int, scratch) -> DataFrame:
-    """(resample, a, b, n): contingency counts of rows drawn with replacement; rows without key or label take no part."""
-    from skein.operators.ranks import ranked
-
-    rows = df.where(F.col(key).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.lit(0).alias("_all"), F.col(key).alias("k"), F.col(a).alias("a"), F.col(b).alias("b"))
-    rows = scratch.cut(ranked(rows, ["_all"], ["k"], "pos", scratch).select((F.col("pos") - 1).alias("pos"), "a", "b"), "rows")
-    n = rows.count()
-    spots = rows.select(F.col("pos").alias("i")).withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).select("resample", draw(F.col("resample"), F.col("i"), F.lit(max(n, 1)), seed).alias("pos"))
-    drawn = spots.groupBy("resample", "pos").agg(F.count("*").alias("c")).join(rows, "pos")
-    return drawn.groupBy("resample", "a", "b").agg(F.sum("c").alias("n"))
+def resampled_counts(df: DataFrame, key: str, a: str, b: str, resamples: int = RESAMPLES, seed: int = 42) -> DataFrame:
+    """(resample, a, b, n): contingency counts of resampled rows; rows without key or label take no part."""
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(key).alias("k"), F.col(a).alias("a"), F.col(b).alias("b"))
+    return resampled(rows, "k", resamples, seed).groupBy("resample", "a", "b").agg(F.sum("w").alias("n"))
 
 
 def interval(df: DataFrame, value: str) -> DataFrame:

@@ -11,6 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
+from skein.operators.ranks import running_sum
+from skein.operators.skew import lookup
+from skein.session import Scratch
 
 
 def basic(df: DataFrame, time: Column) -> DataFrame:
@@ -84,19 +87,20 @@ def mixed_groups(df: DataFrame, group: str, value: str) -> DataFrame:
     return df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count_distinct(value).alias("n_values")).where(F.col("n_values") > 1)
 
 
-def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
+def spearman(df: DataFrame, a: str, b: str, scratch: Scratch) -> DataFrame:
     """Rank correlation with average ranks for ties: Pearson's over two frames of ranks.
 
-    Ranks come from counts of distinct values and their running totals, so that only the
-    distinct values are ordered in one place.
+    Ranks come from counts of distinct values and their running totals across tasks, so
+    that neither rows nor values are ordered in one place.
     """
-    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
+    pairs = scratch.cut(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b), "pairs")
 
-    def ranks(c: str) -> DataFrame:
-        v = pairs.groupBy(c).agg(F.count("*").alias("n"))
-        return v.select(F.col(c), (F.sum("n").over(W.orderBy(c)) - (F.col("n") - 1) / 2).alias(f"r_{c}"))
+    def with_rank(rows: DataFrame, c: str) -> DataFrame:
+        v = pairs.groupBy(c).agg(F.count("*").alias("_n")).withColumn("_all", F.lit(0))
+        r = running_sum(v, ["_all"], [c], F.col("_n"), "_upto", scratch)
+        return lookup(rows, c, scratch.cut(r.select(c, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(f"r_{c}")), "ranks"), "inner")
 
-    return pairs.join(ranks(a), a).join(ranks(b), b).agg(F.corr(f"r_{a}", f"r_{b}").alias("rho"), F.count("*").alias("n"))
+    return with_rank(with_rank(pairs, a), b).agg(F.corr(f"r_{a}", f"r_{b}").alias("rho"), F.count("*").alias("n"))
 
 
 def ordinal_steps(df: DataFrame, group: str, index: str) -> DataFrame:

@@ -11,36 +11,28 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.operators.ranks import ranked
-from skein.operators.tfidf import scores, top_k
+from skein.operators.tfidf import nearest, top_k
 from skein.session import Scratch
 
 
-def eligible(pairs: DataFrame, meta: DataFrame) -> DataFrame:
-    """Pairs (query, doc) without a query's own conversation and its customer's others.
+def search(queries: DataFrame, index: DataFrame, meta: DataFrame, scratch: Scratch, k: int = 5) -> DataFrame:
+    """(query, rank, doc, conversation, similarity): the k most similar eligible documents of each query.
 
-    meta: doc, conversation, customer; a null customer excludes nobody.
+    queries: doc; index: vectors (see tfidf.py); meta: doc, conversation, customer.
     """
-    m = meta.select("doc", "conversation", "customer")
-    q = m.select(F.col("doc").alias("query"), F.col("conversation").alias("q_conversation"), F.col("customer").alias("q_customer"))
-    x = pairs.join(m, "doc").join(q, "query")
-    own = F.coalesce(F.col("conversation") == F.col("q_conversation"), F.lit(False)) | F.coalesce(F.col("customer") == F.col("q_customer"), F.lit(False))
-    return x.where(~own).select("query", "doc", "similarity", "conversation")
+    docs = scratch.cut(index.join(meta.select("doc", "conversation", "customer"), "doc"), "documents")
+    return nearest(docs.join(queries.select("doc").distinct(), "doc", "left_semi"), docs, k, scratch)
 
 
-def search(queries: DataFrame, index: DataFrame, meta: DataFrame, k: int = 5) -> DataFrame:
-    """(query, rank, doc, conversation, similarity): the k most similar eligible documents of each query."""
-    return top_k(eligible(scores(queries, index), meta), k, "conversation")
-
-
-#: Queries that are compared at a time: what every task is sent.
-QUERY_BLOCK = 20_000
+#: Queries that are compared at a time: what every task is sent. Cells of a task's table of similarities.
+QUERY_BLOCK, CELLS = 20_000, 4_000_000
 
 
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """(query, rank, doc, similarity) by cosine over arrays of floats, without the query's own doc.
 
     queries and vectors: doc, vec. Queries are a stated set that meets all vectors, in blocks
-    of a fixed size; a task keeps the k best of each query per batch, so no pair is written.
+    of a fixed size; a task keeps the k best of each query, so no pair is written.
     """
     scratch = Scratch(queries.sparkSession, "dense")
     q = scratch.cut(ranked(queries.select("doc", "vec").where(F.col("vec").isNotNull()).withColumn("_all", F.lit(0)), ["_all"], ["doc"], "n", scratch).select("doc", "vec", F.floor((F.col("n") - 1) / block).alias("block")), "queries")
@@ -55,24 +47,29 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int, block: int = QU
 
 
 def _against(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Candidates (query, doc, similarity) of one block of queries: the k best per batch of vectors."""
+    """Candidates (query, doc, similarity) of one block of queries: the k best per task."""
     rows = queries.select("doc", "vec").orderBy("doc").collect()  # a block
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
     sent = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows]), unit(np.stack([np.asarray(r[1], float) for r in rows]))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, m = sent.value
+        best_s, best_d = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
+        step = max(1, CELLS // len(ids))
         for b in batches:
-            if not len(b):
-                continue
-            s = np.round(m @ unit(np.stack([np.asarray(v, float) for v in b["vec"]])).T, 6)
-            docs = b["doc"].to_numpy()
-            s[ids[:, None] == docs[None, :]] = -2.0
-            out = []
-            for i in range(len(ids)):
-                best = np.lexsort((docs, -s[i]))[:k]
-                out += [(int(ids[i]), int(docs[j]), float(s[i, j])) for j in best if s[i, j] > 0]
-            yield pd.DataFrame(out, columns=["query", "doc", "similarity"])
+            for a in range(0, len(b), step):
+                some = b.iloc[a : a + step]
+                docs = some["doc"].to_numpy()
+                s = np.round(m @ unit(np.stack([np.asarray(v, float) for v in some["vec"]])).T, 6)
+                s[ids[:, None] == docs[None, :]] = -2.0
+                s = np.concatenate([best_s, s], axis=1)
+                d = np.concatenate([best_d, np.broadcast_to(docs, (len(ids), len(docs)))], axis=1)
+                if s.shape[1] > k:  # drop what is surely worse, then order what is left with its ties
+                    s = np.where(s >= -np.partition(-s, k - 1, axis=1)[:, k - 1 : k], s, -3.0)
+                order = np.lexsort((d, -s), axis=1)[:, :k]
+                best_s, best_d = np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
+        good = best_s > 0
+        yield pd.DataFrame({"query": np.repeat(ids, best_s.shape[1])[good.ravel()], "doc": best_d[good], "similarity": best_s[good]})
 
     return vectors.select("doc", "vec").where(F.col("vec").isNotNull()).mapInPandas(run, "query bigint, doc bigint, similarity double")
 

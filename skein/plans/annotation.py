@@ -51,20 +51,15 @@ def sanity_message_select(spark, sf):
 
 @query(R.sql(R.OPENINGS, PV._HELD, PV._LEAK, "SELECT (SELECT count(*) FROM openings) AS records, (SELECT count(DISTINCT conversation) FROM o WHERE conversation IN (SELECT conversation FROM held)) AS shared_conversations, (SELECT count(DISTINCT customer) FROM o WHERE customer IN (SELECT customer FROM held)) AS shared_customers, (SELECT count(*) FROM o WHERE norm <> '' AND norm IN (SELECT norm FROM hn)) AS same_text, (SELECT count(*) FROM near) AS near_text"))
 def leakage_report(spark, sf):
-    """All overlaps of the corpus with held-out data, layer by layer and each on its own."""
-    from skein.operators.leakage import LAYERS
-
-    out = None
-    for name in LAYERS:
-        one = PV._marked(spark, sf, (name,)).where(F.col("layer").isNotNull()).select(F.lit(name).alias("layer"), "conversation", "customer")
-        out = one if out is None else out.unionByName(one)
-    n = out.agg(
-        F.count_distinct(F.when(F.col("layer") == "conversation", F.col("conversation"))).alias("shared_conversations"),
-        F.count_distinct(F.when(F.col("layer") == "customer", F.col("customer"))).alias("shared_customers"),
-        F.count_if(F.col("layer") == "exact_text").alias("same_text"),
-        F.count_if(F.col("layer") == "near_duplicate").alias("near_text"),
+    """All overlaps of the corpus with held-out data, each layer on its own, in one run."""
+    m = PV._overlaps(spark, sf)
+    return m.agg(
+        F.count("*").alias("records"),
+        F.count_distinct(F.when(F.col("conversation_hit"), F.col("conversation"))).alias("shared_conversations"),
+        F.count_distinct(F.when(F.col("customer_hit"), F.col("customer"))).alias("shared_customers"),
+        F.count_if("exact_text_hit").alias("same_text"),
+        F.count_if("near_duplicate_hit").alias("near_text"),
     )
-    return n.select(R.openings(spark, sf).agg(F.count("*")).scalar().alias("records"), "*")
 
 
 @query(R.sql(R.OPENINGS, PV._HELD, PV._LEAK, "kept AS (SELECT id FROM marked WHERE layer IS NULL)", "SELECT (SELECT count(*) FROM kept k JOIN o USING (id) WHERE conversation IN (SELECT conversation FROM held WHERE conversation IS NOT NULL)) AS leaked, (SELECT count(*) FROM kept WHERE id NOT IN (SELECT id FROM o)) AS outside"))
@@ -177,27 +172,33 @@ def cluster_quality(spark, sf):
     return n.select("label", "n", F.round(share, 6).alias("share"), (share < 0.05).alias("small"), (share > 0.25).alias("dominant"))
 
 
-@query()
+_LABELS = ", ".join(f"'{x}'" for x in PE.LABELS)
+
+
+@query(f"""{PE._E}, rw AS (SELECT annotation_id, truth AS a, coalesce(predicted, '<none>') AS b2 FROM e WHERE truth IS NOT NULL), cn AS (SELECT b, a, b2, sum(w) AS n FROM {PE.drawn("rw", "annotation_id", 42)} GROUP BY ALL),
+  pl AS (SELECT b, label, 2 * sum(hit) / sum(n) AS f1 FROM (SELECT b, a AS label, n, CASE WHEN a = b2 THEN n ELSE 0 END AS hit FROM cn UNION ALL SELECT b, b2, n, 0 FROM cn) WHERE label IN ({_LABELS}) GROUP BY ALL), vl AS (SELECT b, sum(f1) / {len(PE.LABELS)} AS v FROM pl GROUP BY 1)
+  SELECT count(*) AS resamples, round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high FROM vl""")
 def bootstrap_macro_f1(spark, sf):
-    e = PE._judged(spark, sf)
-    counts = M.resampled_counts(e.withColumn("predicted", F.coalesce("predicted", F.lit("<none>"))), "annotation_id", "truth", "predicted", 200, 42, Scratch(spark, "macro"))
-    return M.interval(M.resampled_macro_f1(counts, PE.LABELS), "value")
+    e = PE._judged(spark, sf).withColumn("predicted", F.coalesce("predicted", F.lit("<none>")))
+    counts = M.resampled_counts(e, "annotation_id", "truth", "predicted", seed=42)
+    return M.interval(M.resampled_macro_f1(counts, PE.LABELS), "value").select("resamples", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
-@query()
+@query(f"""WITH {PE._PAIR}, cn AS (SELECT b, first AS a, second AS b2, sum(w) AS n FROM {PE.drawn("pr", "doc_id", 44)} GROUP BY ALL), tt AS (SELECT b, sum(n) AS t, coalesce(sum(n) FILTER (a = b2), 0) AS s FROM cn GROUP BY 1),
+  ra AS (SELECT b, a AS l, sum(n) AS na FROM cn GROUP BY ALL), rb AS (SELECT b, b2 AS l, sum(n) AS nb FROM cn GROUP BY ALL), ex AS (SELECT b, sum(na * nb) AS e FROM ra JOIN rb USING (b, l) GROUP BY 1),
+  vl AS (SELECT (s / t - coalesce(e, 0) / (t * t)) / nullif(1 - coalesce(e, 0) / (t * t), 0) AS v FROM tt LEFT JOIN ex USING (b))
+  SELECT count(v) AS resamples, round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high FROM vl WHERE v IS NOT NULL""")
 def bootstrap_kappa(spark, sf):
-    r = PE._raters(spark, sf)
-    return M.interval(M.resampled_kappa(M.resampled_counts(r, "doc_id", "first", "second", 200, 44, Scratch(spark, "kappa"))), "value")
+    counts = M.resampled_counts(PE._raters(spark, sf), "doc_id", "first", "second", seed=44)
+    return M.interval(M.resampled_kappa(counts), "value").select("resamples", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
-@query(f"""WITH {PV._EV}, it AS (SELECT query_id, max(similarity) AS v FROM ev GROUP BY 1), rw AS (SELECT row_number() OVER (ORDER BY query_id) - 1 AS pos, v FROM it), nn AS (SELECT count(*) AS n FROM rw),
-  sp AS (SELECT b, CAST('0x' || substring(md5(concat_ws(':', b, pos, 46)), 1, 15) AS BIGINT) % n AS pos FROM rw, range(200) r(b), nn), ms AS (SELECT b, avg(v) AS m FROM sp JOIN rw USING (pos) GROUP BY b)
-  SELECT (SELECT n FROM nn) AS n, (SELECT round(avg(v), 9) FROM rw) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM ms""")
+@query(f"""WITH {PV._EV}, it AS (SELECT query_id, max(similarity) AS v FROM ev GROUP BY 1), ms AS (SELECT b, sum(v * w) / sum(w) AS m FROM {PE.drawn("it", "query_id", 46)} WHERE v IS NOT NULL GROUP BY b)
+  SELECT (SELECT count(v) FROM it) AS n, (SELECT round(avg(v), 9) FROM it) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM ms""")
 def item_bootstrap(spark, sf):
     """Best similarity per query, resampled by query."""
     it = PV._evidence(spark, sf).groupBy("query_id").agg(F.max("similarity").alias("v"))
-    out = M.bootstrap_mean(it, "query_id", F.col("v"), 200, 46, Scratch(spark, "items"))
-    return out.select("n", *(F.round(c, 9).alias(c) for c in ("mean", "low", "high")))
+    return M.bootstrap_mean(it, "query_id", F.col("v"), seed=46).select("n", *(F.round(c, 9).alias(c) for c in ("mean", "low", "high")))
 
 
 @query(f"{PE._E} SELECT annotation_id, truth, predicted, coalesce(predicted = truth, false) AS correct FROM e WHERE truth IS NOT NULL")

@@ -8,7 +8,7 @@ from skein.operators import labels as L
 from skein.operators import metrics as M
 from skein.plans import relations as R
 from skein.plans.registry import Registry
-from skein.session import Scratch, read
+from skein.session import read
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
@@ -81,11 +81,26 @@ def reason_patterns(spark, sf):
     return L.patterns(_golden(spark, sf), {"ambiguous": F.col("ambiguous"), "low": F.col("confidence") == "low", "second": F.col("second").isNotNull()})
 
 
-@query(f"""WITH {_G} SELECT 'known_label' AS check_name, count(*) FILTER (NOT coalesce(truth IN ({", ".join(f"'{x}'" for x in LABELS)}), false)) AS n FROM g UNION ALL
+_FLAT = "regexp_replace(trim(coalesce({0}, '')), '\\s+', ' ', 'g')"
+
+
+@query(f"""WITH {_G}, per AS (SELECT annotation_id, count(DISTINCT coalesce(text, '')) AS k FROM golden WHERE annotation_id IS NOT NULL GROUP BY 1),
+  src AS (SELECT DISTINCT tweet_id, {_FLAT.format("text")} AS f FROM turns WHERE tweet_id IS NOT NULL), own AS (SELECT DISTINCT annotation_id, try_cast(CASE WHEN regexp_full_match(trim(tweet_id), '[0-9]+') THEN trim(tweet_id) END AS BIGINT) AS tweet_id, {_FLAT.format("text")} AS f FROM golden WHERE annotation_id IS NOT NULL)
+  SELECT 'known_label' AS check_name, count(*) FILTER (NOT coalesce(truth IN ({", ".join(f"'{x}'" for x in LABELS)}), false)) AS n FROM g UNION ALL
   SELECT 'known_confidence', count(*) FILTER (NOT coalesce(confidence IN ('high', 'medium', 'low'), false)) FROM g UNION ALL SELECT 'text_present', count(*) FILTER (NOT coalesce(trim(text) <> '', false)) FROM g UNION ALL
-  SELECT 'second_differs', count(*) FILTER (NOT coalesce(second IS NULL OR second <> truth, false)) FROM g""")
+  SELECT 'second_differs', count(*) FILTER (NOT coalesce(second IS NULL OR second <> truth, false)) FROM g UNION ALL SELECT 'one_text_per_id', (SELECT count(*) FROM per WHERE k > 1) UNION ALL
+  SELECT 'text_as_in_source', (SELECT count(*) FROM own WHERE tweet_id IN (SELECT tweet_id FROM src) AND (tweet_id, f) NOT IN (SELECT (tweet_id, f) FROM src))""")
 def batch_validation(spark, sf):
-    return L.violations(_golden(spark, sf), {"known_label": F.col("truth").isin(LABELS), "known_confidence": F.col("confidence").isin("high", "medium", "low"), "text_present": F.trim("text") != "", "second_differs": F.col("second").isNull() | (F.col("second") != F.col("truth"))})
+    """Violations by check: labels, texts, one text per id, and texts that differ from the turn they were taken from."""
+    flat = lambda c: F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"\s+", " ")
+    rows = read(spark, sf, "golden").where(F.col("annotation_id").isNotNull())
+    out = L.violations(_golden(spark, sf), {"known_label": F.col("truth").isin(LABELS), "known_confidence": F.col("confidence").isin("high", "medium", "low"), "text_present": F.trim("text") != "", "second_differs": F.col("second").isNull() | (F.col("second") != F.col("truth"))})
+    many = rows.groupBy("annotation_id").agg(F.count_distinct(F.coalesce("text", F.lit(""))).alias("k")).where(F.col("k") > 1)
+    own = rows.select("annotation_id", F.when(F.trim("tweet_id").rlike("^[0-9]+$"), F.trim("tweet_id")).try_cast("bigint").alias("tweet_id"), flat(F.col("text")).alias("f")).distinct()
+    src = read(spark, sf, "turns").where(F.col("tweet_id").isNotNull()).select("tweet_id", flat(F.col("text")).alias("f")).distinct()
+    other = own.join(src.select("tweet_id").distinct(), "tweet_id", "left_semi").join(src, ["tweet_id", "f"], "left_anti")
+    one = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("check_name"), "n")
+    return out.unionByName(one("one_text_per_id", many)).unionByName(one("text_as_in_source", other))
 
 
 @query(f"WITH {_G} SELECT annotation_id, concat_ws('+', CASE WHEN ambiguous THEN 'ambiguous' END, CASE WHEN confidence = 'low' THEN 'low_confidence' END) AS reason, substring(text, 1, 90) AS excerpt FROM g WHERE ambiguous OR confidence = 'low'")
@@ -177,16 +192,21 @@ def adjusted_rand(spark, sf):
     return M.adjusted_rand(read(spark, sf, "documents"), "source", "lang").select("n", F.round("ari", 9).alias("ari"))
 
 
-@query(f"""{_E}, rw AS (SELECT row_number() OVER (ORDER BY annotation_id) - 1 AS pos, CASE WHEN predicted = truth THEN 1.0 ELSE 0.0 END AS v FROM e WHERE truth IS NOT NULL), nn AS (SELECT count(*) AS n FROM rw),
-  sp AS (SELECT b, CAST('0x' || substring(md5(concat_ws(':', b, pos, 42)), 1, 15) AS BIGINT) % n AS pos FROM rw, range(200) r(b), nn), ms AS (SELECT b, avg(v) AS m FROM sp JOIN rw USING (pos) GROUP BY b)
-  SELECT (SELECT n FROM nn) AS n, (SELECT round(avg(v), 9) FROM rw) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM ms""")
+def drawn(rows: str, key: str, seed: int, resamples: int = M.RESAMPLES) -> str:
+    """SQL of metrics.resampled(): the columns of a relation, b and w."""
+    w = " + ".join(f"CAST(u >= {c} AS INTEGER)" for c in M.POISSON)
+    return f"(SELECT *, {w} AS w FROM (SELECT {rows}.*, blk * 8 + i AS b, CAST('0x' || substring(md5(concat_ws(':', {key}, blk, {seed})), 1 + 4 * i, 4) AS BIGINT) AS u FROM {rows}, (SELECT CAST(range AS INTEGER) AS blk FROM range({(resamples + 7) // 8})), (SELECT CAST(range AS INTEGER) AS i FROM range(8)) WHERE {key} IS NOT NULL) WHERE b < {resamples} AND w > 0)"
+
+
+@query(f"""{_E}, rw AS (SELECT annotation_id, CASE WHEN predicted = truth THEN 1.0 ELSE 0.0 END AS v FROM e WHERE truth IS NOT NULL), ms AS (SELECT b, sum(v * w) / sum(w) AS m FROM {drawn("rw", "annotation_id", 42)} GROUP BY b)
+  SELECT (SELECT count(*) FROM rw) AS n, (SELECT round(avg(v), 9) FROM rw) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM ms""")
 def bootstrap_accuracy(spark, sf):
     e = _judged(spark, sf).where(F.col("truth").isNotNull())
-    out = M.bootstrap_mean(e, "annotation_id", F.col("truth").eqNullSafe(F.col("predicted")).cast("int"), 200, 42, Scratch(spark, "bootstrap"))
+    out = M.bootstrap_mean(e, "annotation_id", F.col("truth").eqNullSafe(F.col("predicted")).cast("int"), seed=42)
     return out.select("n", *(F.round(c, 9).alias(c) for c in ("mean", "low", "high")))
 
 
-@query("SELECT rater_id, count(*) AS n, round(avg(reading_level), 6) AS mean, quantile_cont(reading_level, 0.5) AS median, round(count(*) FILTER (reading_level <= 2) / count(*), 6) AS share_low, round(count(*) FILTER (reading_level >= 4) / count(*), 6) AS share_high FROM reading_labels WHERE reading_level IS NOT NULL GROUP BY 1")
+@query("SELECT rater_id, count(*) AS n, round(avg(reading_level), 6) AS mean, quantile_cont(reading_level, 0.5) AS median, count(*) FILTER (reading_level = 1) AS n1, count(*) FILTER (reading_level = 2) AS n2, count(*) FILTER (reading_level = 3) AS n3, count(*) FILTER (reading_level = 4) AS n4, count(*) FILTER (reading_level = 5) AS n5, round(count(*) FILTER (reading_level <= 2) / count(*), 6) AS share_low, round(count(*) FILTER (reading_level >= 4) / count(*), 6) AS share_high FROM reading_labels WHERE reading_level IS NOT NULL GROUP BY 1")
 def ordinal_describe(spark, sf):
     return M.ordinal(read(spark, sf, "reading_labels"), "rater_id", "reading_level")
 
@@ -194,3 +214,43 @@ def ordinal_describe(spark, sf):
 @query("WITH x AS (SELECT query_id, avg(similarity) FILTER (retrieved_by = 'tfidf') AS va, avg(similarity) FILTER (retrieved_by = 'random') AS vb FROM evidence WHERE query_id IS NOT NULL AND retrieved_by IN ('tfidf', 'random') GROUP BY 1) SELECT count(*) FILTER (va IS NOT NULL AND vb IS NOT NULL) AS paired, count(*) FILTER (va > vb) AS wins, count(*) FILTER (va = vb) AS ties, count(*) FILTER (va < vb) AS losses, round(avg(va - vb), 6) AS mean_difference, count(*) FILTER (va IS NULL OR vb IS NULL) AS unpaired FROM x")
 def paired_comparison(spark, sf):
     return M.paired(read(spark, sf, "evidence"), "query_id", "retrieved_by", "similarity", "tfidf", "random")
+
+
+# -- ratings: orders as rated replies (item o_custkey, system o_orderstatus, score the first sign of o_orderpriority) --
+
+_RT = "rt AS (SELECT o_orderkey AS response, o_custkey AS item, o_orderstatus AS system, CAST(substring(o_orderpriority, 1, 1) AS INTEGER) AS score, o_totalprice > 200000 AS flag, o_orderdate AS day FROM orders)"
+
+
+def _ratings(spark, sf):
+    o = read(spark, sf, "orders")
+    return o.select(F.col("o_orderkey").alias("response"), F.col("o_custkey").alias("item"), F.col("o_orderstatus").alias("system"), F.substring("o_orderpriority", 1, 1).cast("int").alias("score"), (F.col("o_totalprice") > 200000).alias("flag"), F.col("o_orderdate").alias("day"))
+
+
+@query(f"WITH {_RT} SELECT system, count(*) FILTER (flag AND score <= 2) AS flagged_low, count(*) FILTER (flag AND score > 2) AS flagged_other, count(*) FILTER (NOT flag AND score <= 2) AS unflagged_low, count(*) FILTER (NOT flag AND score > 2) AS unflagged_other, round(count(*) FILTER (flag) / count(*), 6) AS share_flagged, round(count(*) FILTER (flag AND score <= 2) / count(*) FILTER (flag), 6) AS low_if_flagged, round(count(*) FILTER (NOT flag AND score <= 2) / count(*) FILTER (NOT flag), 6) AS low_if_unflagged FROM rt GROUP BY 1")
+def claim_flag_crosstab(spark, sf):
+    return M.flag_by_low(_ratings(spark, sf), "system", "flag", "score")
+
+
+@query(f"WITH {_RT} SELECT 'system' AS dimension, system AS level, count(*) AS n, round(avg(score), 6) AS mean FROM rt GROUP BY 2 UNION ALL SELECT 'flag', CAST(flag AS VARCHAR), count(*), round(avg(score), 6) FROM rt GROUP BY 2")
+def behaviour_breakdown(spark, sf):
+    return M.breakdown(_ratings(spark, sf), ["system", "flag"], "score")
+
+
+_WIDE = "wd AS (SELECT item, avg(score) FILTER (system = 'F') AS f, avg(score) FILTER (system = 'O') AS o, avg(score) FILTER (system = 'P') AS p FROM rt GROUP BY 1), ms0 AS (SELECT item, f, o, p, f - o AS f_less_o, f - p AS f_less_p, o - p AS o_less_p FROM wd)"
+_MEASURES = ("f", "o", "p", "f_less_o", "f_less_p", "o_less_p")
+
+
+@query(f"WITH {_RT}, {_WIDE}, rs AS (SELECT b, " + ", ".join(f"sum({m} * w) / sum(w) FILTER ({m} IS NOT NULL) AS {m}" for m in _MEASURES) + f" FROM {drawn('ms0', 'item', 46)} GROUP BY b) " + " UNION ALL ".join(f"SELECT '{m}' AS name, (SELECT count({m}) FROM ms0) AS n, (SELECT round(avg({m}), 9) FROM ms0) AS mean, (SELECT round(quantile_cont({m}, 0.025), 9) FROM rs) AS low, (SELECT round(quantile_cont({m}, 0.975), 9) FROM rs) AS high" for m in _MEASURES))
+def system_bootstrap(spark, sf):
+    """Mean score by system and paired differences, with intervals over items: an item's ratings move together."""
+    by = {k: F.avg(F.when(F.col("system") == k.upper(), F.col("score"))) for k in ("f", "o", "p")}
+    wide = _ratings(spark, sf).groupBy("item").agg(*(v.alias(k) for k, v in by.items()))
+    wide = wide.select("*", *((F.col(a) - F.col(b)).alias(f"{a}_less_{b}") for a, b in (("f", "o"), ("f", "p"), ("o", "p"))))
+    return M.bootstrap_means(wide, "item", list(_MEASURES), seed=46).select("name", "n", *(F.round(c, 9).alias(c) for c in ("mean", "low", "high")))
+
+
+@query(f"WITH {_RT}, tw AS (SELECT item, system, arg_min(score, (day, response)) AS first, arg_max(score, (day, response)) AS second FROM rt GROUP BY 1, 2 HAVING count(*) > 1), gg AS (SELECT unnest([system, '<all>']) AS system, first AS a, second AS b FROM tw), c AS (SELECT system, a, b, count(*) AS n FROM gg GROUP BY ALL), sn AS (SELECT system, sum(n) AS n, sum(n) FILTER (a = b) AS same, sum(n) FILTER (abs(a - b) <= 1) AS near FROM c GROUP BY 1), ra AS (SELECT system, a AS l, sum(n) AS na FROM c GROUP BY ALL), rb AS (SELECT system, b AS l, sum(n) AS nb FROM c GROUP BY ALL), ex AS (SELECT system, sum(na * nb) AS e FROM ra JOIN rb USING (system, l) GROUP BY 1) SELECT system, CAST(n AS BIGINT) AS n, round(same / n, 9) AS exact, round(near / n, 9) AS within_one, round((same / n - e / (n * n)) / (1 - e / (n * n)), 9) AS kappa FROM sn JOIN ex USING (system)")
+def retest_by_dimension(spark, sf):
+    """First and last score of an item by system: agreement and kappa by system and pooled."""
+    r = _ratings(spark, sf).groupBy("item", "system").agg(F.count("*").alias("k"), F.min(F.struct("day", "response", "score")).alias("a"), F.max(F.struct("day", "response", "score")).alias("b")).where(F.col("k") > 1)
+    return M.kappa_by(r.select("item", "system", F.col("a.score").alias("first"), F.col("b.score").alias("second")), "system", "first", "second")

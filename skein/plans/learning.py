@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as X
 from skein.operators import learn as M
+from skein.operators import tfidf as T
 from skein.operators.labels import clean, weak_label
 from skein.plans import relations as R
 from skein.plans import retrieval as V
@@ -51,14 +52,14 @@ def kmeans_sweep(spark, sf):
     return M.kmeans_sweep(read(spark, sf, "embeddings").select("embedding"), "embedding", [6, 8, 10], [1, 2])
 
 
-@query(R.sql(R.OPENINGS, V._TF, """cl AS (SELECT tweet_id AS doc, brand AS cluster FROM openings WHERE brand IN ('VelaAir', 'NorthlineAir', 'BrackenRail')), nn2 AS (SELECT count(*) AS n FROM cl), sz AS (SELECT cluster, count(*) AS n_in FROM cl GROUP BY 1),
+@query(R.sql(R.OPENINGS, V._TF, """cl AS (SELECT tweet_id AS doc, min(brand) AS cluster FROM openings WHERE brand IS NOT NULL GROUP BY 1), nn2 AS (SELECT count(*) AS n FROM cl), sz AS (SELECT cluster, count(*) AS n_in FROM cl GROUP BY 1),
   pe AS (SELECT cluster, term, sum(weight) AS inside FROM wt JOIN cl USING (doc) GROUP BY 1, 2), wh AS (SELECT term, sum(inside) AS everywhere FROM pe GROUP BY 1),
   lf AS (SELECT cluster, term, round(inside / n_in - (everywhere - inside) / (n - n_in), 9) AS lift FROM pe JOIN wh USING (term) JOIN sz USING (cluster), nn2)""",
   "SELECT cluster, term, lift, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY lift DESC, term) AS k FROM lf) WHERE k <= 15"))
 def distinctive_terms(spark, sf):
     o, w, _ = V._fitted(spark, sf)
-    c = o.where(F.col("brand").isin("VelaAir", "NorthlineAir", "BrackenRail")).select(F.col("tweet_id").alias("doc"), F.col("brand").alias("cluster"))
-    return M.distinctive_terms(w, c)
+    c = o.where(F.col("brand").isNotNull()).groupBy(F.col("tweet_id").alias("doc")).agg(F.min("brand").alias("cluster"))
+    return M.distinctive_terms(T.long_form(w), c)
 
 
 @query("""WITH e AS (SELECT vec_id, label, unnest(CAST(embedding AS DOUBLE[])) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(v) AS c FROM e GROUP BY 1, 2)

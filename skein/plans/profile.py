@@ -12,7 +12,7 @@ from skein.operators import profile as P
 from skein.operators import sets as S
 from skein.plans import relations as R
 from skein.plans.registry import Registry
-from skein.session import read
+from skein.session import Scratch, read
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
@@ -129,7 +129,7 @@ def top_brands(spark, sf):
   r AS (SELECT rank() OVER (ORDER BY id) + (count(*) OVER (PARTITION BY id) - 1) / 2 AS a, rank() OVER (ORDER BY us) + (count(*) OVER (PARTITION BY us) - 1) / 2 AS b FROM p)""",
   "SELECT corr(a, b) AS rho, count(*) AS n FROM r"))
 def spearman(spark, sf):
-    return P.spearman(R.messages(spark, sf).select("id", F.unix_micros("ts").alias("us")), "id", "us")
+    return P.spearman(R.messages(spark, sf).select("id", F.unix_micros("ts").alias("us")), "id", "us", Scratch(spark, "spearman"))
 
 
 @query(R.sql(R.MESSAGES, "SELECT count(*) FILTER (p.ts < c.ts) AS earlier, count(*) FILTER (p.ts = c.ts) AS tie, count(*) FILTER (p.ts > c.ts) AS later FROM messages c JOIN messages p ON c.parent = p.id WHERE c.ts IS NOT NULL AND p.ts IS NOT NULL"))

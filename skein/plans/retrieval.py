@@ -62,10 +62,14 @@ marked AS (SELECT id, CASE WHEN conversation IN (SELECT conversation FROM held W
   WHEN norm <> '' AND norm IN (SELECT norm FROM hn) THEN 'exact_text' WHEN id IN (SELECT id FROM near) THEN 'near_duplicate' END AS layer FROM o)"""
 
 
-def _marked(spark, sf, layers=L.LAYERS):
+def _overlaps(spark, sf):
     held = read(spark, sf, "golden").select(text_key(F.col("conversation_id")).alias("conversation"), number_key(F.col("customer_author_id")).alias("customer"), "text")
     corpus = R.openings(spark, sf).select(F.col("conversation_id").alias("id"), text_key(F.col("conversation_id")).alias("conversation"), number_key(F.col("author")).alias("customer"), "text")
-    return L.flagged(corpus, held, Scratch(spark, "leakage"), layers=layers)
+    return L.overlaps(corpus, held, Scratch(spark, "leakage"))
+
+
+def _marked(spark, sf, layers=L.LAYERS):
+    return L.flagged(_overlaps(spark, sf), layers)
 
 
 @query(R.sql(R.OPENINGS, _HELD, _LEAK, "SELECT id AS conversation_id FROM marked WHERE layer IS NULL"))
@@ -109,20 +113,20 @@ hits AS (SELECT query, pr.doc, m.conversation_id AS conversation, similarity, ro
 def _fitted(spark, sf):
     s = Scratch(spark, "tfidf")
     o = s.cut(R.openings(spark, sf), "openings")
-    docs = o.select(F.col("tweet_id").alias("doc"), X.ngrams(X.terms(F.col("text")), 2).alias("tokens"))
-    w, v = T.fit(docs, s)
+    docs = s.cut(o.select(F.col("tweet_id").alias("doc"), X.terms(F.col("text")).alias("words")), "words")
+    w, v = T.fit(docs.select("doc", X.ngrams(F.col("words"), 2).alias("tokens")), s)
     return o, w, v
 
 
 def _search(spark, sf, k=5):
     o, w, _ = _fitted(spark, sf)
     meta = o.select(F.col("tweet_id").alias("doc"), F.col("conversation_id").alias("conversation"), F.col("author").alias("customer"))
-    return o, V.search(w.where(F.col("doc") % 100 == 0), w, meta, k)
+    return o, V.search(w.where(F.col("doc") % 100 == 0), w, meta, Scratch(spark, "search"), k)
 
 
 @query(R.sql(R.OPENINGS, _TF, "SELECT doc, term, round(weight, 9) AS weight FROM wt"))
 def tfidf_weights(spark, sf):
-    return _fitted(spark, sf)[1].select("doc", "term", F.round("weight", 9).alias("weight"))
+    return T.long_form(_fitted(spark, sf)[1]).select("doc", "term", F.round("weight", 9).alias("weight"))
 
 
 @query(R.sql(R.OPENINGS, _TF, "SELECT term, df, round(idf, 9) AS idf FROM vocab"))
@@ -208,9 +212,9 @@ def intent_weak_agreement(spark, sf):
 # -- samples -----------------------------------------------------------------------------
 
 
-@query(R.sql(R.OPENINGS, "SELECT conversation_id FROM openings ORDER BY md5(conversation_id || ':42'), conversation_id LIMIT 200"))
+@query(R.sql(R.OPENINGS, "SELECT conversation_id FROM openings ORDER BY md5(conversation_id || ':42'), conversation_id LIMIT 2000"))
 def dev_pool_sample(spark, sf):
-    return A.sample(R.openings(spark, sf).select("conversation_id"), "conversation_id", 200, 42)
+    return A.sample(R.openings(spark, sf).select("conversation_id"), "conversation_id", 2000, 42)
 
 
 _QUOTA = """mo AS (SELECT *, strftime(make_timestamp(us), '%Y-%m') AS month FROM openings WHERE us IS NOT NULL), cn AS (SELECT month, count(*) AS n FROM mo GROUP BY 1),

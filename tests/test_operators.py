@@ -86,9 +86,9 @@ def test_jaccard_join_equals_all_pairs(spark, t):
 def test_leakage_layers_in_order(spark):
     corpus = spark.createDataFrame([("a", "k1", "u1", "one two three"), ("b", "k2", "u9", "x"), ("c", "k3", "u3", "Hello  there world"), ("d", "k4", "u4", "a b c d e f g h i k"), ("e", "k5", None, None), ("f", "k1", "u9", "hello there world")], "id string, conversation string, customer string, text string")
     held = spark.createDataFrame([("k1", "u9", "hello there @you world"), (None, None, "a b c d e f g h i j k")], "conversation string, customer string, text string")
-    got = {r.id: r.layer for r in K.flagged(corpus, held, Scratch(spark, "l")).collect()}
+    got = {r.id: r.layer for r in K.flagged(K.overlaps(corpus, held, Scratch(spark, "l"))).collect()}
     assert got == {"a": "conversation", "b": "customer", "c": "exact_text", "d": "near_duplicate", "e": None, "f": "conversation"}
-    off = K.audit(K.flagged(corpus, held, Scratch(spark, "l"), layers=("customer",)), ("customer",))
+    off = K.audit(K.flagged(K.overlaps(corpus, held, Scratch(spark, "l")), ("customer",)), ("customer",))
     assert {r.layer: r.removed for r in off.collect()} == {"conversation": None, "customer": 2, "exact_text": None, "near_duplicate": None, "kept": 4}
     with pytest.raises(K.LeakageError):
         K.assert_isolated(corpus, held, "conversation")
@@ -203,17 +203,22 @@ def test_resampled_statistics_equal_a_direct_count(spark):
 
     rows = [(i, "ab"[i % 2], "abc"[i % 3]) for i in range(30)]
     df = spark.createDataFrame([*rows, (99, None, "a")], "k int, t string, p string")
-    counts = M.resampled_counts(df, "k", "t", "p", 5, 3, Scratch(spark, "r"))
+    counts = M.resampled_counts(df, "k", "t", "p", 11, 3)
     f1 = {r.resample: r.value for r in M.resampled_macro_f1(counts, ["a", "b", "c"]).collect()}
     kappa = {r.resample: r.value for r in M.resampled_kappa(counts).collect()}
-    for b in range(5):
-        drawn = [rows[int(hashlib.md5(f"{b}:{i}:3".encode()).hexdigest()[:15], 16) % 30] for i in range(30)]
+    weight = lambda k, b: sum(int(hashlib.md5(f"{k}:{b // 8}:3".encode()).hexdigest()[4 * (b % 8) : 4 * (b % 8) + 4], 16) >= c for c in M.POISSON)
+    for b in range(11):
+        drawn = [r for r in rows for _ in range(weight(r[0], b))]
         t, p = [r[1] for r in drawn], [r[2] for r in drawn]
+        n = len(drawn)
         both = lambda x: t.count(x) + p.count(x)
         want = sum(2 * sum(u == v == x for u, v in zip(t, p, strict=True)) / both(x) if both(x) else 0 for x in "abc") / 3
         assert f1[b] == pytest.approx(want)
-        po, pe = sum(u == v for u, v in zip(t, p, strict=True)) / 30, sum(t.count(x) * p.count(x) for x in "abc") / 900
+        po, pe = sum(u == v for u, v in zip(t, p, strict=True)) / n, sum(t.count(x) * p.count(x) for x in "abc") / n**2
         assert kappa[b] == pytest.approx((po - pe) / (1 - pe))
+    mean = M.bootstrap_mean(df, "k", F.col("k"), 400, 3).first()
+    assert mean.n == 31 and mean.low < mean["mean"] < mean.high
+    assert tuple(M.bootstrap_mean(df.limit(0), "k", F.col("k"), 16).first()) == (0, None, None, None)
 
 
 def test_no_term_is_cut_from_the_vocabulary_unasked(spark):
@@ -221,7 +226,7 @@ def test_no_term_is_cut_from_the_vocabulary_unasked(spark):
     tokens = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda x: x.cast("string"))
     docs = spark.range(4).select(F.col("id").alias("doc"), F.when(F.col("id") < 2, tokens).otherwise(F.array(F.lit("x"))).alias("tokens"))
     weights, vocab = T.fit(docs, Scratch(spark, "fit"))
-    assert vocab.count() == n + 1 and weights.count() == 2 * n + 2
+    assert vocab.count() == n + 1 and T.long_form(weights).count() == 2 * n + 2
     assert T.fit(docs, Scratch(spark, "fit"), max_features=5)[1].count() == 5
 
 
@@ -237,3 +242,51 @@ def test_random_items_are_drawn_until_all_eligible_are_found(spark):
     for r in V.random_items(queries, pool, 5, 42).collect():
         got.setdefault(r["query"], []).append(r["item"])
     assert sorted(got[1]) == sorted(got[2]) == ["i000", "i001", "i002"] and len(set(got[3])) == len(set(got[4])) == 5
+
+
+def test_spearman_has_average_ranks(spark):
+    from skein.operators import profile as P
+
+    rows = [(1.0, 5), (2.0, 5), (2.0, 7), (4.0, 1), (9.0, 9), (None, 3), (3.0, None)] + [(float(i % 17), i % 5) for i in range(200)]
+    df = spark.createDataFrame(rows, "a double, b int")
+    import pandas as pd
+
+    known = pd.DataFrame([r for r in rows if None not in r], columns=["a", "b"]).rank()
+    got = P.spearman(df, "a", "b", Scratch(spark, "rho")).first()
+    assert got.n == 205 and got.rho == pytest.approx(known["a"].corr(known["b"]))
+    assert P.spearman(df.limit(0), "a", "b", Scratch(spark, "rho")).first().n == 0
+
+
+def test_sparse_search_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    pool = [f"t{i}" for i in range(40)] + ["hot"] * 30
+    docs = [(i, sorted({rng.choice(pool) for _ in range(rng.randint(0, 12))}), f"c{i % 90:02d}", rng.choice(["a", "b", "z", None])) for i in range(200)]
+    rows = [(d, ts, [1.0 / max(len(ts), 1) ** 0.5] * len(ts), c, u) for d, ts, c, u in docs]
+    df = spark.createDataFrame(rows, "doc bigint, terms array<string>, weights array<double>, conversation string, customer string").repartition(7)
+    for block in (30, 10**6):
+        got = {}
+        for r in T.nearest(df.where("doc % 10 = 0"), df, 4, Scratch(spark, "n"), block).collect():
+            got.setdefault(r["query"], []).append((r["rank"], r["conversation"], r["similarity"]))
+        want = {}
+        for q, tq, wq, cq, uq in rows:
+            if q % 10:
+                continue
+            found = [(-round(sum(a * b for x, a in zip(tq, wq, strict=True) for y, b in zip(td, wd, strict=True) if x == y), 6), cd) for d, td, wd, cd, ud in rows if cd != cq and (ud is None or uq is None or ud != uq)]
+            best = sorted(x for x in found if x[0] < 0)[:4]
+            if best:
+                want[q] = [(k, c, -s) for k, (s, c) in enumerate(best, 1)]
+        assert {q: sorted(v) for q, v in got.items()} == want
+    assert T.nearest(df.limit(0), df, 4, Scratch(spark, "n")).count() == 0
+
+
+def test_lookup_splits_hot_keys(spark):
+    from skein.operators import skew
+
+    rows = spark.range(6000).select(F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 97 == 0, F.lit(None)).otherwise(F.concat(F.lit("k"), F.col("id") % 1500)).alias("k"), "id").repartition(12)
+    table = spark.createDataFrame([("hot", 1), *((f"k{i}", i) for i in range(0, 1500, 3)), (None, 7)], "k string, v int")
+    assert skew.hot_keys(rows, "k") == ["hot"]
+    for how in ("left", "inner"):
+        a, b = skew.lookup(rows, "k", table, how).select("k", "id", "v"), rows.join(table, "k", how).select("k", "id", "v")
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
