@@ -1,7 +1,8 @@
 """Splits that keep related records together.
 
 Records and their keys are nodes of a graph. Every task first unites the links it reads
-itself, so that only stars are left. Hash-to-Min then finds the components across tasks:
+itself; each of its parts is known by its smallest record from then on, and only records
+and keys that several tasks saw link parts. Hash-to-Min finds the components of the parts:
 every node sends its cluster to the cluster's smallest node and that node to the rest,
 until nothing changes. Clusters are kept as rows (node, member), never as lists, so a
 component of any size is spread over the cluster. Weighted rendezvous hashing then
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.functions.ids import number_key, text_key
+from skein.operators.skew import lookup
 from skein.session import Scratch
 
 #: At most this many nodes can hold 1/HOT of all rows each; their minima are broadcast.
@@ -69,11 +71,9 @@ def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _exchange(c: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     """One round over n rows: (v, u) means that u is in v's cluster; u = v is always there."""
     stats = scratch.cut(c.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("size")), "minima")
-    hot = stats.where(F.col("size") * HOT > n + HOT).select("v", "m")  # fewer than HOT rows by counting
-    rest = stats.where(F.col("size") * HOT <= n + HOT).select("v", "m")
-    big = c.join(F.broadcast(hot), "v")
-    small = c.join(F.broadcast(hot.select("v")), "v", "left_anti").join(rest, "v")
-    sent = big.unionByName(small).select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("u").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("x")).select("x.v", "x.u")
+    hot = [r[0] for r in stats.where(F.col("size") * HOT > n + HOT).select("v").collect()]  # fewer than HOT by counting
+    told = lookup(c, "v", stats.select("v", "m"), "inner", keys=hot)
+    sent = told.select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("u").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("x")).select("x.v", "x.u")
     new = scratch.cut(sent.distinct(), "clusters")
     scratch.drop(stats)
     return new
@@ -95,6 +95,8 @@ def components(edges: DataFrame, scratch: Scratch | None = None, max_rounds: int
     both = e.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("u")), F.struct(F.col("b").alias("v"), F.col("a").alias("u")), F.struct(F.col("a").alias("v"), F.col("a").alias("u")), F.struct(F.col("b").alias("v"), F.col("b").alias("u")))).alias("x"))
     c = scratch.cut(both.select("x.v", "x.u").distinct(), "clusters")
     mark = _mark(c)
+    if not mark[0]:
+        return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     for _ in range(max_rounds):
         new = _exchange(c, mark[0], scratch)
         scratch.drop(c)
@@ -117,9 +119,15 @@ def record_groups(rows: DataFrame, record: str, keys: dict[str, Column], scratch
     scratch = scratch or Scratch(rows.sparkSession, "groups")
     tagged = F.array_compact(F.array(*(F.concat(F.lit(f"{name}\x01"), k) for name, k in keys.items())))
     has = rows.where(F.col(record).isNotNull()).select(F.concat(F.lit(RECORD), F.col(record).cast("string")).alias("record"), tagged.alias("keys"))
-    comp = components(scratch.cut(has.mapInPandas(_stars, "a string, b string"), "stars"), scratch)
-    named = comp.where(F.startswith("node", F.lit(RECORD)))
-    return scratch.cut(named.select(F.substr("node", F.lit(2)).alias(record), F.substr("component", F.lit(2)).alias("component")), "groups")
+    stars = scratch.cut(has.mapInPandas(_stars, "a string, b string"), "stars")
+    # a node occurs once per task that saw it
+    known = scratch.cut(stars.groupBy("b").agg(F.min("a").alias("part"), F.count("*").alias("n")), "parts")
+    links = stars.join(known.where(F.col("n") > 1), "b").where(F.col("a") != F.col("part")).select(F.col("part").alias("a"), F.col("a").alias("b")).distinct()
+    comp = components(scratch.cut(links, "links"), scratch).select(F.col("node").alias("part"), "component")
+    records = scratch.cut(known.where(F.startswith("b", F.lit(RECORD))).select("b", "part"), "records")
+    named = lookup(records, "part", scratch.cut(comp, "components"))
+    out = named.select(F.substr("b", F.lit(2)).alias(record), F.substr(F.coalesce("component", "part"), F.lit(2)).alias("component"))
+    return scratch.cut(out, "groups")
 
 
 def joined_groups(groups: DataFrame, record: str) -> DataFrame:
