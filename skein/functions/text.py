@@ -100,3 +100,14 @@ def parsed_time(c: Column) -> Column:
         F.try_to_timestamp(t, F.lit("dd-MM-yyyy HH:mm")),
         F.try_to_timestamp(t, F.lit("yyyy-MM-dd")),
     )
+
+
+def caps_ratio(c: Column) -> Column:
+    """Capitals A to Z by length; 0 for an empty or missing text."""
+    t = F.coalesce(c, F.lit(""))
+    return F.regexp_count(t, F.lit("[A-Z]")) / F.greatest(F.length(t), F.lit(1))
+
+
+def slug(c: Column) -> Column:
+    """Runs of other than A-Z, a-z and 0-9 as one underscore."""
+    return F.regexp_replace(c, "[^A-Za-z0-9]+", "_")

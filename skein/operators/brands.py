@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as X
 from skein.operators.ranks import ranked
+from skein.operators.skew import lookup
 from skein.session import Scratch
 
 
@@ -51,14 +52,31 @@ def top_terms(t: DataFrame, group: str, k: int, least: int = 4) -> DataFrame:
 
 
 def one_hop(m: DataFrame) -> DataFrame:
-    """By brand: its messages, those that answer a customer, and the customers it answers.
+    """Measures by brand from single links: a brand is the author of some outbound message.
 
-    m: id, parent, author, inbound; the brand is the author of an outbound message.
+    m: id, parent, author, inbound, a written table. Links are counted by pair of authors
+    first, so that a busy brand is aggregated where its rows are.
     """
-    p = m.select(F.col("id").alias("p_id"), F.col("author").alias("p_author"), F.col("inbound").alias("p_inbound"))
-    out = m.where(~F.col("inbound") & F.col("author").isNotNull())
-    e = out.join(p, out.parent == p.p_id, "left")
-    return e.groupBy(F.col("author").alias("brand")).agg(F.count("*").alias("messages"), F.count_if(F.col("p_inbound")).alias("answers"), F.count_distinct(F.when(F.col("p_inbound"), F.col("p_author"))).alias("customers"))
+    p = m.select(F.col("id").alias("parent"), F.col("author").alias("parent_author"))
+    links = lookup(m.where(F.col("parent").isNotNull()).select("id", "parent", F.col("author").alias("child_author")), "parent", p)
+    asked = links.select(F.col("parent").alias("id")).distinct().withColumn("_asked", F.lit(True))
+    own = m.join(asked, "id", "left").groupBy(F.col("author").alias("brand")).agg(
+        F.count("*").alias("messages"), F.count_if(~F.col("inbound")).alias("outbound"), F.count_if(F.col("inbound")).alias("inbound"),
+        F.count_if(F.col("parent").isNotNull()).alias("with_parent"), F.count_if(F.col("parent").isNotNull() | F.col("_asked").isNotNull()).alias("linked"),
+    ).where((F.col("outbound") > 0) & F.col("brand").isNotNull())
+    pairs = links.groupBy("child_author", "parent_author").agg(F.count("*").alias("n"))
+    got = pairs.groupBy(F.col("parent_author").alias("brand")).agg(F.sum("n").alias("replies_received"))
+    sent = pairs.groupBy(F.col("child_author").alias("brand")).agg(F.sum("n").alias("replies_sent"))
+    asked_by = links.select("child_author", "parent").distinct().groupBy(F.col("child_author").alias("brand")).agg(F.count("*").alias("conversation_candidates"))
+    either = F.explode(F.array(F.struct(F.col("child_author").alias("brand"), F.col("parent_author").alias("customer")), F.struct(F.col("parent_author").alias("brand"), F.col("child_author").alias("customer"))))
+    met = pairs.select(either.alias("x")).select("x.*").where(F.col("brand") != F.col("customer")).distinct().groupBy("brand").agg(F.count("*").alias("customers"))
+    out = own.join(got, "brand", "left").join(sent, "brand", "left").join(asked_by, "brand", "left").join(met, "brand", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select(
+        "brand", "messages", "outbound", "inbound", zero("replies_received"), zero("replies_sent"), zero("customers"), zero("conversation_candidates"),
+        F.round(F.col("messages") / F.greatest(F.coalesce("customers", F.lit(0)), F.lit(1)), 2).alias("messages_per_customer"),
+        F.round(100.0 * F.col("linked") / F.col("messages"), 1).alias("pct_linked"), F.round(100.0 * F.col("with_parent") / F.col("messages"), 1).alias("pct_with_parent"),
+    )
 
 
 def min_max_score(df: DataFrame, weights: dict[str, float], higher_is_better: dict[str, bool] | None = None) -> DataFrame:

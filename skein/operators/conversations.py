@@ -60,25 +60,29 @@ def turn_index(m: DataFrame, scratch: Scratch) -> DataFrame:
     return out.withColumn("turn_index", (F.col("_n") - 1).cast("int")).drop("_n", "_null")
 
 
-def invariants(m: DataFrame, source_rows: DataFrame) -> DataFrame:
-    """(invariant, violations), one row per check, over numbered members."""
+def invariants(m: DataFrame, source_rows: DataFrame, table: DataFrame) -> DataFrame:
+    """(invariant, violations), one row per check: one pass over ids, one over links, one over conversations, one over their table.
+
+    m: id, parent, root, ts, turn_index; source_rows: id; table: root, n_turns, status, n_customers, n_brands.
+    """
+    both = m.select("id", "root", F.lit(1).alias("here"), F.lit(0).alias("there")).unionByName(source_rows.select("id", F.lit(None).cast("bigint").alias("root"), F.lit(0).alias("here"), F.lit(1).alias("there")))
+    ids = both.groupBy("id").agg(F.sum("here").alias("h"), F.sum("there").alias("t"), F.min("root").alias("low"), F.max("root").alias("high"))
+    h, t = F.col("h"), F.col("t")
+    by_id = ids.agg(
+        F.count_if(h > 1).alias("ids_unique"), F.count_if((h > 0) & (t == 0)).alias("ids_as_in_source"), F.count_if(h == 0).alias("source_ids_kept"),
+        F.coalesce(F.abs(F.sum(h) - F.sum(t)), F.lit(0)).alias("turn_count_as_in_source"), F.count_if(F.col("low") != F.col("high")).alias("one_conversation_per_id"),
+    )
     p = m.select(F.col("id").alias("p_id"), F.col("root").alias("p_root"), F.col("ts").alias("p_ts"))
-    edges = m.where(F.col("parent").isNotNull()).join(p, m.parent == p.p_id)
+    edges = m.where(F.col("parent").isNotNull()).join(p, F.col("parent") == F.col("p_id"), "left")
+    by_link = edges.agg(F.count_if(F.col("p_id").isNull()).alias("parent_in_source"), F.count_if(F.col("root") != F.col("p_root")).alias("parent_in_same_conversation"), F.count_if(F.col("ts") < F.col("p_ts")).alias("parent_not_later"))
     per = m.groupBy("root").agg(F.min("turn_index").alias("low"), F.max("turn_index").alias("high"), F.count("*").alias("n"))
-    checks = {
-        "ids_unique": m.groupBy("id").agg(F.count("*").alias("k")).where(F.col("k") > 1).agg(F.count("*").alias("violations")),
-        "ids_as_in_source": m.select("id").join(source_rows.select("id"), "id", "left_anti").agg(F.count("*").alias("violations")),
-        "source_ids_kept": source_rows.select("id").join(m.select("id"), "id", "left_anti").agg(F.count("*").alias("violations")),
-        "parent_in_same_conversation": edges.where(F.col("root") != F.col("p_root")).agg(F.count("*").alias("violations")),
-        "parent_not_later": edges.where(F.col("ts") < F.col("p_ts")).agg(F.count("*").alias("violations")),
-        "index_from_zero": per.where(F.col("low") != 0).agg(F.count("*").alias("violations")),
-        "index_without_gaps": per.where(F.col("high") + 1 != F.col("n")).agg(F.count("*").alias("violations")),
-        "turns_add_up": per.select("n").unionByName(source_rows.agg((-F.count("*")).alias("n"))).agg(F.abs(F.sum("n")).alias("violations")),
-    }
+    by_root = per.agg(F.count_if(F.col("low") != 0).alias("index_from_zero"), F.count_if(F.col("high") + 1 != F.col("n")).alias("index_without_gaps"))
+    own = table.groupBy("root").agg(F.count("*").alias("k"), F.sum("n_turns").alias("told"), F.count_if((F.col("status") == "clean") & ((F.col("n_customers") != 1) | (F.col("n_brands") != 1))).alias("odd"))
+    by_table = per.join(own, "root", "full").agg(F.count_if(F.col("k") > 1).alias("conversations_unique"), F.coalesce(F.sum("odd"), F.lit(0)).alias("clean_are_dyads"), F.count_if(~F.coalesce("n", F.lit(0)).eqNullSafe(F.coalesce("told", F.lit(0)))).alias("turns_add_up"))
     out = None
-    for name, df in checks.items():
-        one = df.select(F.lit(name).alias("invariant"), F.col("violations").cast("bigint").alias("violations"))
-        out = one if out is None else out.unionByName(one)
+    for one in (by_id, by_link, by_root, by_table):
+        rows = one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("invariant"), F.col(c).cast("bigint").alias("violations")) for c in one.columns))).alias("x")).select("x.*")
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 

@@ -11,11 +11,13 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.functions import text as X
+from skein.session import Scratch
 
 #: Numbers that need support, and claims a reply must not make.
 NUMBER = r"([$£€]\s?[0-9][0-9.,]*|[0-9]+(?:\.[0-9]+)?\s?%|[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4}|[0-9]{4,})"
@@ -181,6 +183,37 @@ def generate(df: DataFrame, prompt_column: str, complete: Completer) -> DataFram
     return df.drop("raw", "failure").mapInPandas(run, schema)
 
 
+class AnswerCache:
+    """Answers kept by the hash of everything that determines them, as a table in a shared folder.
+
+    A call is made once per distinct key that the table does not hold; failures are not kept.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, model: str, temperature: float, seed: int):
+        self.spark, self.path = spark, path
+        self.key = lambda p: cache_key(p, model, temperature, seed)
+
+    def answers(self) -> DataFrame:
+        """(key, raw), the first answer of each key; empty before the first write."""
+        try:
+            kept = self.spark.read.schema("key string, raw string").parquet(self.path)
+        except AnalysisException:
+            return self.spark.createDataFrame([], "key string, raw string")
+        return kept.groupBy("key").agg(F.min("raw").alias("raw"))
+
+    def complete(self, df: DataFrame, prompt_column: str, complete: Completer) -> DataFrame:
+        """df with raw, failure, and cached (whether the answer was there before); null prompts get nulls."""
+        rows = df.drop("raw", "failure", "cached").withColumn("_key", self.key(F.col(prompt_column)))
+        known = self.answers()
+        missing = rows.where(F.col(prompt_column).isNotNull()).groupBy("_key").agg(F.min(prompt_column).alias("_prompt")).join(known.select(F.col("key").alias("_key")), "_key", "left_anti")
+        scratch = Scratch(self.spark, "answers")
+        before = scratch.cut(known, "known")
+        new = scratch.cut(generate(missing, "_prompt", complete), "new")
+        new.where(F.col("failure").isNull()).select(F.col("_key").alias("key"), "raw").write.mode("append").parquet(self.path)
+        told = before.select(F.col("key").alias("_key"), "raw", F.lit(None).cast("string").alias("failure"), F.lit(True).alias("cached")).unionByName(new.select("_key", "raw", "failure", F.lit(False).alias("cached")))
+        return rows.join(told, "_key", "left").drop("_key")
+
+
 def retry_failures(first: DataFrame, again: DataFrame, key: str) -> DataFrame:
     """The first run's rows, those that failed replaced by the second run's."""
     ok = first.where(F.col("failure").isNull())

@@ -72,3 +72,19 @@ def violations(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """(check_name, n): rows that break each rule, in one pass; a rule that is null holds for nobody."""
     one = df.agg(*(F.count_if(~F.coalesce(c, F.lit(False))).alias(name) for name, c in checks.items()))
     return one.select(F.explode(F.array(*(F.struct(F.lit(name).alias("check_name"), F.col(name).alias("n")) for name in checks))).alias("x")).select("x.*")
+
+
+def rating_violations(ratings: DataFrame, items: DataFrame, key: list[str], item: str, score: str, rater: str, text: str, low: int = 1, high: int = 5, forbidden: str = r"(?i)tfidf|random|llm", ids: str = r"@[0-9]+") -> DataFrame:
+    """(check_name, n): ratings without a score, outside the scale, of unknown items, repeated by key, of raters that name a system, and rated texts that show an id."""
+    r = ratings.join(items.select(F.col(item).alias("_i")).distinct(), F.col(item) == F.col("_i"), "left")
+    c = r.agg(
+        F.count_if(F.col(score).isNull()).alias("score_present"),
+        F.count_if(~F.col(score).between(low, high)).alias("score_in_range"),
+        F.count_if(F.col("_i").isNull() & F.col(item).isNotNull()).alias("item_known"),
+        F.count_if(F.col(rater).rlike(forbidden)).alias("no_system_named"),
+    )
+    out = c.select(F.explode(F.array(*(F.struct(F.lit(n).alias("check_name"), F.col(n).alias("n")) for n in c.columns))).alias("x")).select("x.*")
+    many = ratings.groupBy(*key).agg(F.count("*").alias("k")).where(F.col("k") > 1)
+    shown = items.where(F.col(text).rlike(ids)).join(ratings.select(item).distinct(), item, "left_semi")
+    one = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("check_name"), "n")
+    return out.unionByName(one("rated_once", many)).unionByName(one("no_id_shown", shown))

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skein.operators.ranks import ranked
+from skein.operators.skew import lookup
+from skein.session import Scratch
+
 
 def hash_key(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
@@ -59,3 +63,26 @@ def targeted(df: DataFrame, key: str, text: str, probes: dict[str, str], n: int,
         taken = ids if taken is None else taken.unionByName(ids)
         out = drawn if out is None else out.unionByName(drawn)
     return out
+
+
+def blinded_order(df: DataFrame, key: str, item: str, seed: int, scratch: Scratch) -> DataFrame:
+    """df with position 0, 1, 2 ... in which no two neighbours share an item, whenever that is possible.
+
+    Rows are listed by how often their item occurs, items in hash order, and take first the
+    even places, then the odd ones: copies of an item then lie apart unless one item holds
+    more than half of all rows. Ranks are found across tasks. key makes rows distinct.
+    """
+    n = df.count()
+    counts = df.groupBy(item).agg(F.count("*").alias("_many"))
+    listed = lookup(df, item, counts).withColumn("_less", -F.coalesce("_many", F.lit(0))).withColumn("_item", hash_key(item, seed)).withColumn("_key", hash_key(key, seed)).withColumn("_all", F.lit(0))
+    k = F.col("_n") - 1
+    half = (n + 1) // 2
+    out = ranked(listed, ["_all"], ["_less", "_item", "_key", key], "_n", scratch)
+    return out.withColumn("position", F.when(k < half, 2 * k).otherwise(2 * (k - half) + 1)).select(*df.columns, "position")
+
+
+def neighbours_alike(ordered: DataFrame, item: str) -> DataFrame:
+    """(n): neighbouring positions that hold the same item."""
+    a = ordered.select("position", F.col(item).alias("a"))
+    b = ordered.select((F.col("position") - 1).alias("position"), F.col(item).alias("b"))
+    return a.join(b, "position").agg(F.count_if(F.col("a") == F.col("b")).alias("n"))

@@ -72,11 +72,18 @@ def isolation_recheck(spark, sf):
     return leaked.select("leaked", outside.select("n_outside").scalar().alias("outside"))
 
 
-@query()
+_FORMS = ['{"reply": "to ', '{"reply": "a", "needs_more_information": 0}', "[]", "{", '{"reply": "a", "needs_more_information": true, "evidence_used": [1.0]}', '{"needs_more_information": true}']
+_WRONG = [None, "needs_more_information_not_boolean", "not_an_object", "invalid_json", "evidence_used_not_a_rank", "missing_reply"]
+
+
+@query("SELECT annotation_id, CASE WHEN k = 0 THEN 'to ' || annotation_id END AS reply, CASE WHEN k = 0 THEN true END AS coerced, CASE k " + " ".join(f"WHEN {k} THEN '{e}'" for k, e in enumerate(_WRONG) if e) + " END AS error FROM (SELECT DISTINCT annotation_id, CAST('0x' || substring(md5(annotation_id), 1, 4) AS BIGINT) % 6 AS k FROM b02_fresh_labelled WHERE annotation_id IS NOT NULL)")
 def parse_response(spark, sf):
-    """Strict parsing of well-formed and broken answers, case by case."""
-    raw = ['{"reply": "a", "needs_more_information": false, "evidence_used": ["2"]}', '{"reply": "a", "needs_more_information": 0}', "[]", "{", '{"reply": "a", "needs_more_information": true, "evidence_used": [1.0]}']
-    return G.parse_reply(spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "case_id int, raw string"), "raw").select("case_id", "parsed.reply", "parsed.coerced", "parsed.error")
+    """Strict parsing of one answer per annotation, well-formed or broken in one of five ways."""
+    k = F.conv(F.substring(F.md5("annotation_id"), 1, 4), 16, 10).cast("int") % 6
+    forms = F.array(*map(F.lit, _FORMS))
+    raw = F.when(k == 0, F.concat(F.lit(_FORMS[0]), "annotation_id", F.lit('", "needs_more_information": false, "evidence_used": ["2"]}'))).otherwise(F.get(forms, k))
+    b = read(spark, sf, "b02_fresh_labelled").where(F.col("annotation_id").isNotNull()).select("annotation_id").distinct().select("annotation_id", raw.alias("raw"))
+    return G.parse_reply(b, "raw").select("annotation_id", "parsed.reply", "parsed.coerced", "parsed.error")
 
 
 @query("SELECT annotation_id, md5(t) AS raw FROM (SELECT annotation_id, min(coalesce(text_display, '')) AS t FROM b02_fresh_labelled WHERE annotation_id IS NOT NULL GROUP BY 1)")
@@ -88,13 +95,12 @@ def retry_merge(spark, sf):
     return G.retry_failures(first, again, "annotation_id").select("annotation_id", "raw")
 
 
-@query()
+@query(f"{PR._DRAFTS}, ne AS (SELECT query_id, count(*) AS n FROM ev GROUP BY 1) SELECT query_id, NOT bad AS parsed, CASE WHEN bad THEN 'invalid_json' END AS error, CASE WHEN NOT bad THEN coalesce(n, 0) >= 1 END AS citations_valid FROM dr LEFT JOIN ne USING (query_id)")
 def generation_measures(spark, sf):
-    """Per draft: whether it parsed, cites existing evidence, and how much it copies."""
-    d = PR._drafts(spark, sf).select("query_id", "parsed.reply", "parsed.evidence_used", "parsed.error")
-    e = PR._evidence(spark, sf).groupBy("query_id").agg(F.count("*").alias("n"), F.collect_list("reply").alias("sources"))
-    x = G.copying(d.join(e, "query_id", "left"), "reply", "sources")
-    return x.select("query_id", F.col("error").isNull().alias("parsed"), G.citations_valid(F.col("evidence_used"), F.coalesce("n", F.lit(0))).alias("citations_valid"), F.round("copy_ratio", 6).alias("copy_ratio"))
+    """Per draft: whether it parsed, what was wrong, and whether it cites existing evidence only."""
+    d = PR._drafts(spark, sf).select("query_id", "parsed.evidence_used", "parsed.error")
+    n = PR._evidence(spark, sf).groupBy("query_id").agg(F.count("*").alias("n"))
+    return d.join(n, "query_id", "left").select("query_id", F.col("error").isNull().alias("parsed"), "error", G.citations_valid(F.col("evidence_used"), F.coalesce("n", F.lit(0))).alias("citations_valid"))
 
 
 @query(f"WITH {PR._EV} SELECT (SELECT count(*) FROM qs) AS queries, (SELECT count(*) FROM ev WHERE rank = 1) AS with_echo, (SELECT count(*) FROM ev WHERE rank = 1 AND coalesce(trim(reply), '') = '') AS empty_echo")

@@ -110,18 +110,24 @@ def reconstruct_conversations(spark, sf):
     return out.select(F.concat(F.lit("conv_"), "root").alias("conversation_id"), "brand", "status", "n_turns", "n_customers", "n_brands", "max_depth", "minutes", (F.col("told") & (F.col("max_depth") >= 0)).alias("root_truncated"))
 
 
-@query(f"""{_M}, x AS (SELECT *, {_INDEX} FROM m), e AS (SELECT c.root, p.root AS p_root, c.ts, p.ts AS p_ts FROM x c JOIN x p ON c.parent = p.id), per AS (SELECT root, min(turn_index) AS low, max(turn_index) AS high, count(*) AS n FROM x GROUP BY root)
+@query(f"""{_M}, {_STATUS}, x AS (SELECT *, {_INDEX} FROM m), e AS (SELECT c.root, p.id AS p_id, p.root AS p_root, c.ts, p.ts AS p_ts FROM x c LEFT JOIN x p ON c.parent = p.id WHERE c.parent IS NOT NULL), per AS (SELECT root, min(turn_index) AS low, max(turn_index) AS high, count(*) AS n FROM x GROUP BY root)
   SELECT 'ids_unique' AS invariant, (SELECT count(*) FROM (SELECT id FROM x GROUP BY id HAVING count(*) > 1)) AS violations
   UNION ALL SELECT 'ids_as_in_source', (SELECT count(*) FROM x WHERE id NOT IN (SELECT id FROM messages))
   UNION ALL SELECT 'source_ids_kept', (SELECT count(*) FROM messages WHERE id NOT IN (SELECT id FROM x))
+  UNION ALL SELECT 'turn_count_as_in_source', abs((SELECT count(*) FROM x) - (SELECT count(*) FROM messages))
+  UNION ALL SELECT 'one_conversation_per_id', (SELECT count(*) FROM (SELECT id FROM x GROUP BY id HAVING count(DISTINCT root) > 1))
+  UNION ALL SELECT 'parent_in_source', (SELECT count(*) FROM e WHERE p_id IS NULL)
   UNION ALL SELECT 'parent_in_same_conversation', (SELECT count(*) FROM e WHERE root <> p_root)
   UNION ALL SELECT 'parent_not_later', (SELECT count(*) FROM e WHERE ts < p_ts)
   UNION ALL SELECT 'index_from_zero', (SELECT count(*) FROM per WHERE low <> 0)
   UNION ALL SELECT 'index_without_gaps', (SELECT count(*) FROM per WHERE high + 1 <> n)
-  UNION ALL SELECT 'turns_add_up', abs((SELECT CAST(sum(n) AS BIGINT) FROM per) - (SELECT count(*) FROM messages))""")
+  UNION ALL SELECT 'conversations_unique', (SELECT count(*) FROM (SELECT root FROM st GROUP BY root HAVING count(*) > 1))
+  UNION ALL SELECT 'clean_are_dyads', (SELECT count(*) FROM st WHERE status = 'clean' AND (n_customers <> 1 OR n_brands <> 1))
+  UNION ALL SELECT 'turns_add_up', (SELECT count(*) FROM per FULL JOIN st USING (root) WHERE coalesce(n, 0) <> coalesce(n_turns, 0))""")
 def reconstruction_invariants(spark, sf):
     m, s = _members(spark, sf)
-    return C.invariants(s.cut(C.turn_index(m.select("id", "parent", "root", "ts"), s), "numbered"), R.messages(spark, sf))
+    table = s.cut(C.participants(m), "table")
+    return C.invariants(s.cut(C.turn_index(m.select("id", "parent", "root", "ts"), s), "numbered"), s.cut(R.messages(spark, sf).select("id"), "source"), table)
 
 
 # -- records and signals over the exported turns ---------------------------------------
@@ -188,9 +194,9 @@ def language_signals(spark, sf):
 _RICH = "regexp_extract_all(lower(regexp_replace(regexp_replace(coalesce(text, ''), 'https?://', ' ', 'g'), '@\\S+', ' ', 'g')), '[a-z'']+')"
 
 
-@query(R.sql(R.OPENINGS, f"f AS (SELECT brand, unnest({_RICH}) AS w FROM (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY us, tweet_id) AS k FROM openings WHERE brand IS NOT NULL) WHERE k <= 50)", "SELECT brand, count(DISTINCT w) AS types, count(*) AS tokens, round(count(DISTINCT w) / count(*), 6) AS ttr FROM f GROUP BY 1"))
+@query(R.sql(R.OPENINGS, f"f AS (SELECT brand, unnest({_RICH}) AS w FROM (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY us, tweet_id) AS k FROM openings WHERE brand IS NOT NULL) WHERE k <= 5000)", "SELECT brand, count(DISTINCT w) AS types, count(*) AS tokens, round(count(DISTINCT w) / count(*), 6) AS ttr FROM f GROUP BY 1"))
 def type_token_ratio(spark, sf):
-    return B.type_token_ratio(R.openings(spark, sf).withColumn("us", F.coalesce("us", F.lit(2**62))), "brand", ["us", "tweet_id"], 50, Scratch(spark, "ttr"))
+    return B.type_token_ratio(R.openings(spark, sf).withColumn("us", F.coalesce("us", F.lit(2**62))), "brand", ["us", "tweet_id"], 5000, Scratch(spark, "ttr"))
 
 
 @query(R.sql(R.TURNS, f"f AS (SELECT brand, unnest({_RICH}) AS term FROM t WHERE brand IS NOT NULL)", "SELECT brand, term, n, CAST(k AS INTEGER) AS rank FROM (SELECT brand, term, count(*) AS n, row_number() OVER (PARTITION BY brand ORDER BY count(*) DESC, term) AS k FROM f WHERE length(term) >= 4 GROUP BY 1, 2) WHERE k <= 15"))
@@ -198,9 +204,15 @@ def brand_text_profile(spark, sf):
     return B.top_terms(R.turns(spark, sf), "brand", 15)
 
 
-@query(R.sql(R.MESSAGES, "SELECT c.author AS brand, count(*) AS messages, count(*) FILTER (p.inbound) AS answers, count(DISTINCT CASE WHEN p.inbound THEN p.author END) AS customers FROM messages c LEFT JOIN messages p ON c.parent = p.id WHERE NOT c.inbound AND c.author IS NOT NULL GROUP BY 1"))
+@query(R.sql(R.MESSAGES, """brands AS (SELECT DISTINCT author AS brand FROM messages WHERE NOT inbound AND author IS NOT NULL), ed AS (SELECT c.id AS child, c.parent, c.author AS child_author, p.author AS parent_author, p.id AS p_id FROM messages c LEFT JOIN messages p ON c.parent = p.id WHERE c.parent IS NOT NULL),
+  met AS (SELECT parent_author AS brand, child_author AS customer FROM ed WHERE parent_author IS NOT NULL UNION SELECT child_author, parent_author FROM ed WHERE child_author IS NOT NULL), cu AS (SELECT brand, count(DISTINCT customer) AS customers FROM met WHERE customer <> brand GROUP BY 1),
+  own AS (SELECT author AS brand, count(*) AS messages, count(*) FILTER (NOT inbound) AS outbound, count(*) FILTER (inbound) AS inbound, count(*) FILTER (parent IS NOT NULL) AS with_parent, count(*) FILTER (parent IS NOT NULL OR id IN (SELECT parent FROM ed)) AS linked FROM messages GROUP BY 1),
+  got AS (SELECT parent_author AS brand, count(*) AS replies_received FROM ed GROUP BY 1), sent AS (SELECT child_author AS brand, count(*) AS replies_sent, count(DISTINCT parent) AS conversation_candidates FROM ed GROUP BY 1)""",
+  "SELECT brand, messages, outbound, inbound, coalesce(replies_received, 0) AS replies_received, coalesce(replies_sent, 0) AS replies_sent, coalesce(customers, 0) AS customers, coalesce(conversation_candidates, 0) AS conversation_candidates, round(messages / greatest(coalesce(customers, 0), 1), 2) AS messages_per_customer, round(100.0 * linked / messages, 1) AS pct_linked, round(100.0 * with_parent / messages, 1) AS pct_with_parent FROM brands JOIN own USING (brand) LEFT JOIN got USING (brand) LEFT JOIN sent USING (brand) LEFT JOIN cu USING (brand)"))
 def brand_comparison(spark, sf):
-    return B.one_hop(R.messages(spark, sf))
+    """By brand, over single links only: messages, replies both ways, customers met, share of linked messages."""
+    s = Scratch(spark, "brands")
+    return B.one_hop(s.cut(R.messages(spark, sf).select("id", "parent", "author", "inbound"), "messages"))
 
 
 @query(R.sql(R.OPENINGS, "SELECT conversation_id, tweet_id, author, text FROM openings"))

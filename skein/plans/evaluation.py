@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skein.operators import judge as J
 from skein.operators import labels as L
 from skein.operators import metrics as M
+from skein.operators import sampling as A
 from skein.plans import relations as R
 from skein.plans.registry import Registry
-from skein.session import read
+from skein.session import Scratch, read
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
@@ -254,3 +256,74 @@ def retest_by_dimension(spark, sf):
     """First and last score of an item by system: agreement and kappa by system and pooled."""
     r = _ratings(spark, sf).groupBy("item", "system").agg(F.count("*").alias("k"), F.min(F.struct("day", "response", "score")).alias("a"), F.max(F.struct("day", "response", "score")).alias("b")).where(F.col("k") > 1)
     return M.kappa_by(r.select("item", "system", F.col("a.score").alias("first"), F.col("b.score").alias("second")), "system", "first", "second")
+
+
+_ODD = "SELECT DISTINCT query_id, rank, retrieved_by FROM evidence WHERE query_id IS NOT NULL AND retrieved_by IS NOT NULL"
+
+
+@query(f"SELECT query_id, rank, retrieved_by FROM (SELECT *, row_number() OVER (PARTITION BY retrieved_by ORDER BY md5(query_id || '/' || rank || ':48'), query_id || '/' || rank) AS k FROM ({_ODD})) WHERE k <= 12")
+def retest_select(spark, sf):
+    """Twelve pieces of evidence per way of retrieval, to be rated again."""
+    e = read(spark, sf, "evidence").where(F.col("query_id").isNotNull() & F.col("retrieved_by").isNotNull()).select("query_id", "rank", "retrieved_by").distinct()
+    return A.per_group(e.withColumn("key", F.concat_ws("/", "query_id", F.col("rank").cast("string"))), "retrieved_by", "key", 12, 48).select("query_id", "rank", "retrieved_by")
+
+
+@query("""WITH it AS (SELECT DISTINCT query_id || '/' || rank AS key, query_id AS item FROM evidence WHERE query_id IS NOT NULL), n AS (SELECT *, count(*) OVER (PARTITION BY item) AS m, count(*) OVER () AS n FROM it),
+  k AS (SELECT key, item, n, row_number() OVER (ORDER BY m DESC, md5(item || ':49'), md5(key || ':49'), key) - 1 AS k FROM n) SELECT key, item, CASE WHEN k < (n + 1) // 2 THEN 2 * k ELSE 2 * (k - (n + 1) // 2) + 1 END AS position FROM k""")
+def blinded_order(spark, sf):
+    """Evidence in an order in which no query follows itself."""
+    s = Scratch(spark, "blinded")
+    e = read(spark, sf, "evidence").where(F.col("query_id").isNotNull()).select(F.concat_ws("/", "query_id", F.col("rank").cast("string")).alias("key"), F.col("query_id").alias("item")).distinct()
+    return A.blinded_order(s.cut(e, "items"), "key", "item", 49, s)
+
+
+@query("""WITH r AS (SELECT * FROM reading_labels), d AS (SELECT doc_id, text FROM documents)
+  SELECT 'score_present' AS check_name, count(*) FILTER (reading_level IS NULL) AS n FROM r UNION ALL SELECT 'score_in_range', count(*) FILTER (reading_level NOT BETWEEN 1 AND 5) FROM r UNION ALL SELECT 'item_known', count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM d)) FROM r
+  UNION ALL SELECT 'rated_once', (SELECT count(*) FROM (SELECT 1 FROM r GROUP BY doc_id, rater_id HAVING count(*) > 1)) UNION ALL SELECT 'no_system_named', count(*) FILTER (regexp_matches(rater_id, '(?i)tfidf|random|llm')) FROM r
+  UNION ALL SELECT 'no_id_shown', (SELECT count(*) FROM d WHERE doc_id IN (SELECT doc_id FROM r) AND regexp_matches(text, '@[0-9]+'))""")
+def rating_validation(spark, sf):
+    """Violations of a rating file by check: completeness, score domain, structure, forbidden words and ids in the rated texts."""
+    r, d = read(spark, sf, "reading_labels"), read(spark, sf, "documents")
+    return L.rating_violations(r, d, ["doc_id", "rater_id"], "doc_id", "reading_level", "rater_id", "text")
+
+
+_JUDGED = """it AS (SELECT query_id || '/' || rank AS item, min(historical_brand_reply) AS reply FROM evidence WHERE query_id IS NOT NULL GROUP BY 1), dm AS (SELECT unnest(['relevance', 'tone', 'safety']) AS dimension),
+x AS (SELECT item, dimension, reply, trim(regexp_replace(coalesce(reply, ''), '\\s+', ' ', 'g')) = '' AS blank, CAST('0x' || substring(md5(coalesce(reply, '')), 1, 4) AS BIGINT) % 10 + length(dimension) AS h FROM it, dm),
+j AS (SELECT item, dimension, CASE WHEN NOT blank AND h % 10 > 3 THEN 1 + h % 5 END AS score, CASE WHEN blank THEN 'empty_reply' WHEN h % 10 = 1 THEN 'invalid_json' WHEN h % 10 = 2 THEN 'score_not_a_number' WHEN h % 10 = 3 THEN 'score_out_of_range' END AS error, CASE WHEN NOT blank AND h % 10 = 0 AND h = 10 THEN 'TimeoutError' END AS failure0, h, blank FROM x),
+jd AS (SELECT item, dimension, CASE WHEN NOT blank AND h % 10 = 0 AND h <> 10 THEN 1 + h % 5 ELSE score END AS score, error, failure0 AS failure FROM j)"""
+
+
+def judge_stub(second: bool):
+    """A completer for tests, by the hash of the reply and the length of the dimension's name: good, broken, or a time-out that a second try may mend."""
+    import hashlib
+
+    def complete(prompt: str) -> str:
+        dimension = prompt.split("Rate the ", 1)[1].split(" of the reply", 1)[0]
+        reply = prompt.split("\nReply: ", 1)[1].rsplit("\nAnswer as JSON", 1)[0]
+        h = int(hashlib.md5(reply.encode()).hexdigest()[:4], 16) % 10 + len(dimension)
+        if h % 10 == 0 and not (second and h != 10):
+            raise TimeoutError
+        return {1: "no json", 2: '{"score": true, "reason": "ok"}', 3: '{"score": 9, "reason": "ok"}'}.get(h % 10, f'{{"score": {1 + h % 5}, "reason": "ok"}}')
+
+    return complete
+
+
+def _judgements(spark, sf):
+    e = read(spark, sf, "evidence").where(F.col("query_id").isNotNull()).groupBy(F.concat_ws("/", "query_id", F.col("rank").cast("string")).alias("item")).agg(F.min("historical_brand_reply").alias("reply"))
+    return J.run(e.select("item", F.lit("").alias("message"), "reply"), ["relevance", "tone", "safety"], judge_stub(False), judge_stub(True))
+
+
+@query(f"WITH {_JUDGED} SELECT item, dimension, score, error, failure FROM jd")
+def judge_run(spark, sf):
+    """Every past reply judged in three dimensions, failures tried once more."""
+    return _judgements(spark, sf).select("item", "dimension", "score", "error", "failure")
+
+
+@query(f"WITH {_JUDGED} SELECT item, CASE WHEN count(failure) > 0 THEN 'failed' WHEN count(*) FILTER (error = 'empty_reply') > 0 THEN 'empty' WHEN count(error) > 0 THEN 'unparsed' ELSE 'complete' END AS status FROM jd GROUP BY 1")
+def judge_item_status(spark, sf):
+    return J.item_status(_judgements(spark, sf))
+
+
+@query(f"WITH {_JUDGED} SELECT dimension, count(score) AS judged, count(*) FILTER (score IS NULL) AS unusable, round(avg(score), 6) AS mean, " + ", ".join(f"count(*) FILTER (score = {k}) AS n{k}" for k in range(1, 6)) + " FROM jd GROUP BY 1")
+def judge_summary(spark, sf):
+    return J.dimension_summary(_judgements(spark, sf))

@@ -13,11 +13,11 @@ from skein.session import read
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
 
-# evidence by key; the reply to check is the first-ranked past reply, allowed is the message and the other evidence
+# evidence by key; every past reply is checked, allowed is the message and the query's other evidence
 _EV = """ev AS (SELECT query_id, rank, min(historical_customer_message) AS message, min(historical_brand_reply) AS reply FROM evidence WHERE query_id IS NOT NULL GROUP BY 1, 2),
 qs AS (SELECT annotation_id AS query_id, min(text_display) AS message FROM b02_fresh_labelled WHERE annotation_id IS NOT NULL GROUP BY 1),
-ot AS (SELECT query_id, string_agg(coalesce(message, '') || ' ' || coalesce(reply, ''), ' ' ORDER BY rank) AS other FROM ev WHERE rank > 1 GROUP BY 1),
-c AS (SELECT query_id, e.reply, coalesce(q.message, '') || ' ' || coalesce(other, '') AS allowed FROM ev e JOIN qs q USING (query_id) LEFT JOIN ot USING (query_id) WHERE rank = 1)"""
+ot AS (SELECT a.query_id, a.rank, string_agg(coalesce(b.message, '') || ' ' || coalesce(b.reply, ''), ' ' ORDER BY b.rank) AS other FROM ev a JOIN ev b ON a.query_id = b.query_id AND a.rank <> b.rank GROUP BY 1, 2),
+c AS (SELECT e.query_id, e.rank, e.reply, coalesce(q.message, '') || ' ' || coalesce(other, '') AS allowed FROM ev e JOIN qs q USING (query_id) LEFT JOIN ot ON ot.query_id = e.query_id AND ot.rank = e.rank)"""
 _URL = r"https?://\S+|www\.\S+"
 
 
@@ -34,57 +34,63 @@ def _messages(spark, sf):
 def _checked(spark, sf):
     e = _evidence(spark, sf)
     item = F.concat(F.coalesce("message", F.lit("")), F.lit(" "), F.coalesce("reply", F.lit("")))
-    other = e.where(F.col("rank") > 1).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", item.alias("t")))), lambda x: x["t"]), " ").alias("other"))
-    c = e.where(F.col("rank") == 1).select("query_id", "reply").join(_messages(spark, sf), "query_id").join(other, "query_id", "left")
-    return c.select("query_id", "reply", F.concat(F.coalesce("question", F.lit("")), F.lit(" "), F.coalesce("other", F.lit(""))).alias("allowed"))
+    every = e.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "reply", item.alias("t")))).alias("all"))  # a query has a handful of items
+    c = every.join(_messages(spark, sf), "query_id").select("query_id", "question", "all", F.explode("all").alias("x"))
+    other = F.array_join(F.transform(F.filter("all", lambda y: y["rank"] != F.col("x.rank")), lambda y: y["t"]), " ")
+    return c.select("query_id", F.col("x.rank").alias("rank"), F.col("x.reply").alias("reply"), F.concat(F.coalesce("question", F.lit("")), F.lit(" "), other).alias("allowed"))
 
 
 def _list(c):
     return F.array_join(c, "|")
 
 
+_Q = lambda p: p.replace("'", "''")
 _EXTRACT = "list_sort(list_distinct(regexp_extract_all(coalesce({0}, ''), '{1}', 0)))"
 
 
-@query(f"WITH {_EV}, x AS (SELECT query_id, list_sort(list_filter({_EXTRACT.format('reply', _URL)}, lambda u: NOT list_contains({_EXTRACT.format('allowed', _URL)}, u))) AS f FROM c) SELECT query_id, array_to_string(f, '|') AS found FROM x WHERE len(f) > 0")
+@query(f"WITH {_EV}, x AS (SELECT query_id, rank, list_sort(list_filter({_EXTRACT.format('reply', _URL)}, lambda u: NOT list_contains({_EXTRACT.format('allowed', _URL)}, u))) AS f FROM c) SELECT query_id, rank, array_to_string(f, '|') AS found FROM x WHERE len(f) > 0")
 def g2_unsupported_url(spark, sf):
     c = _checked(spark, sf).withColumn("f", G.unsupported_urls(F.col("reply"), F.col("allowed")))
-    return c.where(F.size("f") > 0).select("query_id", _list("f").alias("found"))
+    return c.where(F.size("f") > 0).select("query_id", "rank", _list("f").alias("found"))
 
 
-@query(f"WITH {_EV}, x AS (SELECT query_id, list_filter(list_transform({_EXTRACT.format('reply', G.NUMBER)}, lambda n: trim(n)), lambda n: NOT contains(allowed, n)) AS f FROM c) SELECT query_id, array_to_string(f, '|') AS found FROM x WHERE len(f) > 0")
+@query(f"WITH {_EV}, x AS (SELECT query_id, rank, list_filter(list_transform({_EXTRACT.format('reply', G.NUMBER)}, lambda n: trim(n)), lambda n: NOT contains(allowed, n)) AS f FROM c) SELECT query_id, rank, array_to_string(f, '|') AS found FROM x WHERE len(f) > 0")
 def g3_unsupported_number(spark, sf):
     c = _checked(spark, sf).withColumn("f", G.unsupported_numbers(F.col("reply"), F.col("allowed")))
-    return c.where(F.size("f") > 0).select("query_id", _list("f").alias("found"))
-
-
-_Q = lambda p: p.replace("'", "''")
+    return c.where(F.size("f") > 0).select("query_id", "rank", _list("f").alias("found"))
 
 
-@query(f"WITH {_EV} SELECT query_id, array_to_string({_EXTRACT.format('lower(reply)', _Q(G.ACTION))}, '|') AS actions, array_to_string({_EXTRACT.format('lower(reply)', _Q(G.RESOLVED))}, '|') AS resolutions FROM c")
+@query(f"WITH {_EV} SELECT query_id, rank, array_to_string({_EXTRACT.format('lower(reply)', _Q(G.ACTION))}, '|') AS actions, array_to_string({_EXTRACT.format('lower(reply)', _Q(G.RESOLVED))}, '|') AS resolutions FROM c")
 def g4_g5_claims(spark, sf):
-    return _checked(spark, sf).select("query_id", _list(G.claims(F.col("reply"), G.ACTION)).alias("actions"), _list(G.claims(F.col("reply"), G.RESOLVED)).alias("resolutions"))
+    return _checked(spark, sf).select("query_id", "rank", _list(G.claims(F.col("reply"), G.ACTION)).alias("actions"), _list(G.claims(F.col("reply"), G.RESOLVED)).alias("resolutions"))
 
 
-@query(f"WITH {_EV} SELECT query_id, array_to_string({_EXTRACT.format('reply', G.IDENTIFIER)}, '|') AS found FROM c WHERE regexp_matches(coalesce(reply, ''), '{G.IDENTIFIER}')")
+@query(f"WITH {_EV} SELECT query_id, rank, array_to_string({_EXTRACT.format('reply', G.IDENTIFIER)}, '|') AS found FROM c WHERE regexp_matches(coalesce(reply, ''), '{G.IDENTIFIER}')")
 def g6_leaked_identifier(spark, sf):
     c = _checked(spark, sf).withColumn("f", G.leaked_identifiers(F.col("reply")))
-    return c.where(F.size("f") > 0).select("query_id", _list("f").alias("found"))
+    return c.where(F.size("f") > 0).select("query_id", "rank", _list("f").alias("found"))
 
 
 @query()
 def g7_copying(spark, sf):
-    """Drafts that copy a past reply: the second-ranked reply against all of its query's others."""
+    """Replies that copy a past one: every reply against all others of its query."""
     e = _evidence(spark, sf)
-    s = e.where(F.col("rank") != 2).groupBy("query_id").agg(F.collect_list("reply").alias("sources"))
-    return G.copying(e.where(F.col("rank") == 2).select("query_id", "reply").join(s, "query_id"), "reply", "sources").select("query_id", F.round("copy_ratio", 6).alias("copy_ratio"), "copy_span")
+    every = e.groupBy("query_id").agg(F.collect_list(F.struct("rank", "reply")).alias("all"))
+    x = e.select("query_id", "rank", "reply").join(every, "query_id")
+    x = x.select("query_id", "rank", "reply", F.transform(F.filter("all", lambda y: y["rank"] != F.col("rank")), lambda y: y["reply"]).alias("sources"))
+    return G.copying(x, "reply", "sources").select("query_id", "rank", F.round("copy_ratio", 6).alias("copy_ratio"), "copy_span")
 
 
-@query()
+_FLAGS = f"""concat_ws('|', CASE WHEN len(list_filter({_EXTRACT.format("reply", _URL)}, lambda u: NOT list_contains({_EXTRACT.format("allowed", _URL)}, u))) > 0 THEN 'unsupported_url' END,
+  CASE WHEN len(list_filter(list_transform({_EXTRACT.format("reply", G.NUMBER)}, lambda n: trim(n)), lambda n: NOT contains(allowed, n))) > 0 THEN 'unsupported_number' END,
+  CASE WHEN regexp_matches(lower(coalesce(reply, '')), '{_Q(G.ACTION)}') THEN 'action_claim' END, CASE WHEN regexp_matches(lower(coalesce(reply, '')), '{_Q(G.RESOLVED)}') THEN 'resolution_claim' END, CASE WHEN regexp_matches(coalesce(reply, ''), '{G.IDENTIFIER}') THEN 'leaked_identifier' END)"""
+
+
+@query(f"WITH {_EV}, x AS (SELECT query_id, rank, CASE WHEN trim(regexp_replace(coalesce(reply, ''), '\\s+', ' ', 'g')) = '' THEN 'empty_reply' ELSE {_FLAGS} END AS flags FROM c) SELECT query_id, rank, flags, flags = '' AS passed FROM x")
 def grounding_checks(spark, sf):
-    """All flags of every first-ranked reply, and whether it passes."""
+    """All flags of every past reply, and whether it passes."""
     f = G.flags(F.col("reply"), F.col("allowed"))
-    return _checked(spark, sf).select("query_id", _list(f).alias("flags"), (F.size(f) == 0).alias("passed"))
+    return _checked(spark, sf).select("query_id", "rank", _list(f).alias("flags")).withColumn("passed", F.col("flags") == "")
 
 
 @query(f"""WITH {_EV}, ln AS (SELECT query_id, rank, '[' || rank || '] Customer: ' || substring(trim(regexp_replace(regexp_replace(coalesce(message, ''), '@\\S+', ' ', 'g'), '\\s+', ' ', 'g'), ' '), 1, 400) || chr(10) || 'Brand: ' || substring(trim(regexp_replace(regexp_replace(coalesce(reply, ''), '@\\S+', ' ', 'g'), '\\s+', ' ', 'g'), ' '), 1, 400) AS line FROM ev)
@@ -129,16 +135,39 @@ def _drafts(spark, sf):
     return G.parse_reply(G.generate(q.select("query_id", G.prompt(F.col("question"), F.col("block")).alias("prompt")), "prompt", stub), "raw")
 
 
-@query()
+_PROMPTS = ORACLE["build_prompt"].split("SELECT q.query_id, sha256(")[0]
+_PROMPT = ORACLE["build_prompt"].split("SELECT q.query_id, sha256(")[1].split(") AS prompt_hash")[0]
+_CLEAN = "trim(regexp_replace(regexp_replace(coalesce(q.message, ''), '@\\S+', ' ', 'g'), '\\s+', ' ', 'g'), ' ')"
+# what the stub answers, and what parsing makes of it
+_DRAFTS = f"{_PROMPTS}, dr AS (SELECT q.query_id, length({_PROMPT}) % 7 = 0 AS bad, trim(substring({_CLEAN}, 1, 80)) AS said FROM qs q LEFT JOIN bl USING (query_id))"
+
+
+@query(f"{_DRAFTS} SELECT query_id, CASE WHEN NOT bad THEN said END AS reply, CASE WHEN NOT bad THEN true END AS coerced, CASE WHEN bad THEN 'invalid_json' END AS error FROM dr")
 def generate_replies(spark, sf):
     return _drafts(spark, sf).select("query_id", "parsed.reply", "parsed.coerced", "parsed.error")
 
 
-@query()
+@query(f"{_DRAFTS} SELECT count(*) AS n, count(*) FILTER (NOT bad) AS parsed, count(*) FILTER (bad) AS invalid_json, count(*) FILTER (NOT bad) AS coerced, count(*) FILTER (NOT bad AND said = '') AS empty FROM dr")
 def generation_summary(spark, sf):
-    """Parsed, failed and coerced answers."""
+    """Parsed, failed, coerced and empty answers."""
     p = _drafts(spark, sf).select("parsed.*")
-    return p.agg(F.count("*").alias("n"), F.count_if(F.col("error").isNull()).alias("parsed"), F.count_if(F.col("error") == "invalid_json").alias("invalid_json"), F.count_if(F.coalesce("coerced", F.lit(False))).alias("coerced"))
+    return p.agg(F.count("*").alias("n"), F.count_if(F.col("error").isNull()).alias("parsed"), F.count_if(F.col("error") == "invalid_json").alias("invalid_json"), F.count_if(F.coalesce("coerced", F.lit(False))).alias("coerced"), F.count_if(F.col("reply") == "").alias("empty"))
+
+
+@query("SELECT annotation_id, md5('ask ' || t) AS raw, length(t) >= 40 AS cached FROM (SELECT annotation_id, min(coalesce(text_display, '')) AS t FROM b02_fresh_labelled WHERE annotation_id IS NOT NULL GROUP BY 1)")
+def cached_generation(spark, sf):
+    """Answers to every annotation's text: those of longer texts come from the cache that a first run has written."""
+    import hashlib
+
+    from skein.session import Scratch
+
+    s = Scratch(spark, "cache")
+    b = read(spark, sf, "b02_fresh_labelled").where(F.col("annotation_id").isNotNull()).groupBy("annotation_id").agg(F.min(F.coalesce("text_display", F.lit(""))).alias("t"))
+    asks = s.cut(b.select("annotation_id", "t", F.concat(F.lit("ask "), "t").alias("prompt")), "asks")
+    answer = lambda p: hashlib.md5(p.encode()).hexdigest()
+    cache = G.AnswerCache(spark, f"{s.base}/answers", "stub", 0.0, 42)
+    cache.complete(asks.where(F.length("t") >= 40), "prompt", answer)
+    return cache.complete(asks, "prompt", answer).select("annotation_id", "raw", "cached")
 
 
 @query("SELECT props, try_cast(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")

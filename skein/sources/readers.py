@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,3 +62,30 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
     cols = sorted(a.columns)
     mark = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*cols).cast("decimal(38,0)")).alias("h"), F.sum(F.xxhash64(F.lit(7), *cols).cast("decimal(38,0)")).alias("g")).first()
     return tuple(mark(a)) == tuple(mark(b))
+
+
+def csv_bytes(raw: bytes) -> tuple[list[str], list[dict[str, str]]]:
+    """(header, rows) of a small CSV file in memory; the header is kept as it stands, without a byte-order mark."""
+    rows = list(csv.reader(io.StringIO(raw.decode("utf-8-sig"), newline="")))
+    if not rows:
+        return [], []
+    return rows[0], [dict(zip(rows[0], r, strict=False)) for r in rows[1:]]
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(file, bytes, sha256) of the files of a folder; each is read by one task."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return f.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def only(df: DataFrame, allowed: list[str]) -> DataFrame:
+    """The allowed columns that df has; all others, such as labels that must stay hidden, are never read."""
+    return df.select(*(c for c in allowed if c in df.columns))
+
+
+def changed_rows(recorded: DataFrame, recomputed: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, column_name, recorded, recomputed) where a recorded value differs from the recomputed one; rows of one side only have nulls."""
+    a = recorded.select(key, *(F.col(c).cast("string").alias(f"a_{c}") for c in columns))
+    b = recomputed.select(key, *(F.col(c).cast("string").alias(f"b_{c}") for c in columns))
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"a_{c}").alias("recorded"), F.col(f"b_{c}").alias("recomputed")) for c in columns)))
+    return a.join(b, key, "full").select(key, pairs.alias("x")).select(key, "x.*").where(~F.col("recorded").eqNullSafe(F.col("recomputed")))
