@@ -5,18 +5,22 @@ Features are hashed, so no vocabulary is gathered; fits run on the cluster.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skein.functions import text as X
+from skein.operators.ranks import ranked
+from skein.session import Scratch
+
 
 def features(df: DataFrame, tokens: str, buckets: int = 1 << 14) -> DataFrame:
     """df with features: hashed TF-IDF of unit length."""
@@ -50,22 +54,26 @@ def predicted(df: DataFrame, model, labels: list[str]) -> DataFrame:
     return out.withColumn("confidence", F.array_max(p)).withColumn("predicted", F.element_at(names, F.array_position(p, F.array_max(p)).cast("int"))).drop("rawPrediction", "probability", "prediction")
 
 
-def out_of_fold(df: DataFrame, key: str, label: str, folds: int = 5, seed: int = 42, steps: int = 30) -> DataFrame:
-    """(key, label, predicted, confidence): every row judged by a model that has not seen its fold.
+def out_of_fold(df: DataFrame, key: str, label: str, scratch: Scratch, folds: int = 5, seed: int = 42, steps: int = 100) -> DataFrame:
+    """(key, label, predicted, confidence): every labelled row judged by a model that has not seen its fold.
 
-    Folds follow from a hash of the key, so copies of a key share one.
+    Folds are stratified: the rows of a label take turns in hash order of the key, so copies
+    of a key should have been removed before. Rows without a label are judged by the model
+    of all labelled rows.
     """
-    d = df.where(F.col(label).isNotNull()).withColumn("_fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)))
+    d = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    known = scratch.cut(ranked(d.where(F.col(label).isNotNull()), [label], ["_h", key], "_place", scratch).withColumn("_fold", F.col("_place") % folds).drop("_place"), "folds")
     out = None
     for k in range(folds):
-        model, labels = classifier(d.where(F.col("_fold") != k), label, steps=steps)
-        part = predicted(d.where(F.col("_fold") == k), model, labels).select(key, label, "predicted", "confidence")
+        model, labels = classifier(known.where(F.col("_fold") != k), label, steps=steps)
+        part = predicted(known.where(F.col("_fold") == k), model, labels).select(key, label, "predicted", "confidence")
         out = part if out is None else out.unionByName(part)
-    return out
+    model, labels = classifier(known, label, steps=steps)
+    return out.unionByName(predicted(d.where(F.col(label).isNull()), model, labels).select(key, label, "predicted", "confidence"))
 
 
-def svd(df: DataFrame, key: str, k: int) -> tuple[DataFrame, list[float]]:
-    """((key, reduced), singular values) of the rows' features, not centred; reduced has k entries."""
+def svd(df: DataFrame, key: str, k: int) -> tuple[DataFrame, list[float], float]:
+    """((key, reduced), singular values, share of the sum of squares explained) of the rows' features, not centred; reduced has k entries."""
     # The distributed factorisation exists for RDDs only; rows go back to a DataFrame at once.
     rows = df.select("features").rdd.map(lambda r: OldVectors.fromML(r[0]))
     model = RowMatrix(rows).computeSVD(k, computeU=False)
@@ -81,25 +89,29 @@ def svd(df: DataFrame, key: str, k: int) -> tuple[DataFrame, list[float]]:
 
     sparse = F.udf(lambda x: (x.indices.tolist(), x.values.tolist()) if hasattr(x, "indices") else (list(range(len(x))), x.tolist()), "struct<i: array<int>, v: array<double>>")
     out = df.select(key, sparse("features").alias("s")).select(key, project("s.i", "s.v").alias("reduced"))
-    return out, [float(x) for x in model.s]
-
+    values = [float(x) for x in model.s]
+    whole = df.select(F.sum(F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x * x))).first()[0]
+    return out, values, sum(x * x for x in values) / (whole or 1.0)
 
-def _vectors(df: DataFrame, column: str) -> DataFrame:
-    to = F.udf(lambda a: Vectors.dense(a), VectorUDT())
-    return df.withColumn("features", to(F.col(column).cast("array<double>")))
 
+def kmeans_sweep(df: DataFrame, column: str, ks: list[int], starts: int = 10, seed: int = 42) -> DataFrame:
+    """Of the best of several starts for every k: cost, silhouette, sizes, and how alike its two most similar centres are (cosine).
 
-def kmeans_sweep(df: DataFrame, column: str, ks: list[int], seeds: list[int]) -> DataFrame:
-    """(k, cost, silhouette, largest_share) of the best of several seeds for every k; column is an array of numbers."""
-    d = _vectors(df, column).select("features").cache()
+    column is an array of numbers; a k of no fewer than the rows is left out.
+    """
+    d = df.select(array_to_vector(F.col(column).cast("array<double>")).alias("features")).cache()
     n = d.count()
     rows = []
-    for k in ks:
-        best = min((KMeans(k=k, seed=s, maxIter=20).fit(d) for s in seeds), key=lambda m: m.summary.trainingCost)
-        score = ClusteringEvaluator().evaluate(best.transform(d)) if n > k else float("nan")
-        rows.append((k, float(best.summary.trainingCost), float(score), max(best.summary.clusterSizes) / n))
+    for k in (k for k in ks if k < n):
+        best = min((KMeans(k=k, seed=seed + s, maxIter=20).fit(d) for s in range(starts)), key=lambda m: m.summary.trainingCost)
+        sizes = np.array(best.summary.clusterSizes) / n
+        c = np.array(best.clusterCenters())
+        unit = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+        alike = unit @ unit.T
+        np.fill_diagonal(alike, 0.0)
+        rows.append((k, float(best.summary.trainingCost), float(ClusteringEvaluator().evaluate(best.transform(d))), float(sizes.max()), float(sizes.min()), int((sizes < 0.01).sum()), float(alike.max())))
     d.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, cost double, silhouette double, largest_share double")
+    return df.sparkSession.createDataFrame(rows, "k int, cost double, silhouette double, largest_share double, smallest_share double, under_one_percent int, closest_centres double")
 
 
 def distinctive_terms(weights: DataFrame, clusters: DataFrame, top: int = 15) -> DataFrame:
@@ -116,3 +128,30 @@ def distinctive_terms(weights: DataFrame, clusters: DataFrame, top: int = 15) ->
     lift = F.col("inside") / F.col("n_in") - F.coalesce(F.try_divide(F.col("everywhere") - F.col("inside"), F.lit(total) - F.col("n_in")), F.lit(0.0))
     x = per.join(whole, "term").join(F.broadcast(sizes), "cluster").select("cluster", "term", F.round(lift, 9).alias("lift"))
     return x.withColumn("rank", F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("lift"), "term"))).where(F.col("rank") <= top)
+
+
+def cohesion(entries: DataFrame, item: str, cluster: str) -> DataFrame:
+    """(cluster, n, cohesion, nearest, nearest_distance) of vectors as entries (item, cluster, i, v): a row per entry.
+
+    Centres are one row per cluster and place, whatever the number of items.
+    """
+    m = entries.groupBy(cluster, "i").agg(F.avg("v").alias("c"))
+    d = entries.join(m, [cluster, "i"]).groupBy(cluster, item).agg(F.sqrt(F.sum(F.pow(F.col("v") - F.col("c"), 2))).alias("d"))
+    size = d.groupBy(cluster).agg(F.count("*").alias("n"), F.round(F.avg(1 / (1 + F.col("d"))), 6).alias("cohesion"))
+    other = m.select(F.col(cluster).alias("nearest"), "i", F.col("c").alias("o"))
+    far = m.join(other, "i").where(F.col(cluster) != F.col("nearest")).groupBy(cluster, "nearest").agg(F.round(F.sqrt(F.sum(F.pow(F.col("c") - F.col("o"), 2))), 6).alias("far"))
+    near = far.groupBy(cluster).agg(F.min(F.struct("far", "nearest")).alias("x")).select(cluster, F.col("x.nearest").alias("nearest"), F.col("x.far").alias("nearest_distance"))
+    return size.join(near, cluster, "left")
+
+
+def text_checks(df: DataFrame, cluster: str, text: str) -> DataFrame:
+    """By cluster: size, share, links, capitals; whether links or length drive it, and whether it is under 1 % or over a quarter of all."""
+    link, n = F.col(text).rlike(X.URL_PREFIX).cast("double"), F.length(text)
+    whole = df.agg(F.count("*").alias("all"), F.avg(n).alias("mean"), F.stddev_samp(n).alias("sd"), F.avg(link).alias("urls"))
+    g = df.groupBy(cluster).agg(F.count("*").alias("n"), F.avg(link).alias("u"), F.avg(X.caps_ratio(F.col(text))).alias("caps"), F.avg(n).alias("len"))
+    x = g.select("*", *(whole.select(c).scalar().alias(c) for c in whole.columns))
+    share = F.col("n") / F.col("all")
+    return x.select(
+        cluster, "n", F.round(share, 6).alias("share"), F.round("u", 6).alias("url_share"), F.round("caps", 6).alias("caps_ratio"), ((F.col("u") > 0.6) & (F.col("urls") < 0.3)).alias("url_driven"),
+        (F.abs(F.col("len") - F.col("mean")) > 2 * F.col("sd")).alias("format_driven"), (share < 0.01).alias("under_one_percent"), (share > 0.25).alias("over_quarter"),
+    )

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.session import shuffle_partitions
+
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     """(a, b, n) over rows where both are known."""
@@ -99,10 +101,10 @@ def resampled(df: DataFrame, key: str, resamples: int = RESAMPLES, seed: int = 4
     a resample costs no shuffle of rows; rows of one key move together.
     """
     h = F.md5(F.concat_ws(":", F.col(key).cast("string"), "_b", F.lit(str(seed))))
-    rows = df.where(F.col(key).isNotNull()).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // 8)))).withColumn("_h", h)
-    u = [F.conv(F.substring("_h", 1 + 4 * i, 4), 16, 10).cast("int") for i in range(8)]
-    draws = F.array(*(F.struct((F.col("_b") * 8 + i).alias("resample"), sum((u[i] >= c).cast("int") for c in POISSON).alias("w")) for i in range(8)))
-    x = rows.withColumn("_d", F.explode(draws)).select(*df.columns, "_d.resample", "_d.w")
+    spread = df.where(F.col(key).isNotNull()).repartition(shuffle_partitions(df.sparkSession), key)  # each row becomes many
+    rows = spread.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // 8)))).withColumn("_h", h)
+    draws = F.array(*(F.struct((F.col("_b") * 8 + i).alias("resample"), F.conv(F.substring("_h", 1 + 4 * i, 4), 16, 10).cast("int").alias("u")) for i in range(8)))
+    x = rows.withColumn("_d", F.explode(draws)).select(*df.columns, "_d.resample", sum((F.col("_d.u") >= c).cast("int") for c in POISSON).alias("w"))
     return x.where((F.col("w") > 0) & (F.col("resample") < resamples))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as X
 from skein.operators import learn as M
+from skein.operators import sampling as A
 from skein.operators import tfidf as T
 from skein.operators.labels import clean, weak_label
 from skein.plans import relations as R
@@ -31,25 +32,25 @@ def intent_classifier(spark, sf):
     both = o.unionByName(g.withColumn("gold", F.lit(True)).select("key", "text", "gold", "truth"))
     x = M.features(weak_label(both, "text").withColumn("tokens", X.ngrams(X.terms(F.col("text")), 2)), "tokens")
     x = s.cut(x.select("key", "gold", "truth", "weak_label", "features"), "features")
-    model, labels = M.classifier(x.where(~F.col("gold")), "weak_label", steps=30)
+    model, labels = M.classifier(x.where(~F.col("gold")), "weak_label")
     return M.predicted(x.where("gold"), model, labels).select("key", "truth", "predicted", F.round("confidence", 4).alias("confidence"))
 
 
 @query()
 def oof_confidence(spark, sf):
     s = Scratch(spark, "oof")
-    return M.out_of_fold(s.cut(_openings(spark, sf).select("conversation_id", "weak_label", "features"), "features"), "conversation_id", "weak_label", steps=15)
+    return M.out_of_fold(s.cut(_openings(spark, sf).select("conversation_id", "weak_label", "features"), "features"), "conversation_id", "weak_label", s)
 
 
 @query()
 def svd_reduce(spark, sf):
-    o = M.features(R.openings(spark, sf).select("conversation_id", X.terms(F.col("text")).alias("tokens")), "tokens", buckets=1 << 10)
-    return M.svd(o, "conversation_id", 20)[0]
+    o = M.features(R.openings(spark, sf).select("conversation_id", X.terms(F.col("text")).alias("tokens")), "tokens", buckets=1 << 11)
+    return M.svd(o, "conversation_id", 100)[0]
 
 
 @query()
 def kmeans_sweep(spark, sf):
-    return M.kmeans_sweep(read(spark, sf, "embeddings").select("embedding"), "embedding", [6, 8, 10], [1, 2])
+    return M.kmeans_sweep(read(spark, sf, "embeddings").select("embedding"), "embedding", [6, 8, 10, 12, 16, 20])
 
 
 @query(R.sql(R.OPENINGS, V._TF, """cl AS (SELECT tweet_id AS doc, min(brand) AS cluster FROM openings WHERE brand IS NOT NULL GROUP BY 1), nn2 AS (SELECT count(*) AS n FROM cl), sz AS (SELECT cluster, count(*) AS n_in FROM cl GROUP BY 1),
@@ -72,3 +73,31 @@ def cluster_describe(spark, sf):
     m = e.groupBy("label", "i").agg(F.avg("v").alias("c"))
     d = e.join(F.broadcast(m), ["label", "i"]).groupBy("label", "vec_id").agg(F.round(F.sqrt(F.sum(F.pow(F.col("v") - F.col("c"), 2))), 6).alias("distance"))
     return d.withColumn("rank", F.row_number().over(W.partitionBy("label").orderBy("distance", "vec_id"))).where(F.col("rank") <= 8)
+
+
+_DIST = """e AS (SELECT vec_id, label, unnest(CAST(embedding AS DOUBLE[])) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(v) AS c FROM e GROUP BY 1, 2), ds AS (SELECT label, vec_id, sqrt(sum((v - c) * (v - c))) AS d FROM e JOIN m USING (label, i) GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_DIST}, co AS (SELECT label, count(*) AS n, round(avg(1 / (1 + d)), 6) AS cohesion FROM ds GROUP BY 1), pr AS (SELECT a.label, b.label AS other, round(sqrt(sum((a.c - b.c) * (a.c - b.c))), 6) AS far FROM m a JOIN m b ON a.i = b.i AND a.label <> b.label GROUP BY 1, 2),
+  ne AS (SELECT label, other, far FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY far, other) AS k FROM pr) WHERE k = 1) SELECT label, n, cohesion, other AS nearest, far AS nearest_distance FROM co LEFT JOIN ne USING (label)""")
+def cluster_cohesion(spark, sf):
+    """By labelled cluster: size, mean of 1 / (1 + distance to the centre), and the cluster whose centre is nearest."""
+    e = read(spark, sf, "embeddings").select("vec_id", "label", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "v"))
+    return M.cohesion(e, "vec_id", "label")
+
+
+@query("SELECT label, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY md5(vec_id || ':42'), vec_id) AS k FROM embeddings WHERE label IS NOT NULL) WHERE k <= 3")
+def cluster_random_members(spark, sf):
+    return A.per_group(read(spark, sf, "embeddings").where(F.col("label").isNotNull()).select("label", "vec_id"), "label", "vec_id", 3, 42).select("label", "vec_id")
+
+
+_TEXTS = R.TURNS + """, x AS (SELECT brand AS cluster, coalesce(text, '') AS t FROM t WHERE brand IS NOT NULL)"""
+
+
+@query(R.sql(_TEXTS, """a AS (SELECT avg(length(t)) AS mean, stddev_samp(length(t)) AS sd, avg(CASE WHEN regexp_matches(t, 'https?://') THEN 1.0 ELSE 0.0 END) AS urls FROM x)""",
+  """SELECT cluster, count(*) AS n, round(count(*) / (SELECT count(*) FROM x), 6) AS share, round(avg(CASE WHEN regexp_matches(t, 'https?://') THEN 1.0 ELSE 0.0 END), 6) AS url_share, round(avg(length(regexp_replace(t, '[^A-Z]', '', 'g')) / greatest(length(t), 1)), 6) AS caps_ratio,
+  avg(CASE WHEN regexp_matches(t, 'https?://') THEN 1.0 ELSE 0.0 END) > 0.6 AND any_value(urls) < 0.3 AS url_driven, abs(avg(length(t)) - any_value(mean)) > 2 * any_value(sd) AS format_driven, count(*) * 1.0 / (SELECT count(*) FROM x) < 0.01 AS under_one_percent, count(*) * 1.0 / (SELECT count(*) FROM x) > 0.25 AS over_quarter FROM x, a GROUP BY 1"""))
+def cluster_text_checks(spark, sf):
+    """Quality of a grouping of texts, here by brand: groups driven by links or by length, too small or too large."""
+    t = R.turns(spark, sf).where(F.col("brand").isNotNull()).select(F.col("brand").alias("cluster"), F.coalesce("text", F.lit("")).alias("t"))
+    return M.text_checks(t, "cluster", "t")

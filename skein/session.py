@@ -7,7 +7,9 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,20 +74,27 @@ class Scratch:
 
     A written table cuts lineage for good: executors may be lost later without
     recomputing what came before. Tables that are no longer read are dropped at
-    once; those a lazily evaluated result still reads stay until the driver ends.
+    once; those a lazily evaluated result still reads stay until the JVM ends, with or
+    without the session, or until the scope() they were made in is left.
     """
 
+    scopes: ClassVar[list[list[Scratch]]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
         self.spark = spark
         self.base = f"{shared_dir(spark)}/skein/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
-        atexit.register(self._clear)
+        if Scratch.scopes:
+            Scratch.scopes[-1].append(self)
 
     def cut(self, df: DataFrame, label: str = "t") -> DataFrame:
         """Write df and return it as read back."""
         self._n += 1
         path = f"{self.base}/{self._n:03d}-{label}"
+        if self._n == 1:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(p)
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._skein_path = path
@@ -98,12 +107,20 @@ class Scratch:
             if path:
                 _delete(self.spark, path)
 
-    def _clear(self) -> None:
-        try:
-            if not self.spark.sparkContext._jsc.sc().isStopped():
-                _delete(self.spark, self.base)
-        except Exception:  # noqa: BLE001 - the session may be gone
-            pass
+    def clear(self) -> None:
+        """Delete all tables; nothing that reads them can be used any more."""
+        _delete(self.spark, self.base)
+
+
+@contextmanager
+def scope():
+    """Tables that operators write inside are deleted on leaving; results must have been written or collected before."""
+    Scratch.scopes.append([])
+    try:
+        yield
+    finally:
+        for s in Scratch.scopes.pop():
+            s.clear()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

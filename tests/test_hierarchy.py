@@ -48,7 +48,7 @@ def test_roots_and_paths_equal_a_walk(spark, n, cap):
     assert {r.id: (r.root, r.depth) for r in H.roots(df, task_links=cap).collect()} == {k: v[:2] for k, v in want.items()}
 
 
-def test_a_chain_in_random_order_falls_back_to_doubling(spark):
+def test_a_chain_in_random_order_is_merged_by_random_mates(spark):
     ids = random.Random(1).sample(range(10_000), 200)
     parents = dict(zip(ids, [None, *ids[:-1]], strict=True))
     df = spark.createDataFrame(list(parents.items()), SCHEMA)
@@ -89,3 +89,13 @@ def test_writings_of_keys(spark):
     assert [g[0] for g in got] == [12, 12, 12, 12, 12, 12, 1200, None, None, None, None, None, -3, None]
     assert [g[1] for g in got][:8] == ["12"] * 6 + ["1200", "12.5"]
     assert got[9][2] is None and got[10][2] is None
+
+
+def test_half_of_all_links_point_at_one_node_in_random_order(spark):
+    rng = random.Random(4)
+    ids = rng.sample(range(1, 50_000), 600)
+    parents = {k: 0 if i % 2 else ids[i - 2] if i > 1 else 0 for i, k in enumerate(ids)} | {0: None}
+    parents |= {100_000 + i: k for i, k in enumerate(ids)}
+    df = spark.createDataFrame(list(parents.items()), SCHEMA).repartition(8)
+    want = brute(parents)
+    assert {r.id: (r.root, r.depth) for r in H.roots(df, task_links=60).collect()} == {k: v[:2] for k, v in want.items()}

@@ -290,3 +290,104 @@ def test_lookup_splits_hot_keys(spark):
     for how in ("left", "inner"):
         a, b = skew.lookup(rows, "k", table, how).select("k", "id", "v"), rows.join(table, "k", how).select("k", "id", "v")
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_tables_go_when_their_scope_is_left(spark):
+    import os
+
+    from skein.session import scope
+
+    with scope():
+        s = Scratch(spark, "scoped")
+        df = s.cut(spark.range(3))
+        folder = s.base.removeprefix("file:")
+        assert df.count() == 3 and os.path.isdir(folder)
+    assert not os.path.exists(folder)
+    kept = Scratch(spark, "kept").cut(spark.range(3))
+    assert kept.count() == 3
+
+
+def test_learning_on_separable_texts(spark):
+    import random
+
+    from skein.operators import learn
+
+    rng = random.Random(2)
+    pools = {"bags": "suitcase luggage belt lost wheel".split(), "money": "refund charge card paid fee".split()}
+    rows = [(i, k, [rng.choice(pools[k]) for _ in range(6)]) for i in range(80) for k in [sorted(pools)[i % 2]]]
+    df = learn.features(spark.createDataFrame([*rows, (900, None, pools["bags"])], "key int, label string, tokens array<string>"), "tokens", 256).cache()
+    got = {r.key: (r.label, r.predicted, r.confidence) for r in learn.out_of_fold(df, "key", "label", Scratch(spark, "oof"), steps=20).collect()}
+    assert len(got) == 81 and all(p == k and c > 0.5 for k, p, c in got.values() if k) and got[900][:2] == (None, "bags")
+    reduced, values, explained = learn.svd(df, "key", 4)
+    assert len(values) == 4 and values == sorted(values, reverse=True) and 0.3 < explained <= 1 + 1e-9 and all(len(r.reduced) == 4 for r in reduced.collect())
+    points = spark.createDataFrame([([float(c * 10 + rng.random()), float(-c * 7 + rng.random())],) for c in range(3) for _ in range(30)], "v array<double>")
+    sweep = {r.k: r for r in learn.kmeans_sweep(points, "v", [2, 3, 200], starts=3).collect()}
+    assert set(sweep) == {2, 3} and sweep[3].silhouette > 0.9 and sweep[3].cost < sweep[2].cost and abs(sweep[3].largest_share - 1 / 3) < 1e-9
+
+
+def test_judgements_are_read_strictly(spark):
+    from skein.operators import judge
+
+    cases = {
+        '{"score": 4, "reason": "good"}': (4, None), '{"score": true, "reason": "x"}': (None, "score_not_a_number"), '{"score": 6, "reason": "x"}': (None, "score_out_of_range"), '{"score": 3}': (None, "wrong_keys"),
+        '{"score": 3, "reason": "x", "more": 1}': (None, "wrong_keys"), '{"score": 3, "reason": 5}': (None, "reason_not_text"), "[1]": (None, "not_an_object"), "no": (None, "invalid_json"), '{"score": "3", "reason": "x"}': (None, "score_not_a_number"),
+        '{"score": 3, "reason": "' + "w " * 41 + '"}': (None, "reason_too_long"), '{"score": 3.5, "reason": "x"}': (None, "score_not_a_number"), "null": (None, "not_an_object"),
+    }
+    got = {r.raw: (r.j.score, r.j.error) for r in spark.createDataFrame([(c,) for c in cases], "raw string").select("raw", judge.judgement(F.col("raw")).alias("j")).collect()}
+    assert got == cases
+    assert spark.createDataFrame([(None,)], "raw string").select(judge.judgement(F.col("raw")).alias("j")).first().j.error == "invalid_json"
+    items = spark.createDataFrame([("a", "m", "r"), ("b", "m", " "), ("c", "m", None)], "item string, message string, reply string")
+
+    def down(_):
+        raise TimeoutError
+
+    judged = judge.run(items, ["tone", "help"], down, lambda p: '{"score": 2, "reason": "ok"}')
+    assert {r.item: r.status for r in judge.item_status(judged).collect()} == {"a": "complete", "b": "empty", "c": "empty"}
+    assert {r.item: r.status for r in judge.item_status(judge.run(items, ["tone"], down)).collect()}["a"] == "failed"
+
+
+def test_answers_are_asked_once(spark, tmp_path):
+    from skein.operators import grounding
+
+    df = spark.createDataFrame([(1, "p"), (2, "p"), (3, "q"), (4, None), (5, "bad")], "k int, prompt string")
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def ask(p):
+        (log / f"{p}-{len(list(log.iterdir()))}").write_text("")
+        if p == "bad":
+            raise OSError
+        return p.upper()
+
+    cache = grounding.AnswerCache(spark, str(tmp_path / "answers"), "m", 0.0, 1)
+    first = {r.k: (r.raw, r.failure, r.cached) for r in cache.complete(df.coalesce(1), "prompt", ask).collect()}
+    assert first == {1: ("P", None, False), 2: ("P", None, False), 3: ("Q", None, False), 4: (None, None, None), 5: (None, "OSError", False)}
+    again = {r.k: r.cached for r in cache.complete(df, "prompt", ask).collect()}
+    assert again == {1: True, 2: True, 3: True, 4: None, 5: False}
+    names = sorted(p.name.split("-")[0] for p in log.iterdir())
+    assert names == ["bad", "bad", "p", "q"]
+    assert grounding.AnswerCache(spark, str(tmp_path / "answers"), "other", 0.0, 1).complete(df, "prompt", ask).where("cached").count() == 0
+
+
+def test_order_without_equal_neighbours(spark):
+    from skein.operators import sampling
+
+    rows = [(f"k{i:03d}", "hot" if i < 60 else f"i{i % 9}") for i in range(120)]
+    s = Scratch(spark, "order")
+    out = sampling.blinded_order(s.cut(spark.createDataFrame(rows, "key string, item string").repartition(5)), "key", "item", 3, s)
+    assert sampling.neighbours_alike(out, "item").first().n == 0 and sorted(r.position for r in out.collect()) == list(range(120))
+
+
+def test_small_files_and_projections(spark, tmp_path):
+    from skein.sources import readers
+
+    assert readers.csv_bytes('﻿a,"b c"\r\n1,"x\ny"\r\n'.encode()) == (["a", "b c"], [{"a": "1", "b c": "x\ny"}]) and readers.csv_bytes(b"") == ([], [])
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "one.txt").write_bytes(b"abc")
+    assert [tuple(r) for r in readers.file_hashes(spark, str(tmp_path / "f")).collect()] == [("one.txt", 3, "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad")]
+    a = spark.createDataFrame([(1, "x", 2), (2, "y", None)], "k int, flag string, gold int")
+    assert readers.only(a, ["k", "flag", "absent"]).columns == ["k", "flag"]
+    b = spark.createDataFrame([(1, "x", 2), (3, "z", 1)], "k int, flag string, gold int")
+    assert sorted(map(tuple, readers.changed_rows(a, b, "k", ["flag"]).collect())) == [(2, "flag", "y", None), (3, "flag", None, "z")]
+    t = spark.createDataFrame([("AbC d",), ("",), (None,)], "t string")
+    assert [r[0] for r in t.select(X.caps_ratio(F.col("t"))).collect()] == [0.4, 0.0, 0.0] and t.select(X.slug(F.col("t"))).first()[0] == "AbC_d"
