@@ -135,6 +135,33 @@ reach(r, s) AS (SELECT DISTINCT r, r FROM k UNION SELECT reach.r, b.r FROM reach
 SELECT r AS annotation_id, min(s) AS group_id FROM reach GROUP BY r HAVING count(*) > 1"""
 
 
+_U = "(CAST('0x' || substring(md5(concat_ws(':', component, '{0}', '42')), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0"
+
+
+def _scored(weights: dict[str, str]) -> str:
+    """SQL of the best weighted rendezvous score over splits of positive weight."""
+    scores = ", ".join(f"{{'score': CASE WHEN {w} > 0 THEN -CAST({w} AS DOUBLE) / ln({_U.format(n)}) ELSE -1.0 END, 'split': '{n}'}}" for n, w in sorted(weights.items()))
+    return f"list_reverse_sort([{scores}])[1].split"
+
+
+_ROOM = {"train": "a", "validation": "b", "test": "c"}
+_PICK = "list_reverse_sort([" + ", ".join(f"{{'r': {_ROOM[n]} / CAST({w} AS DOUBLE), 'f': CAST(first = '{n}' AS INTEGER), 's': '{n}'}}" for n, w in SPLIT_WEIGHTS.items()) + "])[1].s"
+_STEP = ", ".join(f"{c} - CASE WHEN {_PICK} = '{n}' THEN n ELSE 0 END" for n, c in _ROOM.items())
+_SPLITS = (
+    ORACLE["p1_found"].split("SELECT r AS annotation_id, min(s)")[0].rstrip()
+    + f""",
+own AS (SELECT DISTINCT annotation_id AS r FROM golden WHERE annotation_id IS NOT NULL), low AS (SELECT r, min(s) AS s FROM reach GROUP BY 1), cp AS (SELECT r, coalesce(s, r) AS component FROM own LEFT JOIN low USING (r)),
+sz AS (SELECT component, count(*) AS n FROM cp GROUP BY 1), tot AS (SELECT CAST(coalesce(sum(n), 0) AS DOUBLE) AS total FROM sz),
+big AS (SELECT row_number() OVER (ORDER BY n DESC, component) AS k, component, n, {_scored({n: str(w) for n, w in SPLIT_WEIGHTS.items()})} AS first FROM sz, tot WHERE n * 1000 > total),
+st AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS component, CAST(NULL AS VARCHAR) AS split, total * CAST(0.8 AS DOUBLE) AS a, total * CAST(0.1 AS DOUBLE) AS b, total * CAST(0.1 AS DOUBLE) AS c FROM tot
+  UNION ALL SELECT big.k, big.component, {_PICK}, {_STEP} FROM st JOIN big ON big.k = st.k + 1),
+fin AS (SELECT greatest(a, 0.0) AS a, greatest(b, 0.0) AS b, greatest(c, 0.0) AS c FROM st ORDER BY k DESC LIMIT 1),
+sp AS (SELECT r AS annotation_id, component, split FROM cp JOIN st USING (component) UNION ALL SELECT r, component, {_scored(_ROOM)} FROM cp, fin WHERE component NOT IN (SELECT component FROM big))"""
+)
+ORACLE["p1_splits"] = f"{_SPLITS} SELECT annotation_id, split FROM sp"
+ORACLE["p1_shares"] = f"{_SPLITS} SELECT split, count(*) AS annotations, count(DISTINCT component) AS components, round(count(*) / sum(count(*)) OVER (), 4) AS share FROM sp GROUP BY 1"
+
+
 # -- 3: overlap across splits --------------------------------------------------------
 
 
