@@ -14,6 +14,7 @@ from typing import ClassVar
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+SHUFFLES_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cpus: str | int = "*", partitions: int = 8, memory: str = "16g") -> SparkSession:
@@ -88,14 +89,21 @@ class Scratch:
         if Scratch.scopes:
             Scratch.scopes[-1].append(self)
 
-    def cut(self, df: DataFrame, label: str = "t") -> DataFrame:
-        """Write df and return it as read back."""
+    def cut(self, df: DataFrame, label: str = "t", tidy: bool = False) -> DataFrame:
+        """Write df and return it as read back; tidy: its shuffle files are deleted at once, not when the driver collects garbage."""
         self._n += 1
         path = f"{self.base}/{self._n:03d}-{label}"
         if self._n == 1:
             p = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(SHUFFLES_KEY, None)
+        if tidy:
+            self.spark.conf.set(SHUFFLES_KEY, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            if tidy:
+                self.spark.conf.unset(SHUFFLES_KEY) if before is None else self.spark.conf.set(SHUFFLES_KEY, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._skein_path = path
         return out
