@@ -5,14 +5,15 @@ Features are hashed, so no vocabulary is gathered; fits run on the cluster.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,11 @@ from skein.functions import text as X
 from skein.operators.ranks import ranked
 from skein.session import Scratch
 
+#: A vector as Parquet has it: type 0 is sparse, 1 dense.
+VECTOR = T.StructType([T.StructField("type", T.ByteType()), T.StructField("size", T.IntegerType()), T.StructField("indices", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.DoubleType()))])
+#: Entries from which a row's products are added by themselves; products added at a time; rows of the sum sent at a time; rows projected at a time.
+LONG_ROW, PRODUCTS, STRIPE, PROJECTED = 256, 8_000_000, 64, 2_000
+
 
 def features(df: DataFrame, tokens: str, buckets: int = 1 << 14) -> DataFrame:
     """df with features: hashed TF-IDF of unit length."""
@@ -72,26 +78,98 @@ def out_of_fold(df: DataFrame, key: str, label: str, scratch: Scratch, folds: in
     return out.unionByName(predicted(d.where(F.col(label).isNull()), model, labels).select(key, label, "predicted", "confidence"))
 
 
+def _flat(features: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entries by row, places, values) of vectors as Parquet has them."""
+    places = [np.arange(len(x["values"])) if x["type"] else np.asarray(x["indices"], np.int64) for x in features]
+    n = np.array([len(x) for x in places], np.int64)
+    return n, np.concatenate(places), np.concatenate([np.asarray(x["values"], float) for x in features])
+
+
+def add_products(whole: np.ndarray, n: np.ndarray, at: np.ndarray, v: np.ndarray) -> None:
+    """Add every row's products of entries (n entries by row, their places and values) to whole, places by places."""
+    size, ends = len(whole), np.cumsum(n)
+    for r in np.flatnonzero(n > LONG_ROW):
+        i, x = at[ends[r] - n[r] : ends[r]], v[ends[r] - n[r] : ends[r]]
+        whole[np.ix_(i, i)] += np.outer(x, x)
+    short = np.where(n > LONG_ROW, 0, n)
+    some = np.repeat(n <= LONG_ROW, n)
+    at, v, done = at[some], v[some], np.cumsum(short * short)
+    a = 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + PRODUCTS, "right")))
+        k = short[a:b]
+        first = int(short[:a].sum())
+        one = np.arange(k.sum()) + first
+        times = np.repeat(k, k)  # each entry meets all of its row
+        left = np.repeat(one, times)
+        right = np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(np.repeat(np.cumsum(k) - k, k) + first, times)
+        whole += np.bincount(at[left] * size + at[right], v[left] * v[right], minlength=size * size).reshape(size, size)
+        a = b
+
+
+def gram(features: DataFrame, size: int) -> np.ndarray:
+    """Sum over all rows of the products of features (as Parquet has vectors), size x size, in one pass."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole = None
+        for b in batches:
+            if len(b):
+                whole = np.zeros((size, size)) if whole is None else whole
+                add_products(whole, *_flat(b["features"]))
+        whole = None if whole is None else np.tril(whole)
+        for a in range(0, size if whole is not None else 0, STRIPE):
+            yield pd.DataFrame({"i": [a], "v": [whole[a : a + STRIPE].tobytes()]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, v in zip(b["i"], b["v"], strict=True):
+                sums[i] = sums[i] + np.frombuffer(v) if i in sums else np.frombuffer(v)
+        for i, v in sums.items():
+            yield pd.DataFrame({"i": [i], "v": [v.tobytes()]})
+
+    parts = features.coalesce(max(2 * features.sparkSession.sparkContext.defaultParallelism, 1)).mapInPandas(run, "i int, v binary")
+    out = np.zeros((size, size))
+    for r in parts.repartition("i").mapInPandas(add, "i int, v binary").collect():  # size x size numbers, whatever the rows
+        x = np.frombuffer(r["v"]).reshape(-1, size)
+        out[r["i"] : r["i"] + len(x)] = x
+    return out + np.tril(out, -1).T
+
+
 def svd(df: DataFrame, key: str, k: int) -> tuple[DataFrame, list[float], float]:
-    """((key, reduced), singular values, share of the sum of squares explained) of the rows' features, not centred; reduced has k entries."""
-    # The distributed factorisation exists for RDDs only; rows go back to a DataFrame at once.
-    rows = df.select("features").rdd.map(lambda r: OldVectors.fromML(r[0]))
-    model = RowMatrix(rows).computeSVD(k, computeU=False)
-    v = model.V.toArray()  # features x k, whatever the number of rows
-    sent = df.sparkSession.sparkContext.broadcast(v)
+    """((key, reduced), singular values, share of the sum of squares explained) of the rows' features, not centred.
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def project(index, value):
-        import pandas as pd
+    reduced has k entries, or as many as there are singular values above 0. One pass sums
+    the products of the features, whose size is fixed; their eigenvectors are those of the rows. In each
+    the entry furthest from 0 is positive.
+    """
+    scratch = Scratch(df.sparkSession, "svd")
+    cut = scratch.cut(df.select(key, "features"), "features")
+    # as Parquet has vectors: their entries reach Python without a call by row
+    rows = df.sparkSession.read.schema(T.StructType([cut.schema[key], T.StructField("features", VECTOR)])).parquet(cut._skein_path)
+    kind = cut.schema[key].dataType.simpleString()
+    one = rows.select(F.coalesce("features.size", F.size("features.values")).alias("n")).first()
+    products = gram(rows.select("features"), one["n"] if one else 1)
+    values, v = np.linalg.eigh(products)
+    values, v = values[::-1][:k], v[:, ::-1][:, :k]
+    some = values > max(values[0], 0.0) * len(products) * np.finfo(float).eps
+    values, v = values[some], v[:, some]
+    v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
+    sent = df.sparkSession.sparkContext.broadcast(v)
 
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = sent.value
-        return pd.Series([(m[i].T @ x).tolist() if len(i) else [0.0] * m.shape[1] for i, x in zip(index, value, strict=True)])
-
-    sparse = F.udf(lambda x: (x.indices.tolist(), x.values.tolist()) if hasattr(x, "indices") else (list(range(len(x))), x.tolist()), "struct<i: array<int>, v: array<double>>")
-    out = df.select(key, sparse("features").alias("s")).select(key, project("s.i", "s.v").alias("reduced"))
-    values = [float(x) for x in model.s]
-    whole = df.select(F.sum(F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x * x))).first()[0]
-    return out, values, sum(x * x for x in values) / (whole or 1.0)
+        for b in batches:
+            for a in range(0, len(b), PROJECTED):
+                x = b.iloc[a : a + PROJECTED]
+                n, at, w = _flat(x["features"])
+                out = np.zeros((len(x), m.shape[1]))
+                if len(at):
+                    out[n > 0] = np.add.reduceat(m[at] * w[:, None], (np.cumsum(n) - n)[n > 0], axis=0)
+                yield pd.DataFrame({key: x[key], "reduced": list(out)})
+
+    out = rows.mapInPandas(project, f"{key} {kind}, reduced array<double>")
+    return out, [float(x) for x in np.sqrt(values)], float(values.sum() / (np.trace(products) or 1.0))
 
 
 def kmeans_sweep(df: DataFrame, column: str, ks: list[int], starts: int = 10, seed: int = 42) -> DataFrame:
