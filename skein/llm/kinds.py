@@ -1,4 +1,4 @@
-"""Language and topic of a text, by models fitted on bounded samples of the corpus.
+"""Language and topic of a text, by models fitted on the whole corpus.
 
 Languages: a multinomial model of character trigrams, learned from the `lang` column as
 far as it can be read, then once more without the rows it disagrees with, since that
@@ -11,17 +11,23 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skein.session import Scratch
+
 REST = "other"
-#: Sampled documents per language, languages considered (most frequent codes), documents a language needs.
-LANGUAGE_DOCS, LANGUAGES, LEAST_DOCS = 400, 30, 3
-#: Sampled documents for topics, their number, rounds of k-means.
-TOPIC_DOCS, TOPICS, ROUNDS = 2_000, 8, 25
+#: Documents a language needs.
+LEAST_DOCS = 3
+#: Number of topics, rounds of k-means, steps of a word's weight.
+TOPICS, ROUNDS, STEPS = 8, 25, float(1 << 30)
 TRIGRAMS, WORDS = 1 << 13, 1 << 12
 _LETTERS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 
@@ -59,6 +65,7 @@ def _log_probabilities(texts: list[Counter], names: list[str], order: list[str])
 
 
 def fit_languages(texts: list[str], names: list[str]) -> tuple[list[str], np.ndarray]:
+    """The model of texts at hand; languages_of() does the same for tables."""
     counts = [word_counts(t) for t in texts]
     order = sorted(n for n, k in Counter(names).items() if k >= LEAST_DOCS)
     if not order:
@@ -71,6 +78,7 @@ def fit_languages(texts: list[str], names: list[str]) -> tuple[list[str], np.nda
 
 
 def fit_topics(texts: list[str], k: int = TOPICS, seed: int = 42) -> tuple[list[str], np.ndarray]:
+    """The topics of texts at hand; topics_of() is for tables."""
     counts = [c for c in map(word_counts, texts) if c]
     if not counts:
         return [], np.zeros((WORDS, 0))
@@ -149,28 +157,165 @@ def language_code(c):
     return F.when((code != "") & (code != "und"), code)
 
 
-def sampled(docs: DataFrame, limit: int, by: str | None, seed: int) -> list:
-    """At most about `limit` rows (per value of by) in hash order of doc_id; the same on every run."""
-    h = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double")) / float(1 << 53)
-    rows = docs.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).withColumn("_h", h)
-    group = F.col(by) if by else F.lit("")
-    rows = rows.where(group.isNotNull())
-    n = {r["g"]: r["n"] for r in rows.groupBy(group.alias("g")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "g").limit(LANGUAGES).collect()}
-    if not n:
-        return []
-    share = F.create_map(*[x for g, k in n.items() for x in (F.lit(g), F.lit(min(1.0, (limit + 4 * limit**0.5) / k)))])
-    got = rows.where(F.col("_h") < share[group]).select(group.alias("g"), "text", "_h", "doc_id").collect()  # a few hundred per group
-    out, taken = [], Counter()
-    for r in sorted(got, key=lambda r: (r["_h"], r["doc_id"])):
-        if taken[r["g"]] < limit:
-            taken[r["g"]] += 1
-            out.append((r["text"], r["g"]))
-    return out
+def word_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, lang, words, counts, at, n) of docs (doc_id, lang, text): the words of each text, and the buckets they fall into."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bucket = lru_cache(maxsize=200_000)(_bucket)
+        for b in batches:
+            counts = [word_counts(t) for t in b["text"]]
+            at: list[Counter] = []
+            for ws in counts:
+                x: Counter = Counter()
+                for w, c in ws.items():
+                    x[bucket(w)] += c
+                at.append(x)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "lang": b["lang"]} | {"words": [list(x) for x in counts], "counts": [list(x.values()) for x in counts], "at": [list(x) for x in at], "n": [list(x.values()) for x in at]})
+
+    return docs.select("doc_id", "lang", "text").mapInPandas(run, "doc_id bigint, lang string, words array<string>, counts array<int>, at array<int>, n array<int>")
+
+
+def _summed(parts: DataFrame) -> dict[int, np.ndarray]:
+    """Sums of arrays v (as bytes) by i; as many rows as i has values, of one size."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, v in zip(b["i"], b["v"], strict=True):
+                sums[i] = sums[i] + np.frombuffer(v) if i in sums else np.frombuffer(v)
+        for i, v in sums.items():
+            yield pd.DataFrame({"i": [i], "v": [v.tobytes()]})
+
+    return {r["i"]: np.frombuffer(r["v"]) for r in parts.repartition("i").mapInPandas(add, "i int, v binary").collect()}
+
+
+def languages_of(table: DataFrame) -> tuple[list[str], np.ndarray]:
+    """What fit_languages() gives for all rows of a word_table()."""
+    order = sorted(r["lang"] for r in table.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS).collect())  # codes of two or three letters
+    if not order:
+        return [], np.zeros((TRIGRAMS, 0))
+    known = table.where(F.col("lang").isin(order) & (F.size("words") > 0)).select("lang", "words", "counts")
+
+    def counted(first: Kinds | None) -> np.ndarray:
+        sent = table.sparkSession.sparkContext.broadcast(first)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            scorer = Scorer(sent.value) if sent.value else None
+            sums: dict[str, np.ndarray] = {}
+            for b in batches:
+                words: dict[str, Counter] = {}
+                for g, ws, cs in zip(b["lang"], b["words"], b["counts"], strict=True):
+                    if scorer is None or scorer.of(dict(zip(ws, cs, strict=True)))[0] == g:
+                        mine = words.setdefault(g, Counter())
+                        for w, c in zip(ws, cs.tolist(), strict=True):
+                            mine[w] += c
+                for g, ws in words.items():
+                    tris = [_trigrams(w) for w in ws]
+                    flat = np.fromiter((t for x in tris for t in x), np.int64)
+                    times = np.repeat(np.fromiter(ws.values(), float), [len(x) for x in tris])
+                    sums[g] = sums.get(g, 0) + np.bincount(flat, times, minlength=TRIGRAMS)
+            for g, v in sums.items():
+                yield pd.DataFrame({"i": [order.index(g)], "v": [v.tobytes()]})
+
+        n = np.full((TRIGRAMS, len(order)), 0.1)
+        for i, v in _summed(known.mapInPandas(run, "i int, v binary")).items():
+            n[:, i] += v
+        return np.log(n / n.sum(axis=0))
+
+    return order, counted(Kinds(order, counted(None), [], np.zeros((WORDS, 0))))
+
 
+def _units(at: pd.Series, n: pd.Series, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first entry by text, buckets, weights) of texts with words; weights are in steps of 2 ** -30, so that sums don't depend on their order."""
+    k = np.array([len(x) for x in at], np.int64)
+    flat, starts = np.concatenate(list(at)).astype(np.int64), np.cumsum(k) - k
+    x = np.log1p(np.concatenate(list(n)).astype(float)) * idf[flat]
+    norm = np.maximum(np.sqrt(np.add.reduceat(x * x, starts)), 1e-12)
+    return starts, flat, np.round(x / np.repeat(norm, k) * STEPS) / STEPS
 
-def fit(docs: DataFrame, seed: int = 42) -> Kinds:
-    """Models of docs (doc_id, text, and lang if there is one)."""
-    coded = docs.withColumn("_lang", language_code(F.col("lang").cast("string"))) if "lang" in docs.columns else docs.withColumn("_lang", F.lit(None).cast("string"))
-    told = sampled(coded.select("doc_id", "text", "_lang"), LANGUAGE_DOCS, "_lang", seed)
-    some = sampled(coded.select("doc_id", "text"), TOPIC_DOCS, None, seed)
-    return Kinds(*fit_languages([t for t, _ in told], [g for _, g in told]), *fit_topics([t for t, _ in some], seed=seed))
+
+def topics_of(table: DataFrame, k: int = TOPICS, seed: int = 42) -> tuple[list[str], np.ndarray]:
+    """Spherical k-means as in fit_topics(), over all rows of a word_table() (doc_id, words, at, n)."""
+    spark = table.sparkSession
+    t = table.where(F.size("at") > 0)
+    total = t.count()
+    if not total:
+        return [], np.zeros((WORDS, 0))
+    df = np.zeros(WORDS)
+    for r in t.select(F.explode("at").alias("b")).groupBy("b").agg(F.count("*").alias("c")).collect():  # WORDS rows at most
+        df[r["b"]] = r["c"]
+    idf = np.log((1 + total) / (1 + df))
+
+    def chance(step: int):
+        return ((F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed), F.lit(step)), 11) + 1).cast("double") / float(1 << 53)).alias("u")
+
+    def drawn(centres: np.ndarray | None, step: int) -> np.ndarray | None:
+        """A text, far from the centres with chance: the first of exponential times by distance."""
+        sent = spark.sparkContext.broadcast(centres)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if not len(b):
+                    continue
+                starts, flat, x = _units(b["at"], b["n"], idf)
+                far = np.ones(len(b)) if sent.value is None else np.maximum(1 - np.add.reduceat(sent.value.T[flat] * x[:, None], starts, axis=0).max(axis=1), 0)
+                far[far <= 1e-9] = 0
+                with np.errstate(divide="ignore"):
+                    b = b.assign(time=np.where(far > 0, -np.log(b["u"].to_numpy()) / far, np.inf))
+                yield b[b["time"] < np.inf].nsmallest(1, ["time", "doc_id"])[["doc_id", "at", "n", "time"]]
+
+        best = t.select("doc_id", "at", "n", chance(step)).mapInPandas(run, "doc_id bigint, at array<int>, n array<int>, time double").orderBy("time", "doc_id").limit(1).toPandas()
+        if not len(best):
+            return None
+        _, flat, x = _units(best["at"], best["n"], idf)
+        out = np.zeros(WORDS)
+        out[flat] = x
+        return out
+
+    def means(c: np.ndarray) -> np.ndarray:
+        sent = spark.sparkContext.broadcast(c)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums = np.zeros(sent.value.size)
+            for b in batches:
+                if len(b):
+                    starts, flat, x = _units(b["at"], b["n"], idf)
+                    near = np.argmax(np.add.reduceat(sent.value.T[flat] * x[:, None], starts, axis=0), axis=1)
+                    sums += np.bincount(np.repeat(near, np.diff(np.r_[starts, len(flat)])) * WORDS + flat, x, minlength=sums.size)
+            for i, v in enumerate(sums.reshape(sent.value.shape)):
+                if v.any():
+                    yield pd.DataFrame({"i": [i], "v": [v.tobytes()]})
+
+        new = c.copy()
+        for i, v in _summed(t.select("at", "n").mapInPandas(run, "i int, v binary")).items():
+            new[i] = v / max(np.linalg.norm(v), 1e-12)
+        return new
+
+    chosen: list[np.ndarray] = []
+    while len(chosen) < min(k, total) and (x := drawn(np.array(chosen) if chosen else None, len(chosen))) is not None:
+        chosen.append(x)
+    c = np.array(chosen)
+    for _ in range(ROUNDS):
+        new = means(c)
+        done = np.allclose(new, c)
+        c = new
+        if done:
+            break
+    # of a bucket's words the first two can name a topic, since they weigh the same
+    words = t.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).withColumn("b", (F.crc32("w") % WORDS).cast("int"))
+    first = lambda x: sorted((r["w"], r["b"]) for r in x.withColumn("k", F.row_number().over(W.partitionBy("b").orderBy("w"))).where(F.col("k") <= 2).collect())
+    named = first(words.where((F.col("n") >= 2) & (F.length("w") > 3))) or first(words)
+    at = np.array([b for _, b in named])
+    names = ["+".join(named[j][0] for j in np.argsort(-x[at], kind="stable")[:2]) for x in c]
+    return [f"{i}:{n}" for i, n in enumerate(names)], (c * idf).T
+
+
+def fit(docs: DataFrame, seed: int = 42, scratch: Scratch | None = None) -> Kinds:
+    """Models of all rows of docs (doc_id, text, and lang if there is one) with an id and a text."""
+    scratch = scratch or Scratch(docs.sparkSession, "kinds")
+    code = language_code(F.col("lang").cast("string")) if "lang" in docs.columns else F.lit(None).cast("string")
+    rows = docs.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", code.alias("lang"), "text")
+    table = scratch.cut(word_table(rows), "words")
+    out = Kinds(*languages_of(table), *topics_of(table, seed=seed))
+    scratch.drop(table)
+    return out

@@ -126,13 +126,13 @@ def mix(docs: DataFrame, targets: DataFrame, size: int | None = None, languages:
     documents reach their share; with more, a very scarce source may end at its repeats
     instead of shrinking the whole, which the report says (limit: repeats). languages and
     topics are wanted shares, by default those of the target sources' tokens. models: by
-    default fitted on samples of docs. Documents of no or another source and those
+    default fitted on all of docs. Documents of no or another source and those
     without text are left out.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "mixture")
     known = {r["source"]: Target(float(r["target_share"]), int(r["max_repeats"])) for r in targets.where(F.col("source").isNotNull()).select("source", "target_share", "max_repeats").collect()}  # one row per source
-    models = models or K.fit(docs, seed)
+    models = models or K.fit(docs, seed, scratch)
     sources = targets.select("source").where(F.col("source").isNotNull()).distinct()
     sized = scratch.cut(with_tokens(docs.join(sources, "source", "left_semi").where(F.length("text") > 0), models, path), "tokens")
     # as many rows as sources, languages and topics allow, whatever the corpus
