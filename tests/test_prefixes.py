@@ -40,3 +40,12 @@ def test_pairs_take_little_disk(spark):
     s, before = Scratch(spark, "little"), shuffled(spark)
     J.near_duplicates(d, "doc_id", X.canonical_tokens(F.col("text")), s)
     assert shuffled(spark) - before < 4 * os.path.getsize(f"{SF}/documents.parquet")
+
+
+def test_members_take_little_disk(spark, tmp_path):
+    """near_dup_members: shuffles and tables that stay are under six times the documents."""
+    s, before = Scratch(spark, "members"), shuffled(spark)
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    J.near_duplicates(d, "doc_id", X.canonical_tokens(F.col("text")), s)[0].write.parquet(str(tmp_path / "members"))
+    kept = sum(os.path.getsize(os.path.join(a, f)) for a, _, c in os.walk(s.base.removeprefix("file:")) for f in c)
+    assert 0 < kept and shuffled(spark) - before + kept < 6 * os.path.getsize(f"{SF}/documents.parquet")
